@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, fingerprint, secret_scan
 
-QUERIES = {"op10_exact_dedup": exact_dedup.query}
+QUERIES = {
+    "op5_fingerprint": fingerprint.query,
+    "op8_secret_scan": secret_scan.query,
+    "op10_exact_dedup": exact_dedup.query,
+}
 ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
