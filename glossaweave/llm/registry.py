@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, packing, secret_scan, token_store
+from . import exact_dedup, fingerprint, packing, secret_scan, simhash, token_store
 
 QUERIES = {
     "op2_token_store": token_store.query,
     "op5_fingerprint": fingerprint.query,
     "op7_packing": packing.query,
     "op8_secret_scan": secret_scan.query,
+    "op9_simhash": simhash.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
