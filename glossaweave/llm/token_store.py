@@ -109,7 +109,7 @@ def open_block(raw: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> None:
-    """The texts' ids, end_id after each, as blocks (part, block, n_docs, n_ids, payload) by ascending doc_id."""
+    """The texts' ids, end_id after each, as blocks (part, base, n_docs, n_ids, payload) by ascending doc_id; base: the ids before the block in its part."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
     count = partitions(spark)
@@ -118,13 +118,13 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(vocabulary), np.array([end_id])
-        part, number, held, ids, size = None, 0, [], [], 0
+        part, base, held, ids, size = None, 0, [], [], 0
 
         def close():
-            nonlocal number, held, ids, size
-            row = [[part], [number], [len(held)], [size], [pack_block(held, ids)]]
-            number, held, ids, size = number + 1, [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["part", "block", "n_docs", "n_ids", "payload"])
+            nonlocal base, held, ids, size
+            row = [[part], [base], [len(held)], [size], [pack_block(held, ids)]]
+            base, held, ids, size = base + size, [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["part", "base", "n_docs", "n_ids", "payload"])
 
         for batch in slices(batches, "text", 4_000_000):
             coded = coder.encode(batch.column("text").to_pylist())
@@ -132,7 +132,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
                 if p != part:
                     if held:
                         yield close()
-                    part, number = p, 0
+                    part, base = p, 0
                 held.append(doc)
                 ids.append(np.append(own, end.astype(own.dtype)))
                 size += len(own) + 1
@@ -141,19 +141,17 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
         if held:
             yield close()
 
-    out = dealt.mapInArrow(blocks, "part int, block int, n_docs int, n_ids long, payload binary")
+    out = dealt.mapInArrow(blocks, "part int, base long, n_docs int, n_ids long, payload binary")
     out.write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
 
 
 def with_base(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of a store with `base`, the ids before each: sums over parts first, then within a part."""
+    """The blocks of a store, `base` counting from the start of the store."""
     blocks = spark.read.parquet(path)
-    sizes = blocks.select("part", "block", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a range: as many as shuffle partitions
+    # One row a range of doc_ids: as many as shuffle partitions when the store was written.
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
-    inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
-    bases = sizes.withColumn("inner", inner).join(before, "part").select("part", "block", (F.col("part_base") + F.col("inner")).alias("base"))
-    return blocks.join(bases, ["part", "block"])
+    return blocks.join(F.broadcast(before), "part").withColumn("base", F.col("base") + F.col("part_base"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

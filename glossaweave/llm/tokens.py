@@ -36,7 +36,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str | bytes, bytes | None] = {}
+        #: Ids by piece; False for a piece that can't stand alone.
+        self.known: dict[str | bytes, bytes | bool] = {}
+        self.tails = {"": b"", ",": self.whole(","), ".": self.whole("."), "\n": self.whole("\n")}
         probe = self.tokenizer.encode("A é", add_special_tokens=False).tokens
         self.lower = probe[0].startswith("a")  # lower case, white space dropped
         if self.lower:
@@ -49,17 +51,24 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self._cut(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = {w for _, words in pieces for w in words if w not in known}
+        get = self.known.get
+        rows, new = [], set()
+        for text in texts:
+            head, words = self._cut(text)
+            found = list(map(get, words))
+            if None in found:
+                new.update(w for w, f in zip(words, found) if f is None)
+                rows.append((head, words, None))
+            else:
+                rows.append((head, words, found))
         if new:
             self._learn(new)
         out = []
-        for text, (head, words) in zip(texts, pieces):
+        for text, (head, words, found) in zip(texts, rows):
             try:
-                raw = head + b"".join(map(known.__getitem__, words))
+                raw = head + b"".join(found or map(get, words))
             except TypeError:  # a piece that starts with white space
                 raw = self.whole(text)
             out.append(np.frombuffer(raw, self.dtype))
@@ -73,19 +82,57 @@ class Encoder:
         return self.whole(first) if first else b"", words
 
     def _learn(self, new: set) -> None:
+        """Ids of new pieces. A comma or full stop after a letter, and a line break between words, are words of their own."""
+        known, stems, lines = self.known, {}, []
+        for w in new:
+            if self.lower:
+                word = w.decode()
+            elif not w or w[0].isspace():
+                known[w] = False
+                continue
+            else:
+                word = w
+                if "\n" in w:
+                    parts = w.split("\n")
+                    if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+                        lines.append((w, parts))
+                        continue
+            stems[w] = self._stem(word)
+        wanted = {stem for stem, _ in stems.values()}
+        for _, (first, *rest) in lines:
+            wanted |= {self._stem(first)[0], *("\n" + self._stem(x)[0] for x in rest)}
+        self._encode_new([x for x in wanted if self._key(x) not in known])
+        for w, (stem, tail) in stems.items():
+            if tail:
+                known[w] = known[self._key(stem)] + self.tails[tail]
+        for w, (first, *rest) in lines:
+            stem, tail = self._stem(first)
+            raw = known[stem] + self.tails[tail]
+            for x in rest:
+                stem, tail = self._stem(x)
+                raw += self.tails["\n"] + known["\n" + stem] + self.tails[tail]
+            known[w] = raw
+
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        return (word[:-1], word[-1]) if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() and word[-2] < "ɐ" else (word, "")
+
+    def _key(self, word: str):
+        return word.encode() if self.lower else word
+
+    def _encode_new(self, words: list[str]) -> None:
+        """Pieces encoded together, apart from each other: one call for thousands. A piece after a line break starts with it."""
         known = self.known
         if self.lower:
-            joined = [w for w in new if b"0" not in w]
-            apart = [w for w in new if b"0" in w]
-            mark = b" 0 "
+            joined, apart, mark = [w for w in words if "0" not in w], [w for w in words if "0" in w], " 0 "
         else:
-            for w in new:
-                if not w or w[0].isspace():
-                    known[w] = None
-            joined, apart, mark = [w for w in new if w and not w[0].isspace()], [], " "
+            joined, apart, mark = [w for w in words if w[0] != "\n"], [], " "
+            after = [w for w in words if w[0] == "\n"]
+            for w, e in zip(after, self.tokenizer.encode_batch_fast([w[1:] for w in after], add_special_tokens=False)):
+                known[w] = np.array(e.ids, self.dtype).tobytes()
         for start in range(0, len(joined), 4096):
             some = joined[start : start + 4096]
-            text = mark.join(some).decode() if self.lower else " " + mark.join(some)
+            text = mark.join(some) if self.lower else " " + mark.join(some)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             if self.lower:
                 ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
@@ -95,11 +142,12 @@ class Encoder:
                 ends = np.append(begins[1:], len(ids))
             if len(begins) == len(some):
                 raw, width = ids.tobytes(), self.dtype.itemsize
-                known.update((w, raw[a:b]) for w, a, b in zip(some, (begins * width).tolist(), (ends * width).tolist()))
+                keys = [w.encode() for w in some] if self.lower else some
+                known.update((w, raw[a:b]) for w, a, b in zip(keys, (begins * width).tolist(), (ends * width).tolist()))
             else:
                 apart += some
         for w in apart:
-            known[w] = self.whole(w.decode() if self.lower else " " + w)
+            known[self._key(w)] = self.whole(w if self.lower else " " + w)
 
 
 @cache
