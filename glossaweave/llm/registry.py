@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, packing, secret_scan, simhash, token_store
+from . import exact_dedup, fingerprint, mixing, packing, secret_scan, simhash, token_store
 
 QUERIES = {
     "op2_token_store": token_store.query,
+    "op3_mixing": mixing.query,
     "op5_fingerprint": fingerprint.query,
     "op7_packing": packing.query,
     "op8_secret_scan": secret_scan.query,
