@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, mixing, packing, secret_scan, simhash, token_store
+from . import exact_dedup, fingerprint, mixing, packing, quality, secret_scan, simhash, token_store
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_token_store": token_store.query,
     "op3_mixing": mixing.query,
     "op5_fingerprint": fingerprint.query,
