@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, mixing, packing, quality, secret_scan, simhash, substring_dedup, token_store
+from . import exact_dedup, fingerprint, line_dedup, mixing, packing, quality, secret_scan, simhash, substring_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_token_store": token_store.query,
     "op3_mixing": mixing.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_fingerprint": fingerprint.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_packing": packing.query,
