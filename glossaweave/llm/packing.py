@@ -140,8 +140,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, [*_NAMES, *["ids"] * with_ids])
 
-        for batch in slices(batches, "text", 4_000_000):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist())):
+        for batch in slices(batches, "text"):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 ids = np.append(ids, np.array([end_id], ids.dtype))
                 put(packer.add((doc, len(ids)), ids))
             if rows:

@@ -126,8 +126,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
             base, held, ids, size = base + size, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["part", "base", "n_docs", "n_ids", "payload"])
 
-        for batch in slices(batches, "text", 4_000_000):
-            coded = coder.encode(batch.column("text").to_pylist())
+        for batch in slices(batches, "text"):
+            coded = coder.encode(batch.column("text"))
             for p, doc, own in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), coded):
                 if p != part:
                     if held:

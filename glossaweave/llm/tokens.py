@@ -8,13 +8,18 @@ a space), the library gets the whole text.
 
 from __future__ import annotations
 
+import gc
 import os
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces a worker keeps; beyond that it starts anew.
-CACHE = 1_000_000
+CACHE = 1_200_000
+#: New pieces encoded as one text.
+GROUP = 128
 
 
 def vocabulary(name: str) -> str:
@@ -36,118 +41,148 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        #: Ids by piece; False for a piece that can't stand alone.
-        self.known: dict[str | bytes, bytes | bool] = {}
+        self.known: dict[str, bytes] = {}
         self.tails = {"": b"", ",": self.whole(","), ".": self.whole("."), "\n": self.whole("\n")}
         probe = self.tokenizer.encode("A é", add_special_tokens=False).tokens
         self.lower = probe[0].startswith("a")  # lower case, white space dropped
+        ids = self.tokenizer.get_vocab()
+        marked = lambda test: np.isin(np.arange(self.tokenizer.get_vocab_size()), [i for t, i in ids.items() if test(t)])
         if self.lower:
-            self.separator = self.tokenizer.token_to_id("0</w>")
+            self.separator, self.ends = marked(lambda t: t == "0</w>"), marked(lambda t: t.endswith("</w>"))
         else:
-            self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+            self.begins = marked(lambda t: t.startswith("Ġ"))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
+        """One array of ids a text; no text is null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        gc.disable()  # many short-lived objects, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         if len(self.known) > CACHE:
             self.known.clear()
+        # Words as numbers of a batch's different words: Arrow splits and numbers them, only different ones become objects.
+        if self.lower:
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        else:
+            split = pc.split_pattern(texts, " ")
+        numbered = split.flatten().dictionary_encode()
+        code, words = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if not self.lower:
+            # A text's first word has no space before it: a piece of its own kind.
+            first = bounds[:-1]
+            heads = {c: len(words) + i for i, c in enumerate(dict.fromkeys(code[first].tolist()))}
+            code = code.copy()
+            later = np.ones(len(code), bool)
+            later[first] = False
+            used = np.zeros(len(words), bool)
+            used[code[later]] = True
+            code[first] = [heads[c] for c in code[first].tolist()]
+            head_words = [words[c] for c in heads]
+            words = [w if u else None for w, u in zip(words, used.tolist())]
         get = self.known.get
-        rows, new = [], set()
-        for text in texts:
-            head, words = self._cut(text)
-            found = list(map(get, words))
-            if None in found:
-                new.update(w for w, f in zip(words, found) if f is None)
-                rows.append((head, words, None))
-            else:
-                rows.append((head, words, found))
-        if new:
-            self._learn(new)
-        out = []
-        for text, (head, words, found) in zip(texts, rows):
-            try:
-                raw = head + b"".join(found or map(get, words))
-            except TypeError:  # a piece that starts with white space
-                raw = self.whole(text)
-            out.append(np.frombuffer(raw, self.dtype))
+        found = [get(w) for w in words]
+        new = {w for w, f in zip(words, found) if f is None and w is not None}
+        fresh = self._learn(new) if new else {}
+        # What is neither known nor fresh stands for a first word that is no later one: not used.
+        found = [f if f is not None else get(w, fresh.get(w, b"")) for w, f in zip(words, found)]
+        if not self.lower:
+            found += [self.whole(w) if w else b"" for w in head_words]
+        odd = np.array([f is False for f in found])
+        found = [f or b"" for f in found]
+        length = np.array([len(f) for f in found], np.int64) // self.dtype.itemsize
+        flat, begin = np.frombuffer(b"".join(found), self.dtype), np.cumsum(length) - length
+        n = length[code]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(begin[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        cuts = np.append(0, end)[bounds]
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        if odd.any():
+            # A piece that starts with white space: its cut is not neutral.
+            for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[code]), side="right") - 1).tolist():
+                out[i] = np.frombuffer(self.whole(texts[i].as_py()), self.dtype)
         return out
 
-    def _cut(self, text: str) -> tuple[bytes, list]:
-        if self.lower:
-            # bytes.lower() and bytes.split() know ASCII only; the library treats the rest.
-            return b"", text.encode().lower().split()
-        first, *words = text.split(" ")
-        return self.whole(first) if first else b"", words
-
-    def _learn(self, new: set) -> None:
-        """Ids of new pieces. A comma or full stop after a letter, and a line break between words, are words of their own."""
-        known, stems, lines = self.known, {}, []
-        for w in new:
-            if self.lower:
-                word = w.decode()
-            elif not w or w[0].isspace():
-                known[w] = False
-                continue
-            else:
-                word = w
-                if "\n" in w:
-                    parts = w.split("\n")
-                    if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
-                        lines.append((w, parts))
-                        continue
-            stems[w] = self._stem(word)
-        wanted = {stem for stem, _ in stems.values()}
+    def _learn(self, new: set) -> dict:
+        """Learns new pieces; gives those that are not kept: with line breaks, or not to stand alone (False).
+
+        A comma or full stop after a letter, and a line break between words, are words of their own.
+        """
+        known, fresh, lines = self.known, {}, []
+        if not self.lower:
+            fresh = {w: False for w in new if not w or w[0].isspace()}
+            for w in [w for w in new if "\n" in w and w not in fresh]:
+                parts = w.split("\n")
+                if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+                    lines.append((w, [self._stem(x) for x in parts]))
+            new = new.difference(fresh, [w for w, _ in lines])
+        elif "" in new:
+            new, fresh = new - {""}, {"": b""}
+        ended = [(w, self._stem(w)) for w in new if w[-1] in ".,"]
+        plain = new.difference([w for w, (_, tail) in ended if tail])
+        wanted = {stem for _, (stem, tail) in ended if tail}
         for _, (first, *rest) in lines:
-            wanted |= {self._stem(first)[0], *("\n" + self._stem(x)[0] for x in rest)}
-        self._encode_new([x for x in wanted if self._key(x) not in known])
-        for w, (stem, tail) in stems.items():
-            if tail:
-                known[w] = known[self._key(stem)] + self.tails[tail]
-        for w, (first, *rest) in lines:
-            stem, tail = self._stem(first)
+            wanted.add(first[0])
+            wanted.update(["\n" + stem for stem, _ in rest])
+        self._encode_new([*plain, *[x for x in wanted if x not in known and x not in plain]])
+        known.update([(w, known[stem] + self.tails[tail]) for w, (stem, tail) in ended if tail])
+        for w, ((stem, tail), *rest) in lines:
             raw = known[stem] + self.tails[tail]
-            for x in rest:
-                stem, tail = self._stem(x)
+            for stem, tail in rest:
                 raw += self.tails["\n"] + known["\n" + stem] + self.tails[tail]
-            known[w] = raw
+            fresh[w] = raw
+        return fresh
 
     @staticmethod
     def _stem(word: str) -> tuple[str, str]:
         return (word[:-1], word[-1]) if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() and word[-2] < "ɐ" else (word, "")
 
-    def _key(self, word: str):
-        return word.encode() if self.lower else word
-
     def _encode_new(self, words: list[str]) -> None:
-        """Pieces encoded together, apart from each other: one call for thousands. A piece after a line break starts with it."""
+        """Pieces encoded thousands to a call, and told apart in its ids. A piece after a line break starts with it."""
         known = self.known
         if self.lower:
-            joined, apart, mark = [w for w in words if "0" not in w], [w for w in words if "0" in w], " 0 "
+            plain = [w for w in words if w.isalpha()]
+            self._together(plain, " ", self.ends)  # a word of letters has one last token
+            other = [w for w in words if not w.isalpha()]
+            self._together([w for w in other if "0" not in w], " 0 ", self.separator)
+            apart = [w for w in other if "0" in w]
         else:
-            joined, apart, mark = [w for w in words if w[0] != "\n"], [], " "
             after = [w for w in words if w[0] == "\n"]
             for w, e in zip(after, self.tokenizer.encode_batch_fast([w[1:] for w in after], add_special_tokens=False)):
                 known[w] = np.array(e.ids, self.dtype).tobytes()
-        for start in range(0, len(joined), 4096):
-            some = joined[start : start + 4096]
-            text = mark.join(some) if self.lower else " " + mark.join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
-            if self.lower:
-                ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
-                begins = np.append(0, ends[:-1] + 1)
-            else:
-                begins = np.flatnonzero(self.begins[ids])
-                ends = np.append(begins[1:], len(ids))
-            if len(begins) == len(some):
-                raw, width = ids.tobytes(), self.dtype.itemsize
-                keys = [w.encode() for w in some] if self.lower else some
-                known.update((w, raw[a:b]) for w, a, b in zip(keys, (begins * width).tolist(), (ends * width).tolist()))
-            else:
-                apart += some
+            self._together([w for w in words if w[0] != "\n"], " ", self.begins)
+            apart = []
         for w in apart:
-            known[self._key(w)] = self.whole(w if self.lower else " " + w)
+            known[w] = self.whole(w)
+
+    def _together(self, words: list[str], mark: str, edge: np.ndarray) -> None:
+        """edge: by id, whether the token begins a word (or, in lower case, ends one or stands between two)."""
+        width, between = self.dtype.itemsize, mark != " "
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        for start in range(0, len(groups), 64):
+            some = groups[start : start + 64]
+            texts = [mark.join(g) + mark if self.lower else " " + mark.join(g) for g in some]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                at = np.flatnonzero(edge[ids])
+                if len(at) != len(group):
+                    self.known.update([(w, self.whole(w if self.lower else " " + w)) for w in group])
+                    continue
+                if self.lower:
+                    begins, ends = np.append(0, at[:-1] + 1), at + (0 if between else 1)
+                else:
+                    begins, ends = at, np.append(at[1:], len(ids))
+                raw = ids.tobytes()
+                self.known.update(zip(group, [raw[a:b] for a, b in zip((begins * width).tolist(), (ends * width).tolist())]))
 
 
 @cache
