@@ -202,9 +202,9 @@ def repair_strict(text: str | None) -> str:
     return re.sub(r"<[^>]*>", "", fixed) if re.search(r"</?[^x/]|</x", fixed) else fixed
 
 
-def collapse_nested(text: str | None) -> str:
+def collapse_nested(text: str | None, codes: list[dict] | None = None) -> str:
     """Pairs of codes right inside each other become one, until none is left; an empty pair becomes a standalone code. Of the
-    two types a link is preferred, then a common one, then the inner; the outer id stays."""
+    two types a link is preferred, then a common one, then the inner; the outer id stays and takes on the inner's markup."""
     text = text or ""
     if "<bx" not in text:
         return text
@@ -220,6 +220,9 @@ def collapse_nested(text: str | None) -> str:
             kinds = [a[3] or "", b[3] or ""]
             kind = "link" if "link" in kinds else next((k for k in kinds if k and not k.startswith("x-")), kinds[1])
             joined = f"<bx id='{a[2]}' ctype='{kind}' rid='{a[4]}'/>"
+            if codes:
+                codes[int(a[2]) - 1]["body"] += codes[int(b[2]) - 1]["body"]
+                codes[int(p[2]) - 1]["body"] = codes[int(q[2]) - 1]["body"] + codes[int(p[2]) - 1]["body"]
             text = text[: a.start()] + joined + text[b.end() : q.start()] + p[0] + text[p.end() :]
             break
         else:
@@ -227,6 +230,8 @@ def collapse_nested(text: str | None) -> str:
     for m in reversed(list(bx.finditer(text))):
         n = ex.match(text, m.end())
         if n and n[4] == m[4]:
+            if codes:
+                codes[int(m[2]) - 1]["body"] += codes[int(n[2]) - 1]["body"]
             text = text[: m.start()] + f"<x id='{m[2]}' ctype='{m[3] or ''}'/>" + text[n.end() :]
     return text
 

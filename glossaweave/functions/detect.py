@@ -32,7 +32,7 @@ def _text(content: Column) -> Column:
 
 
 def _opendocument(content: Column, name: str) -> Column:
-    kind = f"application/vnd.oasis.opendocument.{name}"
+    kind = f"vnd.oasis.opendocument.{name}"
     dash = F.substring(content, 51 + len(kind), 1) == F.lit(b"-")
     return _at(content, 0, "PK\x03\x04") & _at(content, 30, "mimetype") & _at(content, 50, kind) & ~dash
 

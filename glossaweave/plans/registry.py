@@ -313,12 +313,12 @@ def rc_strings(spark, d):
     return paragraphs(lines.read(docs, "WINRC")).select("doc_id", "text")
 
 
-@query("SELECT conv_id::VARCHAR AS doc_id, string_agg('turn.' || turn || ' = ' || upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))) || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id::VARCHAR AS doc_id, string_agg('turn.' || turn || ' = ' || translate(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'aeiou', 'AEIOU') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
 def properties_translated(spark, d):
-    """Property files with every value translated (to capitals) and written again."""
+    """Property files with every value translated (its vowels to capitals) and written again."""
     docs = _as_lines(spark, d, lambda t: F.concat(F.lit("turn."), t["turn"].cast("string"), F.lit(" = "), F.trim(t["text"]), F.lit("\n")))
     read = lines.read(docs, "JAVA_PROPERTIES")
-    made = paragraphs(read).select("doc_id", "part_no", F.lit(0).alias("seg_no"), F.lit("").alias("prefix"), F.lit("").alias("suffix"), F.col("text").alias("core"), text.escape(F.upper(text.unescape(F.col("text")))).alias("target"))
+    made = paragraphs(read).select("doc_id", "part_no", F.lit(0).alias("seg_no"), F.lit("").alias("prefix"), F.lit("").alias("suffix"), F.col("text").alias("core"), text.escape(F.translate(text.unescape(F.col("text")), "aeiou", "AEIOU")).alias("target"))
     return sink.export(read, made, "JAVA_PROPERTIES")
 
 
@@ -335,10 +335,10 @@ def source_plain_text(spark, d):
     return _table(spark, d, "documents").select("doc_id", text.plain_source(made).alias("plain"))
 
 
-@query("SELECT l_orderkey, arg_min(l_returnflag, l_linenumber) AS body FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, substr(min(lpad(l_linenumber::VARCHAR, 9, '0') || l_returnflag), 10) AS body FROM lineitem GROUP BY l_orderkey")
 def format_first_match(spark, d):
     """L8 with lineitem as a stand-in: the first markup of each code."""
-    return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", "l_linenumber").alias("body"))
+    return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_returnflag")).alias("body"))
 
 
 def _pages(spark, d) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from xml.parsers import expat
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +66,6 @@ def listing(units: DataFrame, kind: str = "text") -> DataFrame:
 
 def well_formed(docs: DataFrame) -> DataFrame:
     """doc_id, well_formed, status of XML texts."""
-    from xml.parsers import expat
-
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def parses(texts: pd.Series) -> pd.Series:
         def test(t):

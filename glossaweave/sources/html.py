@@ -68,7 +68,7 @@ class _Tokenizer:
         bare = re.sub(r"<[be]?x\s[^>]*>", "", self.text)
         if bare.strip():
             # Codes left open end here; their ends elsewhere are standalone.
-            self.out.para(collapse_nested(self.text if self.pre else re.sub(r"\s+", " ", self.text)))
+            self.out.para(collapse_nested(self.text if self.pre else re.sub(r"\s+", " ", self.text), self.out.codes))
         else:
             self.out.literal(self.raw)
         self.text, self.raw = "", ""
@@ -106,7 +106,7 @@ class _Tokenizer:
             self.rid += 1
             self.open.append((name, self.rid))
             self.text += f"<bx id='{code}' ctype='{kind}' rid='{self.rid}'/>"
-        self.raw += tag
+        self.raw += body
 
     def run(self, html: str) -> None:
         at = 0

@@ -79,10 +79,10 @@ def odf_part(raw: bytes, out: Parts) -> None:
             done = levels.pop()
             bare = re.sub(r"<[be]?x\s[^>]*>", "", done["text"])
             if levels:
-                number = out.para(collapse_nested(done["text"]), name=name, kind="aside")
+                number = out.para(collapse_nested(done["text"], out.codes), name=name, kind="aside")
                 levels[-1]["text"] += f"<x id='{out.code('{{tu:%d}}' % number + own)}' ctype='x-odf-note-target' xid='{number}'/>"
             elif bare.strip():
-                out.para(collapse_nested(done["text"]), name=name)
+                out.para(collapse_nested(done["text"], out.codes), name=name)
                 out.literal(own)
             else:
                 out.literal(re.sub(r"<[be]?x\s+id='(\d+)'[^>]*>", lambda m: out.codes[int(m[1]) - 1]["body"], done["text"]) + own)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import attribute, column
+from ..functions.codes import attribute
 from ..schema import Parts
 
 
@@ -92,8 +93,6 @@ INLINE = "struct<text:string,codes:array<struct<code_id:int,body:string>>,subs:a
 
 def normalised(units: DataFrame) -> DataFrame:
     """units with `inline`: the source in bx, ex and x, its codes, and the texts of its sub elements. Plain sources stay in the JVM."""
-    import pandas as pd
-
     @F.pandas_udf(INLINE)
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([rewrite_inline(t or "") for t in texts], columns=["text", "codes", "subs"])
@@ -111,6 +110,3 @@ def write(units: DataFrame, lang: str, original: str, datatype: str) -> DataFram
     whole = joined_text(rows, ["doc_id"], "place", "xml", "units")
     head = f"<?xml version='1.0' encoding='UTF-8'?>\n<xliff version='1.1' xmlns='urn:oasis:names:tc:xliff:document:1.1' xmlns:lt='http://www.lingotek.com/'>\n<file original='{original}' source-language='{lang}' datatype='{datatype}'>\n<header lt:segtype='sentence'></header>\n<body>\n"
     return whole.select("doc_id", F.concat(F.lit(head), "units", F.lit("</body>\n</file>\n</xliff>\n")).alias("text"))
-
-
-__all__ = ["column", "files", "normalised", "raw_units", "rewrite_inline", "targets", "write"]

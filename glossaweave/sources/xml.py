@@ -147,7 +147,7 @@ def _tokenizer(body: str, out: Parts) -> None:
                 pass  # the end of an empty element
             elif depth == 1:
                 if re.sub(r"<[be]?x\s[^>]*>", "", text).strip():
-                    out.para(collapse_nested(text), name=value[0])
+                    out.para(collapse_nested(text, out.codes), name=value[0])
                 else:
                     out.literal(re.sub(r"<([be]?x)\s+id='(\d+)'[^>]*>", lambda m: out.codes[int(m[2]) - 1]["body"], text))
                 depth = 0
