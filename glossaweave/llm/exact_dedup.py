@@ -184,11 +184,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    keep = dedup(docs).filter("kept").select(F.col("doc_id").alias("keep_doc"), F.col("digest").alias("keep_digest"))
-    seen = docs.withColumn("_digest", F.unhex(F.sha2(normalised().cast("binary"), 256)))
-    joined = seen.join(keep, seen["doc_id"].eqNullSafe(keep["keep_doc"]) & (seen["_digest"] == keep["keep_digest"]))
-    first = F.row_number().over(Window.partitionBy("keep_doc", "keep_digest").orderBy(F.length(text_of()).desc()))
-    return joined.withColumn("_row", first).filter("_row = 1").select(*docs.columns)
+    keep = dedup(docs).filter("kept").select(F.col("doc_id").alias("__gw_doc"), F.col("digest").alias("__gw_digest"))
+    seen = docs.withColumn("__gw_own", F.unhex(F.sha2(normalised().cast("binary"), 256)))
+    joined = seen.join(keep, seen["doc_id"].eqNullSafe(keep["__gw_doc"]) & (seen["__gw_own"] == keep["__gw_digest"]))
+    first = F.row_number().over(Window.partitionBy("__gw_doc", "__gw_digest").orderBy(F.length(text_of()).desc()))
+    return joined.withColumn("__gw_row", first).filter("__gw_row = 1").select(*docs.columns)
 
 
 SQL = r"""

@@ -172,9 +172,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of docs, each as often as the mix takes it, shard by shard; blocks are whole documents."""
     _, _, draws = mix(docs, block_words=None)
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy("_size")
-    numbered = docs.withColumn("_size", word_count()).withColumn("_copy", F.row_number().over(same))
-    d = draws.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("copy").alias("_c"), F.col("words").alias("_w"), F.col("shard").alias("_shard"), F.col("position").alias("_position"))
-    keys = numbered["doc_id"].cast("long").eqNullSafe(d["_d"]) & numbered["source"].eqNullSafe(d["_s"]) & (numbered["_copy"] == d["_c"]) & (numbered["_size"] == d["_w"])
+    same = Window.partitionBy("doc_id", "source", "__gw_size").orderBy("__gw_size")
+    numbered = docs.withColumn("__gw_size", word_count()).withColumn("__gw_copy", F.row_number().over(same))
+    d = draws.select(F.col("doc_id").alias("__gw_d"), F.col("source").alias("__gw_s"), F.col("copy").alias("__gw_c"), F.col("words").alias("__gw_w"), F.col("shard").alias("__gw_shard"), F.col("position").alias("__gw_position"))
+    keys = numbered["doc_id"].cast("long").eqNullSafe(d["__gw_d"]) & numbered["source"].eqNullSafe(d["__gw_s"]) & (numbered["__gw_copy"] == d["__gw_c"]) & (numbered["__gw_size"] == d["__gw_w"])
     out = numbered.join(d, keys)
-    return out.repartition(SHARDS, "_shard").sortWithinPartitions("_shard", "_position").select(*docs.columns)
+    return out.repartition(SHARDS, "__gw_shard").sortWithinPartitions("__gw_shard", "__gw_position").select(*docs.columns)

@@ -179,12 +179,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in slices(batches, "_text"):
-            scores = [fitted.score(features(t)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "_score"])
+        for batch in slices(batches, "__gw_text"):
+            scores = [fitted.score(features(t)) for t in batch.column("__gw_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "__gw_score"])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.withColumn("_text", text_of()).mapInArrow(run, kind)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __gw_score double"
+    return docs.withColumn("__gw_text", text_of()).mapInArrow(run, kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,10 +192,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("__gw_score").alias("score"), (F.col("__gw_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, trained on the labels, does not reject."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter(F.col("_score") >= THRESHOLD).drop("_score")
+    return score(docs, model).filter(F.col("__gw_score") >= THRESHOLD).drop("__gw_score")

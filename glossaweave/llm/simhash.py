@@ -411,8 +411,8 @@ def first_of_near_copies(docs: DataFrame) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group of near copies, with all its columns."""
-    keep = written(first_of_near_copies(docs), "first-copies").select(F.col("doc_id").alias("_keep"), F.col("text_hash").alias("_keep_hash"))
-    seen = docs.withColumn("_hash", F.xxhash64(text_of()))
-    joined = seen.join(keep, seen["doc_id"].cast("long").eqNullSafe(keep["_keep"]) & (seen["_hash"] == keep["_keep_hash"]))
-    first = F.row_number().over(Window.partitionBy("_keep", "_keep_hash").orderBy(F.length(text_of())))
-    return joined.withColumn("_row", first).filter("_row = 1").select(*docs.columns)
+    keep = written(first_of_near_copies(docs), "first-copies").select(F.col("doc_id").alias("__gw_doc"), F.col("text_hash").alias("__gw_hash"))
+    seen = docs.withColumn("__gw_own", F.xxhash64(text_of()))
+    joined = seen.join(keep, seen["doc_id"].cast("long").eqNullSafe(keep["__gw_doc"]) & (seen["__gw_own"] == keep["__gw_hash"]))
+    first = F.row_number().over(Window.partitionBy("__gw_doc", "__gw_hash").orderBy(F.length(text_of())))
+    return joined.withColumn("__gw_row", first).filter("__gw_row = 1").select(*docs.columns)

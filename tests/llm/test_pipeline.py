@@ -105,3 +105,15 @@ def test_edges(spark, tmp_path):
     none = h.table(spark, tmp_path / "none", [])
     h.table(spark, tmp_path / "none", [], "doc_id long, quality int, toxic int", "labels")
     assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
+    names = ["digest", "keep_id", "copy", "kept", "n_chars", "fp", "sig", "root", "size", "block", "range", "pass", "shard", "part", "key", "score", "_text", "_row"]
+    data = [(i, f"some words of text number {i}", *[f"{n}{i}" for n in names], f"s{i % 2}") for i in range(12)]
+    data += [data[3]]
+    docs = spark.createDataFrame(data, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", source string")
+    h.table(spark, tmp_path, [(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int", "labels")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.collect()} <= set(data), name
