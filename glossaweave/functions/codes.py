@@ -236,6 +236,23 @@ def collapse_nested(text: str | None, codes: list[dict] | None = None) -> str:
     return text
 
 
+def bookmarks_first(text: str, codes: list[dict]) -> str:
+    """Anchors that name a place and lead nowhere, moved with their ends to the front of the text, where translators need not see
+    them. Text inside such an anchor stays where it was."""
+    if "ctype='link'" not in text:
+        return text
+    front = ""
+    for m in list(re.finditer(r"<bx id='(\d+)' ctype='link' rid='(\d+)'/>", text)):
+        body = codes[int(m[1]) - 1]["body"]
+        if not re.search(r"(?i)\sname\s*=", body) or re.search(r"(?i)\shref\s*=", body):
+            continue
+        end = re.search(rf"<ex id='\d+' rid='{m[2]}'/>", text)
+        front += m[0] + (end[0] if end else "")
+        text = text.replace(m[0], "", 1)
+        text = text.replace(end[0], "", 1) if end else text
+    return front + text
+
+
 def column(function: Callable, kind: str = "string") -> Callable[[Column], Column]:
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.Series:

@@ -124,4 +124,6 @@ def smart_quotes(column: Column) -> Column:
 
 
 def rewrite_meta_charset(column: Column, charset: str) -> Column:
-    return guarded(F.lower(column), "charset=", column) if not charset else F.regexp_replace(column, "(?i)(<meta[^>]*charset=['\"]?)[A-Za-z0-9_:.-]+", "$1" + charset)
+    """The charset that a meta element states, exchanged."""
+    swapped = F.regexp_replace(column, "(?i)(<meta\\s[^>]*charset=['\"]?)[A-Za-z0-9_:.-]+", "$1" + charset)
+    return F.when(column.rlike("(?i)charset="), swapped).otherwise(column)

@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """df to be broadcast if its number of rows, which the caller has counted, is at most `most`; else as it is, for a shuffled join."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,7 +15,8 @@
    then put in the order of another keyed hash.
 
 Words are maximal runs of characters other than SPACE. Sources are ordered by code point, null last, and weigh 1, 2, 3,
-repeating. Only the source table (one row a source) and the shards' quotas of each source are on the driver.
+repeating. Only the source table (one row a source) and the shards' quotas of each source are on the driver; they are
+broadcast after a check of their number, else joined by a shuffle.
 
 Defined results: a null text has no words; a document or source without words takes nothing. Repeated rows are
 documents of their own, told apart by a number. An empty table gives an empty result. Extra columns are ignored. Reruns
@@ -28,14 +29,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, text_of, written
+from .common import SPACE, documents, small, text_of, written
 
 BLOCK_WORDS = 256
 SHARDS = 64
 SEED = 20_240_601
 MOST = 3
 #: Blocks that a hash range holds on average.
-RANGE = 20_000
+RANGE = 1_000
 _WORD = "[^" + SPACE[1:] + "+"
 
 
@@ -130,13 +131,14 @@ def mix(docs: DataFrame, block_words: int | None = BLOCK_WORDS, shards: int = SH
     spark = docs.sparkSession
     rows = written(sizes_of(docs), "sizes")
     aims = written(targets(rows), "targets")
+    sources = aims.count()
     blocks = blocks_of(rows, block_words)
     ranges = max(1, -(-blocks.count() // RANGE))
     order = permuted(blocks, ranges)
     a = aims.select(F.col("source").alias("aim_source"), "source_size", "target")
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(0)
     rest = F.col("target") - F.col("passes") * F.col("source_size")
-    aimed = order.join(F.broadcast(a), order["source"].eqNullSafe(a["aim_source"])).withColumn("passes", passes)
+    aimed = order.join(small(a, sources), order["source"].eqNullSafe(a["aim_source"])).withColumn("passes", passes)
     # The last block taken is the one whose middle lies before the rest: the source ends within half a block of its target.
     times = (F.col("passes") + (F.col("before") + F.col("words") / 2 <= rest).cast("long")).cast("int")
     drawn = written(aimed.withColumn("times", times).filter("times > 0").select("doc_id", "source", "copy", "block", "words", "key", "place", "times"), "drawn")
@@ -148,9 +150,8 @@ def mix(docs: DataFrame, block_words: int | None = BLOCK_WORDS, shards: int = SH
     counted = draws.groupBy("source", "pass").count()
     ahead = Window.partitionBy("source").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
     passes_before = counted.select(F.col("source").alias("s"), F.col("pass").alias("p"), F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
-    # Broadcast: one row a source, and at most MOST + 1 rows a source.
-    placed = draws.join(F.broadcast(table), draws["source"].eqNullSafe(F.col("quota_source")))
-    placed = placed.join(F.broadcast(passes_before), placed["source"].eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")))
+    placed = draws.join(small(table, sources, 10_000), draws["source"].eqNullSafe(F.col("quota_source")))
+    placed = placed.join(small(passes_before, (MOST + 1) * sources), placed["source"].eqNullSafe(F.col("s")) & (F.col("pass") == F.col("p")))
     number = F.col("start") + F.col("place")
     shard = F.size(F.filter("cuts", lambda c: c <= number))
     position = F.xxhash64(F.lit(SEED + 1), "doc_id", "copy", "block", "pass")
@@ -164,7 +165,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = taken.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("copy").alias("c"), "taken", "draws", "first_shard")
     joined = rows.join(t, rows["doc_id"].eqNullSafe(t["d"]) & rows["source"].eqNullSafe(t["s"]) & (rows["copy"] == t["c"]), "left")
     a = aims.select(F.col("source").alias("aim_source"), "source_size", "target")
-    full = joined.join(F.broadcast(a), rows["source"].eqNullSafe(a["aim_source"]))
+    full = joined.join(small(a, aims.count()), rows["source"].eqNullSafe(a["aim_source"]))
     zero = F.lit(0).cast("long")
     return full.select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("draws", zero).alias("draws"), "first_shard")
 

@@ -38,9 +38,9 @@ from .common import documents, partitions, slices, text_of, written
 
 WINDOW, BLOCK = 50, 25
 #: Windows that a chunk holds on average, and hashes that a range of them holds.
-CHUNK, RANGE = 2_500_000, 4_000_000
+CHUNK, RANGE = 1_500_000, 2_000_000
 #: Windows after which a chunk sends what it has.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 #: Bits of a probe beyond those that number all windows.
 SPARE_BITS = 12
 LAST = 2**63 - 1
@@ -313,6 +313,7 @@ def dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = written(_candidates(texts, hits, placed, width), "candidates")
     windows = found.select("digest", "owner", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("digest", "owner", "w.starts", "w.h1", "w.h2")
     first = windows.groupBy("h1", "h2").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first < last").drop("last")
+    first = written(first, "first-windows")  # so that the join reads two plain shuffles, which adaptive execution splits
     repeats = windows.join(first, ["h1", "h2"]).filter("first < owner").groupBy("digest").agg(F.collect_list("starts").alias("starts"))
     cut = found.select("digest", "words").join(repeats, "digest").mapInArrow(_cut, "digest binary, n_removed long, kept binary")
     return rows.join(owners, "digest"), cut

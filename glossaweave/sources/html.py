@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codes import collapse_nested
+from ..functions.codes import bookmarks_first, collapse_nested
 from ..functions.text import is_translatable
 from ..schema import Parts, tokenise
 
@@ -58,8 +58,8 @@ _STRAY = re.compile(r"[<>]")
 
 
 class _Tokenizer:
-    def __init__(self, out: Parts, breaks: frozenset[str], prefix: str):
-        self.out, self.breaks, self.prefix = out, breaks, prefix
+    def __init__(self, out: Parts, breaks: frozenset[str], prefix: str, move: bool):
+        self.out, self.breaks, self.prefix, self.move = out, breaks, prefix, move
         self.text, self.raw, self.open, self.rid = "", "", [], 0
         self.pre = 0
 
@@ -68,7 +68,10 @@ class _Tokenizer:
         bare = re.sub(r"<[be]?x\s[^>]*>", "", self.text)
         if bare.strip():
             # Codes left open end here; their ends elsewhere are standalone.
-            self.out.para(collapse_nested(self.text if self.pre else re.sub(r"\s+", " ", self.text), self.out.codes))
+            text = self.text if self.pre else re.sub(r"\s+", " ", self.text)
+            if self.move:
+                text = bookmarks_first(text, self.out.codes)
+            self.out.para(collapse_nested(text, self.out.codes))
         else:
             self.out.literal(self.raw)
         self.text, self.raw = "", ""
@@ -128,10 +131,12 @@ class _Tokenizer:
         self.raw += text
 
 
-def tokenizer(tags: tuple[str, ...] = BREAK_TAGS, ctype_prefix: str = "x-html-"):
+def tokenizer(tags: tuple[str, ...] = BREAK_TAGS, ctype_prefix: str = "x-html-", move_bookmarks: bool = False):
     breaks = frozenset(tags)
-    return lambda html, out: _Tokenizer(out, breaks, ctype_prefix).run(html)
+    return lambda html, out: _Tokenizer(out, breaks, ctype_prefix, move_bookmarks).run(html)
 
 
-def read(docs: DataFrame, column: str = "text", tags: tuple[str, ...] = BREAK_TAGS) -> DataFrame:
-    return tokenise(docs, tokenizer(tags), column)
+def read(docs: DataFrame, column: str = "text", tags: tuple[str, ...] = BREAK_TAGS, move_bookmarks: bool = False) -> DataFrame:
+    """tags: those that break units, to be added to or taken from; move_bookmarks puts anchors without a target first, so that export
+    puts them there as well."""
+    return tokenise(docs, tokenizer(tags, move_bookmarks=move_bookmarks), column)

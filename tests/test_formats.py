@@ -199,3 +199,32 @@ def test_codes_within_codes(spark):
     f = spark.createDataFrame([("d", 1, "<i t='{{tu:1}}'>")], "doc_id string, code_id int, body string")
     got = merge.resolve_references(merge.resolve_codes(t, f), merge.resolve_codes(t, f))
     assert [r.text for r in got.filter("part_no = 0").collect()] == ["a <i t='tip'>"]
+
+
+def test_bookmarks_move_to_the_front(spark):
+    page = '<p>One <a name="here"></a>two <a href="x">three</a></p>'
+    read = html.read(one(spark, page), move_bookmarks=True)
+    got = texts(read)[0][1]
+    assert got.startswith("<x id='1' ctype='link'/>One two <bx id='3'")
+    assert round_trip(spark, read, "HTML") == '<p><a name="here"></a>One two <a href="x">three</a></p>'
+
+
+def test_collection_import_and_export(spark, tmp_path):
+    from glossaweave.plans import convert
+
+    source, tables = tmp_path / "in", str(tmp_path / "tables")
+    source.mkdir()
+    for name, body in {"a.html": b"<html><p>One. Two.</p></html>", "b.properties": b"k=v\n", "c.txt": b"Plain text.\n", "d.bin": b"\x00\x01", "e.po": b'msgid "x"\nmsgstr ""\n'}.items():
+        (source / name).write_bytes(body)
+    docs = convert.documents(spark, str(source))
+    assert {r.name: (r.kind, r.status) for r in docs.collect()} == {
+        "a.html": ("HTML", convert.SUCCEEDED), "b.properties": ("JAVA_PROPERTIES", convert.SUCCEEDED), "c.txt": ("PLAINTEXT", convert.SUCCEEDED), "d.bin": (None, convert.NOT_IMPLEMENTED), "e.po": ("PO", convert.SUCCEEDED),
+    }
+    convert.write_tables(docs, tables)
+    made = spark.read.parquet(f"{tables}/trans_units")
+    assert made.count() == 5
+    done = made.filter("core <> 'Two.'").select("tu_id", F.lit("fr").alias("lang"), F.lit("1").alias("phase"), F.lit("target").alias("kind"), F.lit(0).alias("ordinal"), F.upper("core").alias("text"))
+    done.write.parquet(f"{tables}/targets")
+    got = {r.name: r.text for r in convert.export_documents(spark, tables, "fr").collect()}
+    assert got["a.fr.html"].startswith("<html><p>ONE.") and "not yet translated: Two." in got["a.fr.html"]
+    assert got["b_fr.properties"] == "k=V\n" and got["c.fr.txt"] == "PLAIN TEXT.\n" and 'msgstr "X"' in got["e.fr.po"]
