@@ -166,7 +166,8 @@ def dedup(docs: DataFrame, historical: Column | None = None) -> DataFrame:
         historical = F.col("doc_id") <= F.lit(None if low is None else (low + high) // 2)
     old = F.coalesce(historical, F.lit(False))
     past = written(grouped(prints.filter(old)), "past")
-    shards = max(1, -(-past.count() // SHARD_KEYS))
+    # By all rows as well, so that a short history does not gather all new rows in a few shards.
+    shards = max(1, -(-past.count() // SHARD_KEYS), -(-prints.count() // (2 * SHARD_KEYS)))
     tables = build_history(past, shards)
     groups = against_history(grouped(prints.filter(~old)), tables, shards)
     winners = groups.select("digest", F.bitwise_not("inverse_id").alias("keep_id"), F.col("n_chars").alias("keep_chars"), F.col("rows").alias("group_size"))
