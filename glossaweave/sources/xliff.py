@@ -108,5 +108,5 @@ def write(units: DataFrame, lang: str, original: str, datatype: str) -> DataFram
     body = F.concat(attrs, F.lit(f"<source xml:lang='{lang}'>"), "prefix", F.lit("<mrk mtype='x-coretext'>"), "core", F.lit("</mrk>"), "suffix", F.lit("</source>\n</trans-unit>\n"))
     rows = units.select("doc_id", F.struct("part_no", "seg_no").alias("place"), body.alias("xml"))
     whole = joined_text(rows, ["doc_id"], "place", "xml", "units")
-    head = f"<?xml version='1.0' encoding='UTF-8'?>\n<xliff version='1.1' xmlns='urn:oasis:names:tc:xliff:document:1.1' xmlns:lt='http://www.lingotek.com/'>\n<file original='{original}' source-language='{lang}' datatype='{datatype}'>\n<header lt:segtype='sentence'></header>\n<body>\n"
+    head = f"<?xml version='1.0' encoding='UTF-8'?>\n<xliff version='1.1' xmlns='urn:oasis:names:tc:xliff:document:1.1' xmlns:lt='urn:glossaweave:units'>\n<file original='{original}' source-language='{lang}' datatype='{datatype}'>\n<header lt:segtype='sentence'></header>\n<body>\n"
     return whole.select("doc_id", F.concat(F.lit(head), "units", F.lit("</body>\n</file>\n</xliff>\n")).alias("text"))
