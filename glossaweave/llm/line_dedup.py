@@ -7,8 +7,9 @@
    documents share it, so copies by the thousand need no cap on df and never unfold into pairs.
 3. Each pair of documents so linked is aligned by patience diff over these lines: the common head and tail, then the lines
    that are unique on both sides, in their longest increasing order, then the gaps between them in the same way.
-4. Aligned lines that stand together in both documents are a common block. Blocks worth MIN_BITS or more are deleted
-   from the later document, so a block needs rare lines, or many less rare ones; a stray boilerplate line stays.
+4. Aligned lines that stand together in both documents are a common block. A block is deleted from the later document if
+   it has MIN_LINES lines or MIN_BYTES bytes of text, however many documents hold it and however large the table is; a
+   shorter one if it is worth MIN_BITS, so a stray short line of boilerplate stays.
 
 Later means a larger doc_id; rows without one are later than all others, and equal doc_ids go by a hash of the text.
 
@@ -33,21 +34,28 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, slices, text_of, written
 
 MIN_BITS = 8.0
+MIN_LINES = 3
+MIN_BYTES = 40
 LAST = 2**63 - 1
 
 
-def line_places(text: str) -> dict[int, list[int]]:
-    """The places of each distinct line that is not blank, by its 64-bit hash (signed)."""
+def line_places(text: str) -> dict[tuple[int, int], list[int]]:
+    """The places of each distinct line that is not blank, by its 64-bit hash (signed) and its size."""
     from xxhash import xxh3_64_intdigest
 
-    out: dict[int, list[int]] = {}
+    out: dict[tuple[int, int], list[int]] = {}
     for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
-        if line.strip():
+        if bare := line.strip():
             h = xxh3_64_intdigest(line)
-            out.setdefault(h - (1 << 64) if h >> 63 else h, []).append(i)
+            out.setdefault((h - (1 << 64) if h >> 63 else h, len(bare)), []).append(i)
     return out
 
 
+def size_of(line: str | tuple[int, int]) -> int:
+    """Bytes of a line without the white space round it; a line is its text, or its hash and size."""
+    return len(line.encode("utf-8", "surrogatepass").strip()) if isinstance(line, str) else line[1]
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Places of aligned equal items of two lists, ascending."""
     out, stack = [], [(0, len(a), 0, len(b))]
@@ -86,14 +94,14 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: dict[int, int], earlier: dict[int, int], bits: dict[int, float], least: float = MIN_BITS) -> list[int]:
+def common_blocks(later: dict, earlier: dict, bits: dict, least: float = MIN_BITS) -> list[int]:
     """The places of the later document that go. later, earlier: line by place; bits: what a line is worth."""
     x, y = sorted(later), sorted(earlier)
     gone, block, worth, last = [], [], 0.0, None
     for i, j in [*patience([later[p] for p in x], [earlier[p] for p in y]), (None, None)]:
         here = None if i is None else (x[i], y[j])
         if block and (here is None or here != (last[0] + 1, last[1] + 1)):
-            if worth >= least:
+            if worth >= least or len(block) >= MIN_LINES or sum(size_of(later[p]) for p in block) >= MIN_BYTES:
                 gone += block
             block, worth = [], 0.0
         if here:
@@ -108,16 +116,16 @@ def _identity(table: DataFrame | None = None) -> list[Column]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """key, tie, line, places: one row a document and distinct line."""
+    """key, tie, line, size, places: one row a document and distinct line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [line_places(t) for t in batch.column("text").to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            lines, places = [h for f in found for h in f], [p for f in found for p in f.values()]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("tie").take(at), pa.array(lines, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["key", "tie", "line", "places"])
+            lines, sizes, places = [h for f in found for h, _ in f], [n for f in found for _, n in f], [p for f in found for p in f.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("tie").take(at), pa.array(lines, pa.int64()), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32()))], ["key", "tie", "line", "size", "places"])
 
-    return docs.select(*_identity(), text_of().alias("text")).mapInArrow(run, "key long, tie long, line long, places array<int>")
+    return docs.select(*_identity(), text_of().alias("text")).mapInArrow(run, "key long, tie long, line long, size int, places array<int>")
 
 
 def removed_lines(docs: DataFrame, least: float = MIN_BITS) -> DataFrame:
@@ -129,11 +137,11 @@ def removed_lines(docs: DataFrame, least: float = MIN_BITS) -> DataFrame:
     shared = written(shared, "shared-lines")  # so that the join reads two plain shuffles, which adaptive execution splits
     bits = (F.log2(F.lit(float(max(1, total))) / F.col("df"))).alias("bits")
     links = lines.join(shared, "line").filter("struct(key, tie) > struct(first.key, first.tie)")
-    links = links.select("key", "tie", F.col("first.key").alias("key1"), F.col("first.tie").alias("tie1"), "line", bits, "places", F.col("first.places").alias("places1"))
+    links = links.select("key", "tie", F.col("first.key").alias("key1"), F.col("first.tie").alias("tie1"), "line", "size", bits, "places", F.col("first.places").alias("places1"))
     dealt = links.repartition(partitions(docs.sparkSession), "key", "tie").sortWithinPartitions("key", "tie", "key1", "tie1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "tie", "key1", "tie1", "line", "bits", "places", "places1")
+        names = ("key", "tie", "key1", "tie1", "line", "size", "bits", "places", "places1")
         pair, later, earlier, bits, gone, out = None, {}, {}, {}, set(), []
 
         def batch_of():
@@ -148,14 +156,14 @@ def removed_lines(docs: DataFrame, least: float = MIN_BITS) -> DataFrame:
             bits.clear()
 
         for batch in batches:
-            for key, tie, key1, tie1, line, worth, places, places1 in zip(*(batch.column(c).to_pylist() for c in names)):
+            for key, tie, key1, tie1, line, size, worth, places, places1 in zip(*(batch.column(c).to_pylist() for c in names)):
                 if pair and pair != (key, tie, key1, tie1):
                     close_pair()
                     if pair[:2] != (key, tie):
                         if gone:
                             out.append((*pair[:2], sorted(gone)))
                         gone = set()
-                pair = (key, tie, key1, tie1)
+                pair, line = (key, tie, key1, tie1), (line, size)
                 bits[line] = worth
                 later.update(dict.fromkeys(places, line))
                 earlier.update(dict.fromkeys(places1, line))

@@ -79,3 +79,14 @@ def test_edges(spark, tmp_path):
     data = [(None, "p\nq\nr", None, None, 1), (3, "p\nq\nr", None, None, 1), (3, "p\nq\nr", None, None, 1)] + [(i, f"z{i}", None, None, 1) for i in range(100, 400)]
     rows = d.query(spark, h.table(spark, tmp_path / "ids", data)).collect()
     assert {str(r.doc_id): r.n_removed for r in rows if r.n_lines == 3} == {"3": 0, "None": 3}
+
+
+def test_most_copied_text_goes_whatever_the_size_of_the_table(spark, tmp_path):
+    long, block = "one line of a license text that very many documents hold", "a b c\nd e f\ng h i"
+    for n in (9, 900):
+        texts = [f"own {i}\n{long}\nmid {i}\n{block}\nshort" if i % 3 == 0 else f"filler {i}" for i in range(n)]
+        texts += [long, long]
+        got = h.collected(d.query(spark, h.table(spark, tmp_path / str(n), h.rows(texts))))
+        assert got[0]["n_removed"] == 0 and got[n]["n_removed"] == got[n + 1]["n_removed"] == 1
+        # The holders of the block are a third of the rows.
+        assert all(got[i]["n_removed"] == 5 for i in range(3, n, 3))
