@@ -22,7 +22,7 @@ their component. An empty table gives an empty result. Extra columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +75,15 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def walk(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places in `keys` within the budget, a chunk at a time. keys: distinct uint64 sorted within their group, whose members share the first `depth` bits."""
+def _one_tree(label: np.ndarray, al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
+    """Which pairs of ranges hold members of one tree alone."""
+    run = np.cumsum(np.append(0, label[1:] != label[:-1]))
+    return (run[al] == run[ah - 1]) & (run[bl] == run[bh - 1]) & (label[al] == label[bl])
+
+
+def walk(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET, trees: Callable[[], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in `keys` within the budget, a chunk at a time. keys: uint64 sorted within their group, whose members share the first
+    `depth` bits. trees: labels of the places as they are by now; node pairs within one tree are dropped, and nothing else."""
     edge = np.flatnonzero(np.diff(group, prepend=group[0] - 1 if len(group) else 0)) if len(group) else np.zeros(0, np.int64)
     lo, hi = edge, np.append(edge[1:], len(keys))
     many = hi - lo > 1
@@ -90,6 +97,9 @@ def walk(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET)
             half = len(al) // 2
             stack += [(depth, al[half:], ah[half:], bl[half:], bh[half:], diff[half:]), (depth, al[:half], ah[:half], bl[:half], bh[:half], diff[:half])]
             continue
+        if trees:
+            apart = ~_one_tree(trees(), al, ah, bl, bh)
+            al, ah, bl, bh, diff = (v[apart] for v in (al, ah, bl, bh, diff))
         # Node pairs of two leaves are decided by all bits at once.
         leaf = (ah - al == 1) & (bh - bl == 1)
         if leaf.any():
@@ -98,7 +108,25 @@ def walk(keys: np.ndarray, group: np.ndarray, depth: int, budget: int = BUDGET)
             if near.any():
                 yield x[near], y[near]
             al, ah, bl, bh, diff = (v[~leaf] for v in (al, ah, bl, bh, diff))
-        if not len(al) or depth == 64:
+        if not len(al):
+            continue
+        if depth == 64:  # members with equal keys: all their pairs, in halves where they are many
+            many = (ah - al) * (bh - bl)
+            if many.sum() > FRONT:
+                half = len(al) // 2
+                if half:
+                    stack += [(64, *(v[half:] for v in (al, ah, bl, bh, diff))), (64, *(v[:half] for v in (al, ah, bl, bh, diff)))]
+                    continue
+                am, bm = (al + ah) // 2, (bl + bh) // 2
+                quarters = [(al, am, bl, bm), (am, ah, bm, bh), (al, am, bm, bh)] + ([] if al[0] == bl[0] and ah[0] == bh[0] else [(am, ah, bl, bm)])
+                stack += [(64, *q, diff) for q in quarters if q[1] > q[0] and q[3] > q[2]]
+                continue
+            at = np.repeat(np.arange(len(al)), many)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            x, y = al[at] + k // (bh - bl)[at], bl[at] + k % (bh - bl)[at]
+            pairs = (x < y) | ((al != bl) | (ah != bh))[at]
+            if pairs.any():
+                yield x[pairs], y[pairs]
             continue
         if depth not in ones_at:
             bit = (keys >> np.uint64(63 - depth)) & np.uint64(1)
@@ -304,17 +332,17 @@ class SpanningPairs(Forest):
                 self.label = up
 
 
-def near_pairs(group: np.ndarray, bits: np.ndarray, most: int = MOST_DIFFER, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that span the near members of each group. bits: members x WIDE/8 bytes, in the trie's order behind its top."""
+def near_pairs(group: np.ndarray, bits: np.ndarray, most: int = MOST_DIFFER, dense: int = DENSE, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that span the near members of each group; where trees are given, all near pairs between different ones.
+    bits: members x WIDE/8 bytes, in the trie's order behind its top."""
     words = np.ascontiguousarray(bits).view("<u8")
     keys = bits[:, :8].copy().view(">u8").ravel().astype(np.uint64)
     order = np.lexsort((keys, group))
     forest = SpanningPairs(len(keys))
-    size = np.bincount(group)[group]
-    inside = np.ones(len(keys), bool)
-    crowded = size > dense
+    found = forest.pairs
+    crowded = (np.bincount(group)[group] > dense) & (tree is None)
     if crowded.any():
-        # Neighbours in several orders of the bits join first; then one member of each tree stands for it.
+        # Neighbours in several orders of the bits join first, so that the walk can drop what is in one tree.
         for turn in range(0, 64, 8):
             turned = np.flatnonzero(crowded)
             turned = turned[np.lexsort((_rotated(keys[turned].view(np.int64), turn), group[turned]))]
@@ -322,23 +350,17 @@ def near_pairs(group: np.ndarray, bits: np.ndarray, most: int = MOST_DIFFER, den
                 x, y = turned[:-step], turned[step:]
                 near = (group[x] == group[y]) & (_distance(words, x, y) <= most)
                 forest.join(x[near], y[near])
-        inside = ~crowded | (forest.label == np.arange(len(keys)))
-    places = order[inside[order]]
-    sorted_keys, sorted_group = keys[places], group[places]
-    # Members with the same 64 bits are one leaf: each is compared with the one before it.
-    new = np.append(True, (sorted_keys[1:] != sorted_keys[:-1]) | (sorted_group[1:] != sorted_group[:-1]))
-    same = np.flatnonzero(~new)
-    for x, y in ((places[same - 1], places[same]),):
-        near = _distance(words, x, y) <= most
-        forest.join(x[near], y[near])
-    leaf = places[new]
-    for x, y in walk(keys[leaf], group[leaf], 0, WALK_BITS):
-        x, y = leaf[x], leaf[y]
+    for x, y in walk(keys[order], group[order], 0, WALK_BITS, lambda: (forest.label if tree is None else tree)[order]):
+        x, y = order[x], order[y]
         near = _distance(words, x, y) <= most
-        forest.join(x[near], y[near])
-    if not forest.pairs:
+        if tree is None:
+            forest.join(x[near], y[near])
+        else:
+            near &= tree[x] != tree[y]
+            found.append((x[near], y[near]))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(p) for p in zip(*forest.pairs))
+    return tuple(np.concatenate(p) for p in zip(*found))
 
 
 def near_copy_links(signatures: DataFrame, plan: tuple[int, int]) -> DataFrame:

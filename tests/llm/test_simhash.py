@@ -88,3 +88,33 @@ def test_repeated_and_missing_ids(spark, tmp_path):
     data = [(None, "x y z", None, None, None), (5, "x y z", None, None, 4), (5, "x y z", None, None, 4), (None, "other words here now", None, None, None)]
     got = simhash.query(spark, h.table(spark, tmp_path, data)).collect()
     assert sorted(str(r.component_id) for r in got) == ["5", "5", "5", "None"]
+
+
+def _spread(pairs, n):
+    f = simhash.Forest(n)
+    f.join(*pairs)
+    return f.label
+
+
+def test_chains_linked_by_other_members_and_equal_keys():
+    rng = np.random.default_rng(5)
+    # Two chains that drift away from a middle, where two members are near; and members with the same first 64 bits that are near in pairs alone.
+    rows = [rng.integers(0, 2, 512)]
+    for _ in range(119):
+        row = rows[-1].copy()
+        row[rng.choice(512, 60, False)] ^= 1
+        rows.append(row)
+    for k in (0, 0, 1, 1) * 20:
+        row = np.random.default_rng(90 + k).integers(0, 2, 512)
+        row[:64] = rows[0][:64]
+        row[64 + rng.choice(448, 10, False)] ^= 1
+        rows.append(row)
+    bits = np.packbits(np.array(rows, np.uint8), axis=1)
+    n, words = len(rows), bits.view("<u8")
+    x, y = np.triu_indices(n, 1)
+    near = (simhash._distance(words, x, y) <= simhash.MOST_DIFFER) & (np.bitwise_count(words[x, 0] ^ words[y, 0]) <= simhash.WALK_BITS)
+    want = _spread((x[near], y[near]), n)
+    for dense in (10_000, 20):
+        assert (_spread(simhash.near_pairs(np.zeros(n, np.int64), bits, dense=dense), n) == want).all()
+    got = simhash.near_pairs(np.zeros(n, np.int64), bits, tree=np.arange(n))
+    assert {tuple(sorted(p)) for p in zip(*(v.tolist() for v in got))} == set(zip(x[near].tolist(), y[near].tolist()))
