@@ -279,6 +279,8 @@ WALK_BITS = 22
 COPY_SHINGLE = 5
 #: Members of a subtree beyond which runs of near neighbours are joined before it is walked.
 DENSE = 5_000
+#: Members of a top beyond which it is dealt in blocks.
+HOT_TOP = 200_000
 
 
 def signature(text: str, shingle: int = COPY_SHINGLE) -> bytes:
@@ -363,51 +365,90 @@ def near_pairs(group: np.ndarray, bits: np.ndarray, most: int = MOST_DIFFER, den
     return tuple(np.concatenate(p) for p in zip(*found))
 
 
-def near_copy_links(signatures: DataFrame, plan: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between nodes of near signatures. signatures: node long, sig binary, distinct."""
+def _signatures(column: pa.Array) -> np.ndarray:
+    """A column of signatures as rows of bytes."""
+    if not len(column):
+        return np.zeros((0, WIDE // 8), np.uint8)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, WIDE // 8)
+
+
+def _turned(own: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The signatures' bits in another order, unpacked a chunk at a time."""
+    out = np.empty_like(own)
+    for i in range(0, len(own), 20_000):
+        out[i : i + 20_000] = np.packbits(np.unpackbits(own[i : i + 20_000], axis=1)[:, order], axis=1)
+    return out
+
+
+def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT_TOP) -> DataFrame:
+    """Links (a, b) between nodes of near signatures. signatures: node long, sig binary, distinct; and, for all near pairs between different
+    trees instead of a spanning forest, tree long.
+
+    A top with more than `hot` members is dealt as blocks of them: a unit of work for each two blocks, so that each pair of
+    members meets in one at least and none holds more than twice as many."""
     top, tries = plan
+    trees = "tree" in signatures.columns
+    spark = signatures.sparkSession
+    carried = ["node", "sig"] + ["tree"] * trees
+    types = ", ".join(f"{c} {'binary' if c == 'sig' else 'long'}" for c in carried)
+
+    def deal(names):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                bits = np.unpackbits(_signatures(batch.column("sig")), axis=1)
+                for trie in range(tries):
+                    first = bits[:, _order(trie)[:top]].astype(np.int64) @ (1 << np.arange(top, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), trie, np.int32)), pa.array(first), *(batch.column(c) for c in names)], ["trie", "top", *names])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, WIDE // 8), axis=1)
-            for trie in range(tries):
-                first = bits[:, _order(trie)[:top]].astype(np.int64) @ (1 << np.arange(top, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), trie, np.int32)), pa.array(first), batch.column("node"), batch.column("sig")], ["trie", "top", "node", "sig"])
+        return run
 
-    dealt = signatures.mapInArrow(deal, "trie int, top long, node long, sig binary").repartition(partitions(signatures.sparkSession), "trie", "top").sortWithinPartitions("trie", "top")
+    rows = signatures.select(*carried)
+    sizes = rows.mapInArrow(deal([]), "trie int, top long").groupBy("trie", "top").count()
+    large = [(r["trie"], r["top"], -(-r["count"] // hot)) for r in sizes.filter(F.col("count") > hot).collect()]  # at most tries x N / hot
+    dealt = rows.mapInArrow(deal(carried), f"trie int, top long, {types}")
+    if large:
+        big = spark.createDataFrame(large, "trie int, top long, blocks long")
+        dealt = dealt.join(F.broadcast(big) if len(large) <= 10_000 else big, ["trie", "top"], "left")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.least(x, own) * F.col("blocks") + F.greatest(x, own))
+        unit = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(units))
+        dealt = dealt.select("trie", "top", unit.alias("unit"), *carried)
+    else:
+        dealt = dealt.withColumn("unit", F.lit(0).cast("long"))
+    dealt = dealt.repartition(partitions(spark), "trie", "top", "unit").sortWithinPartitions("trie", "top", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(trie, rows):
-            node, first = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            own = np.frombuffer(b"".join(s for r in rows for s in r[2]), np.uint8).reshape(-1, WIDE // 8)
-            group = np.cumsum(np.append(True, first[1:] != first[:-1])) - 1
+            first, node, own, *tree = (np.concatenate(c) for c in zip(*rows))
+            group = np.cumsum(np.append(True, (first[1:] != first[:-1]).any(axis=1))) - 1
             several = np.bincount(group)[group] > 1
             if not several.any():
                 return None
-            node, own = node[several], own[several]
+            node, own, tree = node[several], own[several], [np.unique(t[several], return_inverse=True)[1] for t in tree]
             group = np.unique(group[several], return_inverse=True)[1]
-            behind = np.roll(_order(trie), -top)
-            turned = np.packbits(np.unpackbits(own, axis=1)[:, behind], axis=1)
-            x, y = near_pairs(group, turned)
+            x, y = near_pairs(group, _turned(own, np.roll(_order(trie), -top)), MOST_DIFFER, tree=tree[0] if tree else None)
             return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"]) if len(x) else None
 
         held, now, size = [], None, 0
         for batch in batches:
-            trie, tops = batch.column("trie").to_numpy(), batch.column("top").to_numpy()
-            # Cut where the trie changes; and, with enough in hand, where the top does.
-            cuts = np.flatnonzero(np.diff(trie)) + 1
+            trie = batch.column("trie").to_numpy()
+            units = np.stack([batch.column(c).to_numpy() for c in ("top", "unit")], axis=1)
+            # Cut where the trie changes; and, with enough in hand, where the unit does.
+            new = (trie[1:] != trie[:-1]) | (units[1:] != units[:-1]).any(axis=1)
+            cuts = np.flatnonzero(new) + 1 if size + len(trie) >= BUFFER else np.flatnonzero(np.diff(trie)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(trie)]):
                 if a == b:
                     continue
-                if held and (now != trie[a] or (size >= BUFFER and held[-1][1][-1] != tops[a])):
+                if held and (now != trie[a] or (size >= BUFFER and (held[-1][0][-1] != units[a]).any())):
                     out = linked(now, held)
                     if out is not None:
                         yield out
                     held, size = [], 0
                 part = batch.slice(a, b - a)
-                held.append((part.column("node").to_numpy(), tops[a:b], part.column("sig").to_pylist()))
+                held.append((units[a:b], part.column("node").to_numpy(), _signatures(part.column("sig")), *([part.column("tree").to_numpy()] if trees else [])))
                 now, size = trie[a], size + b - a
         if held and (out := linked(now, held)) is not None:
             yield out

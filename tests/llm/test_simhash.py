@@ -118,3 +118,16 @@ def test_chains_linked_by_other_members_and_equal_keys():
         assert (_spread(simhash.near_pairs(np.zeros(n, np.int64), bits, dense=dense), n) == want).all()
     got = simhash.near_pairs(np.zeros(n, np.int64), bits, tree=np.arange(n))
     assert {tuple(sorted(p)) for p in zip(*(v.tolist() for v in got))} == set(zip(x[near].tolist(), y[near].tolist()))
+
+
+def test_hot_tops_are_dealt_in_blocks_without_loss(spark):
+    rng = np.random.default_rng(6)
+    rows = np.repeat(rng.integers(0, 2, (3, 512)), 60, 0)
+    for r in rows:
+        r[rng.choice(512, 20, False)] ^= 1
+    data = [(i, bytes(np.packbits(r.astype(np.uint8)))) for i, r in enumerate(rows)]
+    sigs = spark.createDataFrame(data, "node long, sig binary")
+    for hot in (1000, 7):
+        got = simhash.near_copy_links(sigs, (2, 6), hot).distinct().collect()
+        label = _spread((np.array([r.a for r in got]), np.array([r.b for r in got])), 180)
+        assert [len(set(label[i : i + 60])) for i in (0, 60, 120)] == [1, 1, 1] and len(set(label)) == 3
