@@ -267,13 +267,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # At a Jaccard similarity of 0.8 about 15 % of the bits of two SimHashes differ, far beyond three of 64. So the stage
 # takes signatures of WIDE bits and walks many tries. Each trie has its own order of the bits, from a fixed permutation;
 # its subtrees under `top` equal first bits are the units of work, walked over the next 64 bits, and a pair of leaves
-# counts if at most MOST_DIFFER of all bits differ. Two texts at 0.8 agree in all of 16 bits with 0.849 ** 16 = 7 %, so
-# the number of tries is set for them to meet in one with 95 %, and nearly always at 0.9. Both numbers follow the number
-# of distinct signatures.
+# is proposed if at most CANDIDATE of all bits differ. Two texts at 0.8 agree in all of `top` bits with 0.849 ** top, so
+# the number of tries is set for them to meet in one with over 99 %, and nearly always at 0.9. Both numbers follow the
+# number of distinct signatures.
+#
+# The exact similarity of the texts decides. The tries' proposals give components; their members are compared with the
+# component's root, those that fail with all that were proposed to them, and where a component still falls apart, all
+# near signatures of its different parts are proposed and compared. So every proposed pair is either decided by its texts
+# or within one component already.
 WIDE = 512
-#: Signatures at a similarity of 0.8 differ in WIDE * acos(2 * 0.8 / 1.8) / pi = 78 bits on average, with a standard error of 8. With
-#: 88 bits nine in ten pairs at 0.8 count and nearly all at 0.85, and half of those at 0.75: the signatures' estimate decides.
+#: Signatures at a similarity of 0.8 differ in WIDE * acos(2 * 0.8 / 1.8) / pi = 78 bits on average, with a standard error of 8, and up
+#: to 96 where there are few shingles (four of five).
 MOST_DIFFER = 88
+CANDIDATE = 120
 AT_LIMIT = 0.849
 WALK_BITS = 22
 COPY_SHINGLE = 5
@@ -283,13 +289,23 @@ DENSE = 5_000
 HOT_TOP = 200_000
 
 
+def shingles_of(text: str, shingle: int = COPY_SHINGLE) -> set[bytes]:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return {b" ".join(words[i : i + shingle]) for i in range(n)}
+
+
+def near(x: set, y: set) -> bool:
+    """Whether the Jaccard similarity is 0.8 or more."""
+    both = len(x & y)
+    return 5 * both >= 4 * (len(x) + len(y) - both)
+
+
 def signature(text: str, shingle: int = COPY_SHINGLE) -> bytes:
     """WIDE bits: the majorities of the bits of the hashes of the different shingles."""
     from xxhash import xxh3_128_digest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    shingles = list({b" ".join(words[i : i + shingle]) for i in range(n)})
+    shingles = list(shingles_of(text, shingle))
     ones = np.zeros(WIDE, np.int64)
     for start in range(0, len(shingles), _RUN):
         raw = b"".join([xxh3_128_digest(s, seed) for s in shingles[start : start + _RUN] for seed in range(WIDE // 128)])
@@ -299,8 +315,8 @@ def signature(text: str, shingle: int = COPY_SHINGLE) -> bytes:
 
 def trie_plan(distinct: int) -> tuple[int, int]:
     """Bits of the top and number of tries for so many signatures."""
-    top = max(16, distinct.bit_length() - 4)
-    return top, int(np.ceil(3 / AT_LIMIT**top))
+    top = max(12, distinct.bit_length() - 4)
+    return top, int(np.ceil(5 / AT_LIMIT**top))
 
 
 def _order(trie: int) -> np.ndarray:
@@ -429,7 +445,7 @@ def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT
                 return None
             node, own, tree = node[several], own[several], [np.unique(t[several], return_inverse=True)[1] for t in tree]
             group = np.unique(group[several], return_inverse=True)[1]
-            x, y = near_pairs(group, _turned(own, np.roll(_order(trie), -top)), MOST_DIFFER, tree=tree[0] if tree else None)
+            x, y = near_pairs(group, _turned(own, np.roll(_order(trie), -top)), CANDIDATE, tree=tree[0] if tree else None)
             return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"]) if len(x) else None
 
         held, now, size = [], None, 0
@@ -456,6 +472,52 @@ def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def exact_links(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the links (a, b) whose texts are near. texts: node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, own = None, set()
+        for batch in batches:
+            for part in slices(slices([batch], "text_a"), "text_b"):
+                keep = []
+                for b, text_a, text_b in zip(part.column("b").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
+                    if b != node:
+                        node, own = b, shingles_of(text_b)
+                    keep.append(near(shingles_of(text_a), own))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    return links.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _proposed(signatures: DataFrame, plan: tuple[int, int]) -> DataFrame:
+    links = near_copy_links(signatures, plan)
+    return written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
+
+
+def near_copy_roots(distinct: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root of every node (of `distinct`: node, sig) that has near copies. texts_of: the texts (node, text) of some nodes."""
+    plan = trie_plan(distinct.count())
+    proposed = _proposed(distinct.select("node", "sig"), plan)
+    roots = written(components(proposed), "proposed-roots")
+    texts = written(texts_of(roots.select("node")), "near-texts")
+    star = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    links = written(exact_links(star, texts), "near-links")
+    failed = written(star.join(links, "a", "left_anti").select(F.col("a").alias("failed")), "no-copies-of-root")
+    touched = [proposed.join(failed, proposed[c] == failed["failed"], "left_semi") for c in "ab"]
+    rest = touched[0].union(touched[1]).distinct().join(star, ["a", "b"], "left_anti")
+    links = links.union(written(exact_links(rest, texts), "near-links"))
+    parts = components(links).select(F.col("node").alias("n"), F.col("root").alias("tree"))
+    placed = written(roots.join(parts, F.col("node") == F.col("n"), "left").select("node", "root", F.coalesce("tree", "node").alias("tree")), "near-parts")
+    apart = placed.groupBy("root").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).filter("x <> y").select("root")
+    loose = written(placed.join(apart, "root", "left_semi").join(distinct.select("node", "sig"), "node").select("node", "sig", "tree"), "loose-signatures")
+    if loose.isEmpty():
+        return placed.select("node", F.col("tree").alias("root"))
+    last = written(exact_links(_proposed(loose, plan), texts), "near-links")
+    return components(links.union(last))
+
+
 def first_of_near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash of the first row (smallest doc_id) of each group of near copies."""
 
@@ -467,7 +529,13 @@ def first_of_near_copies(docs: DataFrame) -> DataFrame:
     signed = written(rows.mapInArrow(sign, "doc_id long, sig binary, text_hash long"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     distinct = written(signed.groupBy("sig").agg(first).withColumn("node", F.xxhash64("sig")), "distinct-signatures")
-    roots = components(near_copy_links(distinct.select("node", "sig"), trie_plan(distinct.count())))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = distinct.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+        found = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["text_hash"] == wanted["hash"]))
+        return found.select("node", "text").dropDuplicates(["node"])
+
+    roots = near_copy_roots(distinct, texts_of)
     placed = distinct.select(F.col("node").alias("n"), "first").join(roots, F.col("n") == F.col("node"), "left")
     return placed.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash")
 

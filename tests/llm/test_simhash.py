@@ -131,3 +131,22 @@ def test_hot_tops_are_dealt_in_blocks_without_loss(spark):
         got = simhash.near_copy_links(sigs, (2, 6), hot).distinct().collect()
         label = _spread((np.array([r.a for r in got]), np.array([r.b for r in got])), 180)
         assert [len(set(label[i : i + 60])) for i in (0, 60, 120)] == [1, 1, 1] and len(set(label)) == 3
+
+
+def test_exact_similarity_decides_near_copies(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    texts = []
+    for n in [10, 14] * 8 + [120] * 30 + [300] * 20:
+        base = [word() for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            # The last words change: similarities on both sides of 0.8, and chains over the base.
+            k = max(1, int(n * rng.uniform(0.03, 0.16)))
+            texts.append(" ".join(base[:-k] + [word() for _ in range(k)]))
+    sets = [simhash.shingles_of(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = _spread((np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])), len(texts))
+    kept = simhash.stage(spark, spark.createDataFrame(h.rows(texts), h.SCHEMA), "").collect()
+    assert 50 < len(set(want)) < len(texts) - 20
+    assert sorted(r.doc_id for r in kept) == sorted(set(want.tolist()))
