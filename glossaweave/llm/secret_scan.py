@@ -6,7 +6,7 @@ string in an image of the text that has one byte for hexadecimal digits and anot
 
 Kinds: assign, access and hex are kept as they match. github and npm tokens are kept if their last six characters are the
 base-62 CRC-32 of the thirty before; jwt if its first part is the base64 of a JSON object with "alg"; pem private key
-headers have no checksum and are kept with their footer.
+headers have no checksum and are kept with the next footer, however far, unless another header or the text's end comes first.
 
 Defined results: a null text counts as empty; an empty text has no spans. Spans of a kind do not overlap, spans of
 different kinds may. Every row is scanned by itself, so repeated rows give repeated results and no shuffle is needed.
@@ -46,8 +46,9 @@ PATTERNS = {
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"),
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:.{0,20000}?-----END [A-Z ]*PRIVATE KEY-----)?", re.S),
+    "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 }
+FOOTER = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 HEX_RUN = 32
 _DIGITS = b"0123456789abcdef"
 _IMAGE = bytes(104 if b in _DIGITS else 46 for b in range(256))
@@ -91,6 +92,13 @@ def _valid(kind: str, m: re.Match) -> bool:
     return kind != "jwt" or _json_header(m[1])
 
 
+def pem_end(text: str, at: int) -> int:
+    """The end of the footer that belongs to the private key header ending at `at`; `at` itself if there is none."""
+    header = PATTERNS["pem"].search(text, at)
+    footer = FOOTER.search(text, at, header.start() if header else len(text))
+    return footer.end() if footer else at
+
+
 def hex_runs(raw: bytes) -> Iterator[tuple[int, int]]:
     image, probe, at = raw.translate(_IMAGE), b"h" * HEX_RUN, 0
     while (start := image.find(probe, at)) >= 0:
@@ -107,9 +115,9 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         start = last - length + 1
         # A match, kept or dropped, uses up its characters for its kind.
         if start >= ends[kind] and (m := PATTERNS[kind].match(text, start)):
-            ends[kind] = m.end()
+            ends[kind] = pem_end(text, m.end()) if kind == "pem" else m.end()
             if _valid(kind, m):
-                spans.append((kind, start, m.end()))
+                spans.append((kind, start, ends[kind]))
     plain, done, chars = text.isascii(), 0, 0
     for start, end in hex_runs(raw):
         at = start

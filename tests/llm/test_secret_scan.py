@@ -55,3 +55,12 @@ def test_edges(spark, tmp_path):
     assert s.query(spark, h.table(spark, tmp_path / "none", [])).collect() == []
     docs = spark.createDataFrame([(1, "my token=abcdefgh!", "k")], "doc_id long, text string, spans string")
     assert s.redact(docs).first().text == "my [secret]!"
+
+
+def test_long_private_keys_are_kept_whole():
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    pem = lambda text: [(a, b) for k, a, b in s.scan(text) if k == "pem"]
+    key = head + "\n" + "Ab+/" * 20_000 + "\n" + foot
+    assert pem("x " + key + " y") == [(2, 2 + len(key))]
+    assert pem(head + " z " + key) == [(0, len(head)), (len(head) + 3, len(head) + 3 + len(key))]
+    assert pem(foot + head * 2) == [(len(foot), len(foot) + len(head)), (len(foot) + len(head), len(foot) + 2 * len(head))]
