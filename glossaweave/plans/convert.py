@@ -95,24 +95,31 @@ def import_documents(docs: DataFrame, kind: str, boundary: str = "SENTENCE") ->
 def write_tables(docs: DataFrame, folder: str, boundary: str = "SENTENCE") -> None:
     """All types' tables, each a folder kind=TYPE. Types are read one after the other; the files of one are one job."""
     docs.drop("content").write.mode("overwrite").parquet(f"{folder}/documents")
+    binary = [kind for kind, form in FORMATS.items() if form.binary]
+    docs.filter(F.col("kind").isin(binary)).select("doc_id", "kind", "content").write.mode("overwrite").parquet(f"{folder}/archives")
     for kind in FORMATS:
         for name, table in import_documents(docs, kind, boundary).items():
             table.write.mode("overwrite").parquet(f"{folder}/{name}/kind={kind}")
 
 
 def export_documents(spark: SparkSession, folder: str, lang: str, phase: str | None = None, most: int = 0) -> DataFrame:
-    """doc_id, name, kind, text of every document in the given language. A table `targets` (tu_id, lang, phase, kind, ordinal, text) below the
+    """doc_id, name, kind, text (content for archives; null if one cannot be opened) of every document in the given language. A table `targets` (tu_id, lang, phase, kind, ordinal, text) below the
     folder holds the translations; what has none is marked so."""
     chosen = targets.choose(spark.read.parquet(f"{folder}/targets"), lang, phase, most)
     names = spark.read.parquet(f"{folder}/documents").select("doc_id", "name")
     out = None
     for kind, form in FORMATS.items():
-        if not form.finish or form.binary:
+        if not form.finish:
             continue
         read = spark.read.parquet(f"{folder}/tokenised/kind={kind}")
         made = spark.read.parquet(f"{folder}/trans_units/kind={kind}").withColumn("ordinal", F.col("part_no") + F.col("seg_no") + 1)
-        texts = export.export(read, targets.with_default(made, chosen), kind)
-        named = texts.join(names, "doc_id").select("doc_id", export.output_name(F.col("name"), lang, kind).alias("name"), F.lit(kind).alias("kind"), "text")
+        texts = export.export(read, targets.with_default(made, chosen), "ODT" if form.binary else kind)
+        if form.binary:
+            archives = spark.read.parquet(f"{folder}/archives").filter(F.col("kind") == kind)
+            texts = office.rezipped(archives, texts).withColumn("text", F.lit(None).cast("string"))
+        else:
+            texts = texts.withColumn("content", F.lit(None).cast("binary"))
+        named = texts.join(names, "doc_id").select("doc_id", export.output_name(F.col("name"), lang, kind).alias("name"), F.lit(kind).alias("kind"), "text", "content")
         out = named if out is None else out.unionByName(named)
     return out
 

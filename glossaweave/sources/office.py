@@ -129,8 +129,10 @@ def read_odf(docs: DataFrame, column: str = "content") -> DataFrame:
 
 
 def rezipped(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id, content: each archive with its members exchanged for the texts of `members` (doc_id 'id/member', text)."""
-    parts = members.select(F.substring_index("doc_id", "/", 1).alias("owner"), F.substring_index("doc_id", "/", -1).alias("member"), "text")
+    """doc_id, content: each archive with its members exchanged for the texts of `members` (doc_id 'id/member', text); null for what is no archive."""
+    member = F.substring_index("doc_id", "/", -1)  # the members that hold text lie at the top
+    owner = F.expr("left(doc_id, length(doc_id) - length(substring_index(doc_id, '/', -1)) - 1)")
+    parts = members.select(owner.alias("owner"), member.alias("member"), "text")
     packed = parts.groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("member", "text"))).alias("new"))
     joined = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").join(packed, F.col("doc_id") == F.col("owner"), "left")
 
@@ -139,6 +141,9 @@ def rezipped(docs: DataFrame, members: DataFrame) -> DataFrame:
             rows = []
             for doc, raw, new in zip(pdf["doc_id"], pdf["content"], pdf["new"]):
                 new, buffer = dict(new or {}), io.BytesIO()
+                if not zipfile.is_zipfile(io.BytesIO(raw)):
+                    rows.append((doc, None))
+                    continue
                 with zipfile.ZipFile(io.BytesIO(raw)) as old, zipfile.ZipFile(buffer, "w") as z:
                     for item in old.infolist():
                         z.writestr(item, new[item.filename].encode("utf-8") if item.filename in new else old.read(item.filename))

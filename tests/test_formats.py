@@ -228,3 +228,20 @@ def test_collection_import_and_export(spark, tmp_path):
     got = {r.name: r.text for r in convert.export_documents(spark, tables, "fr").collect()}
     assert got["a.fr.html"].startswith("<html><p>ONE.") and "not yet translated: Two." in got["a.fr.html"]
     assert got["b_fr.properties"] == "k=V\n" and got["c.fr.txt"] == "PLAIN TEXT.\n" and 'msgstr "X"' in got["e.fr.po"]
+
+
+def test_archives_are_exported_from_a_folder(spark, tmp_path):
+    from glossaweave.plans import convert
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name in ("a.odt", "sub/b.odt"):
+        (tmp_path / "in" / name).write_bytes(bytes(odf()[1]))
+    tables = str(tmp_path / "tables")
+    convert.write_tables(convert.documents(spark, str(tmp_path / "in")), tables)
+    made = spark.read.parquet(f"{tables}/trans_units/kind=ODT")
+    made.select("tu_id", F.lit("fr").alias("lang"), F.lit("1").alias("phase"), F.lit("target").alias("kind"), F.lit(1).alias("ordinal"), F.lit("Traduit").alias("text")).write.parquet(f"{tables}/targets")
+    got = {r.name: bytes(r.content) for r in convert.export_documents(spark, tables, "fr").collect()}
+    assert sorted(got) == ["a.fr.odt", "b.fr.odt"]
+    for content in got.values():
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            assert "Traduit" in z.read("content.xml").decode() and "A note" not in z.read("content.xml").decode()
