@@ -57,21 +57,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_bounds(ids: DataFrame, parts: int, column: str = "doc_id") -> list[int]:
-    """At most `parts` ascending ids that occur in the column, the last the largest of all, each the upper end of a range of about as many rows."""
+def id_bounds(ids: DataFrame, parts: int, column: str = "doc_id", repeated: bool = False) -> list[int]:
+    """At most `parts` ascending ids that occur in the column, the last the largest of all, each the upper end of a range of about as many rows.
+    repeated: an id that fills several ranges by itself stands as often."""
     keys = ids.select(F.coalesce(F.col(column).cast("long"), F.lit(NO_ID)).alias("k"))
     shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts)])
     row = keys.agg(F.percentile_approx("k", shares, max(10_000, 20 * parts)).alias("at"), F.max("k").alias("last")).first()
-    return [] if row["last"] is None else sorted({*row["at"], row["last"]})
+    if row["last"] is None:
+        return []
+    return sorted([*row["at"], *[row["last"]] * (row["last"] not in row["at"])] if repeated else {*row["at"], row["last"]})
 
 
 def range_number(bounds: list[int]):
-    """A column function: the number of the range of id_bounds in which an id lies."""
+    """A column function of an id and a hash: the number of the range of id_bounds in which the id lies; of the ranges that one id fills, that
+    of its hash."""
     at = np.array(bounds, dtype=np.int64)
 
     @F.pandas_udf("int")
-    def number(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, k.to_numpy(np.int64), side="left").astype(np.int32))
+    def number(k: pd.Series, h: pd.Series) -> pd.Series:
+        k = k.to_numpy(np.int64)
+        first = np.searchsorted(at, k, side="left")
+        several = np.maximum(np.searchsorted(at, k, side="right") - first, 1)
+        share = (h.to_numpy(np.int64) >> 32).astype(np.float64) / 2**32 + 0.5
+        return pd.Series((first + np.minimum((share * several).astype(np.int64), several - 1)).astype(np.int32))
 
     return number
 

@@ -10,7 +10,8 @@ common, with a standard error of about LANES ** -0.5.
 Defined results: a null text counts as empty; an empty text is one empty paragraph. Equal texts, and texts whose
 paragraphs are the same multiset, have equal fingerprints. A lane that passes 2**15 (a piece repeated so often) wraps:
 equality stays exact, likeness gets coarse. Rows without a doc_id come last in descending order; equal doc_ids are put
-in order by a hash of the text. A table of one row is its own next document. Extra columns are ignored.
+in order by a hash of the text. A table of one row is its own next document, an empty table gives an empty result. Very long
+texts come few at a time and are hashed whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, id_bounds, partitions, range_number, text_of
+from .common import NO_ID, documents, id_bounds, partitions, range_number, slices, text_of
 
 LANES = 512
 _CLAUSE = re.compile(r"[^.!?,;:|]+[.!?,;:|]*\s*")
@@ -84,7 +85,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint (base64) of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([encode(of_text(t)) for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
@@ -103,7 +104,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("part"), F.lit(0).alias("place"))
     above = F.when((F.col("part") < top) & F.col("at_end"), F.struct((F.col("part") + 1).alias("part"), F.lit(1).alias("place")))
     around = F.when((F.col("part") == top) & F.col("at_end"), F.struct(F.lit(0).alias("part"), F.lit(2).alias("place")))
-    numbered = rows.withColumn("part", range_number(bounds)(key)).withColumn("at_end", key.isin(bounds) if len(bounds) <= 100 else F.array_contains(F.lit(bounds), key))
+    numbered = rows.withColumn("part", range_number(bounds)(key, F.lit(0).cast("long"))).withColumn("at_end", key.isin(bounds) if len(bounds) <= 100 else F.array_contains(F.lit(bounds), key))
     dealt = numbered.withColumn("to", F.explode(F.filter(F.array(own, above, around), lambda x: x.isNotNull())))
     dealt = dealt.select("to.part", "to.place", key.alias("key"), "doc_id", "text")
     return dealt.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "place", F.desc("key"), F.xxhash64("text"))
@@ -115,7 +116,7 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows():
         nonlocal held, closed
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for part, place, doc, text in zip(*(batch.column(c).to_pylist() for c in ("part", "place", "doc_id", "text"))):
                 if part == closed:
                     continue

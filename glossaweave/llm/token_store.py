@@ -2,17 +2,20 @@
 
 The store is a Parquet table of blocks in the shared folder. A block's payload is self-contained:
 
-    magic "GWT1" | id width 2 or 4 | documents n | ids u | low bits l | lengths of the parts | doc_ids | low | high | samples | ids
+    magic "GWT2" | id width 2 or 4 | documents n | ids u | first doc_id | ends | doc_ids | ids
+    ends, doc_ids: low bits l | lengths of low, high and samples | low | high | samples
 
 Boundaries (the end of each document in the block's id array) ascend, so the lowest l = floor(log2(u / n)) bits of each
 are packed side by side and the rest is unary: bit (end >> l) + i of `high` is set for document i. That is at most
 2 + log2(u / n) bits a document. `samples` has the place of every 64th one bit in 32 bits, and select(i) counts on from
-there. No table of 64-bit offsets is kept: a block's place among all ids comes from the sums of the blocks before it.
+there: the reader takes every offset from it. No table of 64-bit offsets is kept: a block's place among all ids comes from
+the sums of the blocks before it. doc_ids ascend too and are kept in the same way, counted from the block's first.
 
 Defined results: a null text counts as empty; an empty text has the end id alone. Documents are stored by ascending
-doc_id, those without one first; repeated rows are stored as often as they occur. An empty table makes an empty store.
-Extra columns are ignored. A document of any length is one run of ids in one block; a block closes once it has
-BLOCK_IDS, so only a longer document makes it larger.
+doc_id, those without one first; repeated rows are stored as often as they occur, rows of equal doc_id by a hash of their
+text, which also deals an id that fills more than one range. An empty table makes an empty store. Extra columns are
+ignored. A document of any length is one run of ids in one block; a block closes once it has BLOCK_IDS, so only a longer
+document makes it larger.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NO_ID, documents, id_bounds, partitions, range_number, shared_dir, slices, text_of
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 BLOCK_IDS = 1 << 18
 SAMPLE = 64
-MAGIC = b"GWT1"
-HEAD = struct.Struct("<4sBBxxIIIII")
+MAGIC = b"GWT2"
+HEAD = struct.Struct("<4sBxxxIIq")
+SEQUENCE = struct.Struct("<BxxxIII")
 
 
 def _pack(values: np.ndarray, bits: int) -> bytes:
@@ -87,25 +91,36 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)) << self.bits) | _unpack(self.low, self.bits, self.n)
 
+    def to_bytes(self) -> bytes:
+        return SEQUENCE.pack(self.bits, len(self.low), len(self.high), len(self.samples)) + self.low + self.high + self.samples
+
+    @classmethod
+    def at(cls, raw: memoryview, n: int, at: int) -> tuple[EliasFano, int]:
+        """A sequence that starts at a place of a block, and the place behind it."""
+        bits, *lengths = SEQUENCE.unpack_from(raw, at)
+        at += SEQUENCE.size
+        parts = []
+        for length in lengths:
+            parts.append(bytes(raw[at : at + length]))
+            at += length
+        return cls(n, bits, *parts), at
+
 
 def pack_block(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids)
     ends = EliasFano.of(np.cumsum([len(x) for x in ids]))
-    docs = np.array(doc_ids, "<i8").tobytes()
-    head = HEAD.pack(MAGIC, flat.dtype.itemsize, ends.bits, len(ids), len(flat), len(ends.low), len(ends.high), len(ends.samples))
-    return b"".join([head, docs, ends.low, ends.high, ends.samples, flat.tobytes()])
+    docs = EliasFano.of(np.array(doc_ids, np.int64).view(np.uint64) - np.array(doc_ids[:1], np.int64).view(np.uint64))
+    return b"".join([HEAD.pack(MAGIC, flat.dtype.itemsize, len(ids), len(flat), doc_ids[0]), ends.to_bytes(), docs.to_bytes(), flat.tobytes()])
 
 
-def open_block(raw: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
-    """doc_ids, ends and ids of a block, without a copy of the ids."""
-    magic, width, bits, n, u, low, high, samples = HEAD.unpack_from(raw)
+def open_block(raw: bytes | memoryview) -> tuple[int, EliasFano, EliasFano, np.ndarray]:
+    """First doc_id, doc_ids counted from it, ends and ids of a block, without a copy of the ids."""
+    magic, width, n, u, first = HEAD.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a token block")
-    at = HEAD.size + 8 * n
-    docs = np.frombuffer(raw, "<i8", n, HEAD.size)
-    parts = [bytes(raw[at : at + low]), bytes(raw[at + low : at + low + high]), bytes(raw[at + low + high : at + low + high + samples])]
-    ids = np.frombuffer(raw, f"<u{width}", u, at + low + high + samples)
-    return docs, EliasFano(n, bits, *parts), ids
+    ends, at = EliasFano.at(raw, n, HEAD.size)
+    docs, at = EliasFano.at(raw, n, at)
+    return first, docs, ends, np.frombuffer(raw, f"<u{width}", u, at)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0) -> None:
@@ -113,8 +128,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of().alias("text"))
     count = partitions(spark)
-    part = range_number(id_bounds(rows, count))
-    dealt = rows.withColumn("part", part("doc_id")).repartition(count, "part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
+    part = range_number(id_bounds(rows, count, repeated=True))
+    dealt = rows.withColumn("part", part("doc_id", F.xxhash64("text"))).repartition(count, "part").sortWithinPartitions("part", "doc_id", F.xxhash64("text"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(vocabulary), np.array([end_id])
@@ -126,7 +141,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json", end
             base, held, ids, size = base + size, [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["part", "base", "n_docs", "n_ids", "payload"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             coded = coder.encode(batch.column("text"))
             for p, doc, own in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), coded):
                 if p != part:
@@ -160,12 +175,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, raw in zip(batch.column("base").to_pylist(), batch.column("payload")):
-                docs, ends, ids = open_block(raw.as_buffer().to_pybytes())
-                stop = ends.values()
-                start = np.append(0, stop[:-1])
-                wide = ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(start, stop)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NO_ID), pa.array(start + base), pa.array(stop - start), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                first, docs, ends, ids = open_block(memoryview(raw.as_buffer()))
+                doc_ids = [first + docs.select(i) for i in range(docs.n)]
+                stop = [ends.select(i) for i in range(ends.n)]
+                start = [0, *stop[:-1]]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(start, stop)]
+                columns = [pa.array([None if d == NO_ID else d for d in doc_ids], pa.int64()), pa.array([base + a for a in start], pa.int64()), pa.array([b - a for a, b in zip(start, stop)], pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return with_base(spark, path).select("base", "payload").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -11,13 +11,16 @@ from __future__ import annotations
 import gc
 import os
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces a worker keeps; beyond that it starts anew.
-CACHE = 1_200_000
+#: Bytes of pieces and their ids that a worker keeps, about; beyond that it starts anew. What one piece costs besides, and the longest kept.
+CACHE, ENTRY, LONG = 64 << 20, 200, 64
+#: Bytes of text to encode at once.
+SLICE = 4_000_000
 #: New pieces encoded as one text.
 GROUP = 128
 
@@ -42,6 +45,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.size = 0
         self.tails = {"": b"", ",": self.whole(","), ".": self.whole("."), "\n": self.whole("\n")}
         probe = self.tokenizer.encode("A é", add_special_tokens=False).tokens
         self.lower = probe[0].startswith("a")  # lower case, white space dropped
@@ -67,8 +71,9 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.known) > CACHE:
+        if self.size > CACHE:
             self.known.clear()
+            self.size = 0
         # Words as numbers of a batch's different words: Arrow splits and numbers them, only different ones become objects.
         if self.lower:
             split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -113,11 +118,11 @@ class Encoder:
         return out
 
     def _learn(self, new: set) -> dict:
-        """Learns new pieces; gives those that are not kept: with line breaks, or not to stand alone (False).
+        """Learns new pieces; gives those that are not kept: with line breaks, very long, or not to stand alone (False).
 
         A comma or full stop after a letter, and a line break between words, are words of their own.
         """
-        known, fresh, lines = self.known, {}, []
+        known, fresh, lines, before = self.known, {}, [], len(self.known)
         if not self.lower:
             fresh = {w: False for w in new if not w or w[0].isspace()}
             for w in [w for w in new if "\n" in w and w not in fresh]:
@@ -132,14 +137,19 @@ class Encoder:
         wanted = {stem for _, (stem, tail) in ended if tail}
         for _, (first, *rest) in lines:
             wanted.add(first[0])
-            wanted.update(["\n" + stem for stem, _ in rest])
+            wanted.update([" " + stem for stem, _ in rest])
         self._encode_new([*plain, *[x for x in wanted if x not in known and x not in plain]])
         known.update([(w, known[stem] + self.tails[tail]) for w, (stem, tail) in ended if tail])
         for w, ((stem, tail), *rest) in lines:
             raw = known[stem] + self.tails[tail]
             for stem, tail in rest:
-                raw += self.tails["\n"] + known["\n" + stem] + self.tails[tail]
+                raw += self.tails["\n"] + known[" " + stem] + self.tails[tail]
             fresh[w] = raw
+        for w in list(islice(known, before, None)):
+            if len(w) > LONG:
+                fresh[w] = known.pop(w)
+            else:
+                self.size += len(w) + len(known[w]) + ENTRY
         return fresh
 
     @staticmethod
@@ -147,7 +157,7 @@ class Encoder:
         return (word[:-1], word[-1]) if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() and word[-2] < "ɐ" else (word, "")
 
     def _encode_new(self, words: list[str]) -> None:
-        """Pieces encoded thousands to a call, and told apart in its ids. A piece after a line break starts with it."""
+        """Pieces encoded thousands to a call, and told apart in its ids. A stem after a line break is marked by a space, which no piece has."""
         known = self.known
         if self.lower:
             plain = [w for w in words if w.isalpha()]
@@ -156,10 +166,10 @@ class Encoder:
             self._together([w for w in other if "0" not in w], " 0 ", self.separator)
             apart = [w for w in other if "0" in w]
         else:
-            after = [w for w in words if w[0] == "\n"]
+            after = [w for w in words if w[0] == " "]
             for w, e in zip(after, self.tokenizer.encode_batch_fast([w[1:] for w in after], add_special_tokens=False)):
                 known[w] = np.array(e.ids, self.dtype).tobytes()
-            self._together([w for w in words if w[0] != "\n"], " ", self.begins)
+            self._together([w for w in words if w[0] != " "], " ", self.begins)
             apart = []
         for w in apart:
             known[w] = self.whole(w)
