@@ -5,10 +5,11 @@ filled to h. A remainder of s ids goes to the level h (0: a new window) that mak
 change is 1 - 2 n[h] for leaving h and 1 + 2 n[h + s] for reaching h + s, nothing for a full window, so one vector sum
 over the level array finds it. Ties go to the fullest level.
 
-Sizes that never fit each other would pile up open windows. At MAX_OPEN the open ones are run together and cut anew into
-full windows, the last staying open; at a task's end the last is cut at powers of two, which need no padding. So
-memory is bounded by MAX_OPEN windows, no sequence needs padding, and documents are cut beyond full windows only where
-windows are run together.
+Sizes that never fit each other would pile up open windows. While MAX_OPEN are open, a remainder that fits none is cut
+instead of opening another: it fills up the window of the level whose loss makes the sum smallest, and its rest arrives
+as a remainder of its own. So placing goes by the sum of squares to the end, and memory is bounded by MAX_OPEN windows.
+When a task's rows are used up, its open windows are run together into full ones and the last is cut at powers of two:
+no sequence needs padding.
 
 Every task packs the rows that it reads, without a shuffle. A repeated task reads the same rows in the same order, so
 sequences do not change; other splits of the input give other, equally valid sequences.
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, text_of
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 LENGTH = 2048
-MAX_OPEN = 1024
+MAX_OPEN = 8192
 #: (document, start in it, ids)
 Piece = tuple[tuple, int, np.ndarray]
 
@@ -55,7 +56,10 @@ class Packer:
         self.leave[h], self.reach[h] = 1 - 2 * n if n else np.inf, 2 * n + 1
 
     def level_for(self, size: int) -> int:
+        """The level that a remainder of `size` goes to; while no window may be opened, 0 says that it fits none."""
         cost = self.leave[: self.length - size + 1] + self.reach[size:]
+        if self.open >= self.max_open:
+            cost[0] = np.finfo(float).max  # below the infinity of a level without windows
         return len(cost) - 1 - int(np.argmin(cost[::-1]))
 
     def add(self, doc: tuple, ids: np.ndarray) -> Iterator[list[Piece]]:
@@ -65,50 +69,45 @@ class Packer:
         size = len(ids) - full
         if not size:
             return
-        h = self.level_for(size)
-        window = self.windows[h].pop() if h else []
-        window.append((doc, full, ids[full:].copy()))
-        if h:
-            self._level(h)
-        if h + size == self.length:
-            self.open -= 1 if h else 0
+        start, ids = full, ids[full:].copy()
+        while self.open >= self.max_open and not self.level_for(len(ids)):
+            h = self.length - int(np.argmin(self.leave[self.length - 1 : 0 : -1])) - 1
+            room = self.length - h
+            yield [*self._taken(h), (doc, start, ids[:room])]
+            start, ids = start + room, ids[room:]
+        h = self.level_for(len(ids))
+        window = [*(self._taken(h) if h else []), (doc, start, ids)]
+        if h + len(ids) == self.length:
             yield window
         else:
-            self.windows[h + size].append(window)
-            self._level(h + size)
-            self.open += 0 if h else 1
-            if self.open >= self.max_open:
-                yield from self._run_together(False)
+            self._put(window, h + len(ids))
 
-    def _run_together(self, last: bool) -> Iterator[list[Piece]]:
+    def _taken(self, h: int) -> list[Piece]:
+        window = self.windows[h].pop()
+        self._level(h)
+        self.open -= 1
+        return window
+
+    def _put(self, window: list[Piece], h: int) -> None:
+        self.windows[h].append(window)
+        self._level(h)
+        self.open += 1
+
+    def close(self) -> Iterator[list[Piece]]:
+        """What is still open: full windows, then powers of two."""
         pieces = [p for level in self.windows for window in level for p in window]
-        self.windows, self.open = [[] for _ in range(self.length)], 0
-        self.leave[1:], self.reach[: self.length] = np.inf, 1
+        self.__init__(self.length, self.max_open)
         left = sum(len(p[2]) for p in pieces)
-        room = min(self.length, left)
-        if last and left < self.length:
-            room = 1 << max(0, left.bit_length() - 1)
-        now, size = [], 0
+        room_for = lambda n: self.length if n >= self.length else 1 << max(0, n.bit_length() - 1)
+        room, now, size = room_for(left), [], 0
         for doc, start, ids in pieces:
             while len(ids):
                 take = min(len(ids), room - size)
                 now.append((doc, start, ids[:take]))
-                start, ids, size = start + take, ids[take:], size + take
-                if size < room:
-                    continue
-                left -= size
-                if size < self.length and not last:
-                    self.windows[size].append(now)
-                    self._level(size)
-                    self.open = 1
-                else:
+                start, ids, size, left = start + take, ids[take:], size + take, left - take
+                if size == room:
                     yield now
-                now, size = [], 0
-                room = min(self.length, left) if not last or left >= self.length else 1 << max(0, left.bit_length() - 1)
-
-    def close(self) -> Iterator[list[Piece]]:
-        """What is still open: full windows, then powers of two."""
-        yield from self._run_together(True)
+                    now, size, room = [], 0, room_for(left)
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -140,7 +139,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, [*_NAMES, *["ids"] * with_ids])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 ids = np.append(ids, np.array([end_id], ids.dtype))
                 put(packer.add((doc, len(ids)), ids))
