@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, slices, text_of, written
+from .common import documents, partitions, slices, small, text_of, written
 from .components import components
 
 BUDGET = 3
@@ -271,10 +271,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the number of tries is set for them to meet in one with over 99 %, and nearly always at 0.9. Both numbers follow the
 # number of distinct signatures.
 #
-# The exact similarity of the texts decides. The tries' proposals give components; their members are compared with the
-# component's root, those that fail with all that were proposed to them, and where a component still falls apart, all
-# near signatures of its different parts are proposed and compared. So every proposed pair is either decided by its texts
-# or within one component already.
+# The exact similarity of the texts decides, on the sets of their shingles' 64-bit hashes. The tries' proposals give components;
+# each member is compared with its component's root. Where a component falls apart, all its members are dealt as blocks, a
+# unit of work for each two blocks, and all of its pairs within CANDIDATE that are not in one tree yet are compared there. So
+# every proposed pair is either decided by its texts or within one component already.
 WIDE = 512
 #: Signatures at a similarity of 0.8 differ in WIDE * acos(2 * 0.8 / 1.8) / pi = 78 bits on average, with a standard error of 8, and up
 #: to 96 where there are few shingles (four of five).
@@ -287,6 +287,8 @@ COPY_SHINGLE = 5
 DENSE = 5_000
 #: Members of a top beyond which it is dealt in blocks.
 HOT_TOP = 200_000
+#: Blocks of a component that falls apart: members of one at least and at most, and how many blocks are made before they grow.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_COUNT = 500, 20_000, 64
 
 
 def shingles_of(text: str, shingle: int = COPY_SHINGLE) -> set[bytes]:
@@ -295,10 +297,25 @@ def shingles_of(text: str, shingle: int = COPY_SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + shingle]) for i in range(n)}
 
 
-def near(x: set, y: set) -> bool:
-    """Whether the Jaccard similarity is 0.8 or more."""
-    both = len(x & y)
-    return 5 * both >= 4 * (len(x) + len(y) - both)
+def shingle_hashes(text: str) -> np.ndarray:
+    """The ascending 64-bit hashes of a text's different shingles."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, shingles_of(text)), np.uint64))
+
+
+def near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets, ascending arrays, is 0.8 or more."""
+    return bool(near_to(x, y, np.array([len(y)]))[0])
+
+
+def near_to(x: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the set x is near each of the sets that stand one behind the other in `flat`."""
+    if not len(x):
+        return sizes == 0
+    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    both = np.diff(np.append(0, np.cumsum(hit))[np.append(0, np.cumsum(sizes))])
+    return 5 * both >= 4 * (len(x) + sizes - both)
 
 
 def signature(text: str, shingle: int = COPY_SHINGLE) -> bytes:
@@ -315,7 +332,7 @@ def signature(text: str, shingle: int = COPY_SHINGLE) -> bytes:
 
 def trie_plan(distinct: int) -> tuple[int, int]:
     """Bits of the top and number of tries for so many signatures."""
-    top = max(12, distinct.bit_length() - 4)
+    top = max(10, distinct.bit_length() - 9)
     return top, int(np.ceil(5 / AT_LIMIT**top))
 
 
@@ -350,15 +367,13 @@ class SpanningPairs(Forest):
                 self.label = up
 
 
-def near_pairs(group: np.ndarray, bits: np.ndarray, most: int = MOST_DIFFER, dense: int = DENSE, tree: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that span the near members of each group; where trees are given, all near pairs between different ones.
-    bits: members x WIDE/8 bytes, in the trie's order behind its top."""
+def near_pairs(group: np.ndarray, bits: np.ndarray, most: int = MOST_DIFFER, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that span the near members of each group. bits: members x WIDE/8 bytes, in the trie's order behind its top."""
     words = np.ascontiguousarray(bits).view("<u8")
     keys = bits[:, :8].copy().view(">u8").ravel().astype(np.uint64)
     order = np.lexsort((keys, group))
     forest = SpanningPairs(len(keys))
-    found = forest.pairs
-    crowded = (np.bincount(group)[group] > dense) & (tree is None)
+    crowded = np.bincount(group)[group] > dense
     if crowded.any():
         # Neighbours in several orders of the bits join first, so that the walk can drop what is in one tree.
         for turn in range(0, 64, 8):
@@ -368,17 +383,13 @@ def near_pairs(group: np.ndarray, bits: np.ndarray, most: int = MOST_DIFFER, den
                 x, y = turned[:-step], turned[step:]
                 near = (group[x] == group[y]) & (_distance(words, x, y) <= most)
                 forest.join(x[near], y[near])
-    for x, y in walk(keys[order], group[order], 0, WALK_BITS, lambda: (forest.label if tree is None else tree)[order]):
+    for x, y in walk(keys[order], group[order], 0, WALK_BITS, lambda: forest.label[order]):
         x, y = order[x], order[y]
         near = _distance(words, x, y) <= most
-        if tree is None:
-            forest.join(x[near], y[near])
-        else:
-            near &= tree[x] != tree[y]
-            found.append((x[near], y[near]))
-    if not found:
+        forest.join(x[near], y[near])
+    if not forest.pairs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(p) for p in zip(*found))
+    return tuple(np.concatenate(p) for p in zip(*forest.pairs))
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -398,16 +409,13 @@ def _turned(own: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT_TOP) -> DataFrame:
-    """Links (a, b) between nodes of near signatures. signatures: node long, sig binary, distinct; and, for all near pairs between different
-    trees instead of a spanning forest, tree long.
+    """Links (a, b) of a spanning forest of each task's nodes of near signatures. signatures: node long, sig binary, distinct.
 
     A top with more than `hot` members is dealt as blocks of them: a unit of work for each two blocks, so that each pair of
     members meets in one at least and none holds more than twice as many."""
     top, tries = plan
-    trees = "tree" in signatures.columns
     spark = signatures.sparkSession
-    carried = ["node", "sig"] + ["tree"] * trees
-    types = ", ".join(f"{c} {'binary' if c == 'sig' else 'long'}" for c in carried)
+    carried = ["node", "sig"]
 
     def deal(names):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +432,7 @@ def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT
     rows = signatures.select(*carried)
     sizes = rows.mapInArrow(deal([]), "trie int, top long").groupBy("trie", "top").count()
     large = [(r["trie"], r["top"], -(-r["count"] // hot)) for r in sizes.filter(F.col("count") > hot).collect()]  # at most tries x N / hot
-    dealt = rows.mapInArrow(deal(carried), f"trie int, top long, {types}")
+    dealt = rows.mapInArrow(deal(carried), "trie int, top long, node long, sig binary")
     if large:
         big = spark.createDataFrame(large, "trie int, top long, blocks long")
         dealt = dealt.join(F.broadcast(big) if len(large) <= 10_000 else big, ["trie", "top"], "left")
@@ -438,14 +446,14 @@ def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked(trie, rows):
-            first, node, own, *tree = (np.concatenate(c) for c in zip(*rows))
+            first, node, own = (np.concatenate(c) for c in zip(*rows))
             group = np.cumsum(np.append(True, (first[1:] != first[:-1]).any(axis=1))) - 1
             several = np.bincount(group)[group] > 1
             if not several.any():
                 return None
-            node, own, tree = node[several], own[several], [np.unique(t[several], return_inverse=True)[1] for t in tree]
+            node, own = node[several], own[several]
             group = np.unique(group[several], return_inverse=True)[1]
-            x, y = near_pairs(group, _turned(own, np.roll(_order(trie), -top)), CANDIDATE, tree=tree[0] if tree else None)
+            x, y = near_pairs(group, _turned(own, np.roll(_order(trie), -top)), CANDIDATE)
             return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"]) if len(x) else None
 
         held, now, size = [], None, 0
@@ -464,7 +472,7 @@ def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT
                         yield out
                     held, size = [], 0
                 part = batch.slice(a, b - a)
-                held.append((units[a:b], part.column("node").to_numpy(), _signatures(part.column("sig")), *([part.column("tree").to_numpy()] if trees else [])))
+                held.append((units[a:b], part.column("node").to_numpy(), _signatures(part.column("sig"))))
                 now, size = trie[a], size + b - a
         if held and (out := linked(now, held)) is not None:
             yield out
@@ -472,50 +480,95 @@ def near_copy_links(signatures: DataFrame, plan: tuple[int, int], hot: int = HOT
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def exact_links(links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the links (a, b) whose texts are near. texts: node, text."""
+def exact_links(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the links (a, b) whose texts are near. sets: node, hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, own = None, set()
         for batch in batches:
-            for part in slices(slices([batch], "text_a"), "text_b"):
-                keep = []
-                for b, text_a, text_b in zip(part.column("b").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
-                    if b != node:
-                        node, own = b, shingles_of(text_b)
-                    keep.append(near(shingles_of(text_a), own))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both = zip(batch.column("hashes_a"), batch.column("hashes_b"))
+            keep = [near(*(np.frombuffer(h.as_buffer(), "<u8") for h in pair)) for pair in both]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a"))
+    second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b"))
+    return links.join(first, "a").join(second, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+
+
+def links_of_unit(tree: np.ndarray, side: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], most: int = CANDIDATE) -> list[tuple[int, int]]:
+    """Places of near members that join the trees of two blocks (side 0 and 1; one block alone: all 0) as far as they can be joined."""
+    words, label, found = np.ascontiguousarray(sigs).view("<u8"), np.unique(tree, return_inverse=True)[1], []
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == side.max())
+    for i in left.tolist():
+        others = right if side.max() else right[right > i]
+        others = others[label[others] != label[i]]
+        if not len(others):
+            continue
+        distance = np.bitwise_count(words[others] ^ words[i]).sum(axis=1)
+        close = distance <= most
+        others = others[close][np.argsort(distance[close], kind="stable")]
+        while len(others):
+            some, others = others[:64], others[64:]
+            hit = some[near_to(sets[i], np.concatenate([sets[j] for j in some]), np.array([len(sets[j]) for j in some]))]
+            for j in hit.tolist():
+                if label[j] != label[i]:
+                    found.append((i, j))
+                    label[label == label[j]] = label[i]
+            if len(hit):
+                others = others[label[others] != label[i]]
+    return found
+
+
+def links_of_parts(loose: DataFrame) -> DataFrame:
+    """Links (a, b) between near members of each component that fell apart. loose: node, root, tree, sig, hashes."""
+    sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.least(F.ceil(F.col("n") / BLOCK_LEAST), F.lit(BLOCK_COUNT)), F.ceil(F.col("n") / BLOCK_MOST))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    units = F.transform(others, lambda x: F.struct((F.least(x, own) * F.col("blocks") + F.greatest(x, own)).alias("unit"), (own > x).cast("int").alias("side")))
+    dealt = loose.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("u", F.explode(units)).select("root", "u.unit", "u.side", "node", "tree", "sig", "hashes")
+    dealt = dealt.repartition(partitions(loose.sparkSession), "root", "unit").sortWithinPartitions("root", "unit", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
 
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return links.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        def linked():
+            node, tree, side, sigs, sets = (list(c) for c in zip(*held))
+            pairs = links_of_unit(np.array(tree), np.array(side), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1), [np.frombuffer(x, "<u8") for x in sets])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in pairs], pa.int64()), pa.array([node[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
+        for batch in batches:
+            for root, unit, *row in zip(*(batch.column(c).to_pylist() for c in ("root", "unit", "node", "tree", "side", "sig", "hashes"))):
+                if held and now != (root, unit):
+                    yield linked()
+                now = (root, unit)
+                held.append(row)
+        if held:
+            yield linked()
 
-def _proposed(signatures: DataFrame, plan: tuple[int, int]) -> DataFrame:
-    links = near_copy_links(signatures, plan)
-    return written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_copy_roots(distinct: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, root of every node (of `distinct`: node, sig) that has near copies. texts_of: the texts (node, text) of some nodes."""
-    plan = trie_plan(distinct.count())
-    proposed = _proposed(distinct.select("node", "sig"), plan)
-    roots = written(components(proposed), "proposed-roots")
-    texts = written(texts_of(roots.select("node")), "near-texts")
+    links = near_copy_links(distinct.select("node", "sig"), trie_plan(distinct.count()))
+    roots = written(components(links), "proposed-roots")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_hashes(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["node", "hashes"])
+
+    sets = written(texts_of(roots.select("node")).mapInArrow(hashed, "node long, hashes binary"), "near-shingles")
     star = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    links = written(exact_links(star, texts), "near-links")
-    failed = written(star.join(links, "a", "left_anti").select(F.col("a").alias("failed")), "no-copies-of-root")
-    touched = [proposed.join(failed, proposed[c] == failed["failed"], "left_semi") for c in "ab"]
-    rest = touched[0].union(touched[1]).distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(written(exact_links(rest, texts), "near-links"))
-    parts = components(links).select(F.col("node").alias("n"), F.col("root").alias("tree"))
-    placed = written(roots.join(parts, F.col("node") == F.col("n"), "left").select("node", "root", F.coalesce("tree", "node").alias("tree")), "near-parts")
+    near_root = written(exact_links(star, sets), "near-links")
+    # A component's members that are near its root are one tree, each other member is one of its own.
+    parts = near_root.select(F.col("a").alias("n"))
+    placed = written(roots.join(parts, F.col("node") == F.col("n"), "left").select("node", "root", F.when(F.col("n").isNull(), F.col("node")).otherwise(F.col("root")).alias("tree")), "near-parts")
     apart = placed.groupBy("root").agg(F.min("tree").alias("x"), F.max("tree").alias("y")).filter("x <> y").select("root")
-    loose = written(placed.join(apart, "root", "left_semi").join(distinct.select("node", "sig"), "node").select("node", "sig", "tree"), "loose-signatures")
-    if loose.isEmpty():
-        return placed.select("node", F.col("tree").alias("root"))
-    last = written(exact_links(_proposed(loose, plan), texts), "near-links")
-    return components(links.union(last))
+    loose = placed.join(apart, "root", "left_semi").join(distinct.select("node", "sig"), "node").join(sets, "node")
+    last = written(links_of_parts(written(loose.select("node", "root", "tree", "sig", "hashes"), "loose")), "near-links")
+    return components(near_root.union(last))
 
 
 def first_of_near_copies(docs: DataFrame) -> DataFrame:
@@ -529,6 +582,11 @@ def first_of_near_copies(docs: DataFrame) -> DataFrame:
     signed = written(rows.mapInArrow(sign, "doc_id long, sig binary, text_hash long"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     distinct = written(signed.groupBy("sig").agg(first).withColumn("node", F.xxhash64("sig")), "distinct-signatures")
+    # Different signatures of one node number, if there ever are any, take no part, so no text goes for another's sake.
+    clash = written(distinct.groupBy("node").count().filter("count > 1").select("node"), "clashing-nodes")
+    clashes = clash.count()
+    alone = distinct.join(small(clash, clashes), "node", "left_semi").select("first.doc_id", "first.text_hash")
+    distinct = distinct.join(small(clash, clashes), "node", "left_anti") if clashes else distinct
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = distinct.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
@@ -537,7 +595,7 @@ def first_of_near_copies(docs: DataFrame) -> DataFrame:
 
     roots = near_copy_roots(distinct, texts_of)
     placed = distinct.select(F.col("node").alias("n"), "first").join(roots, F.col("n") == F.col("node"), "left")
-    return placed.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash")
+    return placed.groupBy(F.coalesce("root", "n").alias("root")).agg(F.min("first").alias("best")).select("best.doc_id", "best.text_hash").union(alone)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,17 +37,81 @@ def test_near_copies_go_and_others_stay(spark, tmp_path):
     assert ids == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
 
 
+def first_of_groups(docs, least=0.8):
+    """Smallest doc_id of each group of texts that are linked by a similarity of `least` or more: all pairs."""
+    root = {d: d for d, _ in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    sets = {d: shingles(t) for d, t in docs}
+    for d, x in sets.items():
+        for e, y in sets.items():
+            if d < e and min(len(x), len(y)) >= 0.7 * max(len(x), len(y)) and len(x & y) >= least * len(x | y):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+    return {find(d) for d in root}
+
+
 def test_near_dedup_on_documents_against_brute_force(spark):
-    docs = h.sf_documents(spark)
-    text = dict(docs)
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    kept = {r.doc_id for r in simhash.stage(spark, df, "").collect()}
-    for doc, t in docs:
-        near = [e for e, u in docs if e != doc and jaccard(t, u) >= 0.7]
-        if not near:
-            assert doc in kept
-        if any(e < doc and jaccard(t, text[e]) >= 0.9 for e in near):
-            assert doc not in kept
+    assert {r.doc_id for r in simhash.stage(spark, df, "").collect()} == first_of_groups(h.sf_documents(spark))
+
+
+def test_recall_and_precision_round_the_limit(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    texts, near, far = [], [], []
+    for _ in range(400):
+        base = [word() for _ in range(int(rng.integers(60, 300)))]
+        own, want = list(base), rng.uniform(0.66, 0.9)
+        while (j := jaccard(" ".join(base), " ".join(own))) > want:
+            own[int(rng.integers(len(own)))] = word()
+        # j of this pair alone: texts of different pairs share nothing
+        (near if j >= 0.8 else far).append(len(texts) + 1)
+        texts += [" ".join(base), " ".join(own)]
+    kept = {r.doc_id for r in simhash.stage(spark, spark.createDataFrame(h.rows(texts), h.SCHEMA), "").collect()}
+    assert min(len(near), len(far)) > 100
+    assert set(far) <= kept and set(range(0, len(texts), 2)) <= kept
+    assert sum(d not in kept for d in near) >= 0.97 * len(near)
+
+
+def test_a_component_that_falls_apart_is_compared_whole(spark, monkeypatch):
+    """A template whose fillings drift: chains of near copies with far ends, in several small blocks."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklm"), 6))
+    own, texts = [word() for _ in range(120)], []
+    for i in range(160):
+        own = list(own)
+        for k in rng.choice(120, 1 if i % 20 else 9, False):
+            own[k] = word()
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame(h.rows(texts), h.SCHEMA)
+    want = first_of_groups(list(enumerate(texts)))
+    assert 1 < len(want) < 20
+    for least in (500, 10):
+        monkeypatch.setattr(simhash, "BLOCK_LEAST", least)
+        assert {r.doc_id for r in simhash.stage(spark, docs, "").collect()} == want
+
+
+def test_links_of_unit_join_what_can_be_joined():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, 25).astype(np.uint64)) for _ in range(80)]
+    sigs = np.zeros((80, 64), np.uint8)
+    tree = np.arange(80)
+    for side in (np.zeros(80, int), np.arange(80) % 2):
+        forest, want = simhash.Forest(80), simhash.Forest(80)
+        for i, j in simhash.links_of_unit(tree, side, sigs, sets):
+            assert simhash.near(sets[i], sets[j])
+            forest.join(np.array([i]), np.array([j]))
+        for i in range(80):
+            for j in range(i):
+                x, y = set(sets[i].tolist()), set(sets[j].tolist())
+                if (not side.any() or side[i] != side[j]) and len(x & y) >= 0.8 * len(x | y):
+                    want.join(np.array([i]), np.array([j]))
+        assert (forest.label == want.label).all()
 
 
 def test_crowded_groups_are_joined_whole():
