@@ -91,3 +91,44 @@ def test_stage_repeats_whole_documents(spark):
     assert out.columns == docs.columns
     counts = out.groupBy("doc_id").count().collect()
     assert max(r["count"] for r in counts) <= 3 and sum(r["count"] for r in counts) > 50
+
+
+def test_hypergeometric_against_exact_probabilities():
+    from math import comb
+
+    rng = np.random.default_rng(8)
+    for good, bad, draws in ((5, 7, 6), (1, 30, 3), (40, 2, 20), (3, 3, 6), (0, 4, 2), (9, 0, 4)):
+        got = np.bincount([mixing.hypergeometric(rng, good, bad, draws) for _ in range(4000)], minlength=draws + 1) / 4000
+        want = np.array([comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws) for k in range(draws + 1)])
+        assert abs(got - want).max() < 0.035 and (got[want == 0] == 0).all()
+    # The same method far beyond a thousand million.
+    many = np.array([mixing.hypergeometric(rng, 4 * 10**10, 6 * 10**10, 10**9) for _ in range(60)])
+    sd = (10**9 * 0.4 * 0.6 * 0.99) ** 0.5
+    assert abs(many.mean() - 4 * 10**8) < 6 * sd / 60**0.5 and 0.6 < many.std() / sd < 1.5
+
+
+def test_shards_follow_the_size():
+    assert [mixing.shards_for(n) for n in (0, 10**9, 64 * mixing.SHARD_WORDS, 64 * mixing.SHARD_WORDS + 1, 10**12)] == [64, 64, 64, 128, 65536]
+
+
+def test_equal_ids_sources_and_sizes_with_different_texts(spark, tmp_path):
+    data = [(7, f"text number {i} " + "w " * (i // 40), "en", "s", None, f"x{i}") for i in range(80)] + [(None, "other words", "en", None, None, "y")] * 3
+    docs = spark.createDataFrame(data, h.SCHEMA + ", copy string")
+    runs = []
+    for parts in (1, 5):
+        out = mixing.stage(spark, docs.repartition(parts), "")
+        assert out.columns == docs.columns
+        runs.append(sorted(map(tuple, out.collect()), key=str))
+    assert runs[0] == runs[1]
+    _, _, draws = mixing.mix(docs, block_words=None)
+    assert len(runs[0]) == draws.count()
+    words = sum(len(h.WORD.findall(r[1])) for r in runs[0])
+    assert abs(words - sum(len(h.WORD.findall(t[1])) for t in data)) <= 10
+
+
+def test_stage_is_in_shards_and_shuffled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = mixing.stage(spark, docs, "")
+    _, _, draws = mixing.mix(docs, block_words=None)
+    want = [[r.doc_id for r in sorted((r for r in draws.collect() if r.shard == k), key=lambda r: r.position)] for k in range(64)]
+    assert [[r.doc_id for r in part] for part in out.rdd.glom().collect()] == want
