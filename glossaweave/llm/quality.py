@@ -1,8 +1,8 @@
 """Quality classifier: a linear support vector machine on naive Bayes features, trained by dual coordinate descent.
 
-Features are indicators of n-grams, hashed into BUCKETS: words in lower case; shapes of words (runs of small letters,
-capitals and digits as one sign each, all else as it is), alone and in pairs; and n-grams of the counts of a text: the
-scales of its length, of its mean word length and of the shares of its words, pairs of words and lines that differ.
+Features are indicators of n-grams, hashed into BUCKETS: words in lower case, alone and in pairs; shapes of words (runs of
+small letters, capitals and digits as one sign each, all else as it is), alone and in pairs; and runs of one word, 2 to 17
+of it, whichever it is.
 An indicator counts as r = log of the ratio of its smoothed frequencies in the two classes. On these the hinge loss is
 minimised in the dual, one coordinate (one document) at a time in random order, the bias being a constant feature. As in
 the published method, weights are then drawn towards their mean size by INTERPOLATE. A margin becomes a score by a
@@ -13,10 +13,10 @@ sample (its ids are broadcast, at most SAMPLE of them). Scoring reads every whol
 
 Only rows with crc32(doc_id as text) % 5 <> 0 are learned from. Labels, lang, source and doc_id are never inputs.
 
-Defined results: a null text counts as empty; an empty text has the indicators of its counts alone and a score like any
-other. A doc_id with several labels counts by their largest; null labels and labels without a document are not used. With
+Defined results: a null text counts as empty; an empty text has no indicators and the score of the bias. Very long texts are
+read whole, few at a time. A doc_id with several labels counts by their largest; null labels and labels without a document are not used. With
 labels of one class or none, every score is the smoothed share of good labels. Repeated rows are scored alike. An empty
-table gives an empty result. Extra columns are ignored.
+table gives an empty result. Extra columns, whatever their names, are ignored (or kept, where rows are filtered).
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, slices, text_of
 
@@ -42,10 +43,6 @@ SEED = 7
 _SHAPE = bytes(ord("a") if 97 <= b < 123 or b > 127 else ord("A") if 65 <= b < 91 else ord("0") if 48 <= b < 58 else b for b in range(256))
 
 
-def _scale(x: float) -> int:
-    return int(np.log2(x + 1) * 2)
-
-
 def features(text: str) -> np.ndarray:
     """The buckets of a text's indicators, ascending, each once."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -53,16 +50,15 @@ def features(text: str) -> np.ndarray:
     for double, single in ((b"aa", b"a"), (b"AA", b"A"), (b"00", b"0")):
         while double in shape:
             shape = shape.replace(double, single)
-    words, shapes, lines = raw.lower().split(), shape.split(), raw.split(b"\n")
-    crc = zlib.crc32
-    different = set(words)
-    found = [crc(w) for w in different]
-    found += [crc(s, 1) for s in set(shapes)]
-    found += [crc(b + b" " + a, 2) for a, b in set(zip(shapes, shapes[1:]))]
-    n = max(1, len(words))
-    counts = [_scale(len(raw)), _scale(len(raw) / n), int(20 * len(different) / n), int(20 * len(set(zip(words, words[1:]))) / n), int(10 * len(set(lines)) / len(lines)), int(10 * len(set(shapes)) / n)]
-    found += [crc(b"%d" % v, 16 + i) for i, v in enumerate(counts)]
-    found += [crc(b"%d %d" % (counts[i], counts[j]), 64 + 8 * i + j) for i, j in ((0, 2), (0, 3), (2, 4))]
+    words, shapes, crc = raw.lower().split(), shape.split(), zlib.crc32
+    pairs = set(zip(words, words[1:]))
+    found = [crc(w) for w in set(words)]
+    found += [crc(a + b" " + b, 1) for a, b in pairs]
+    found += [crc(s, 2) for s in set(shapes)]
+    found += [crc(a + b" " + b, 3) for a, b in set(zip(shapes, shapes[1:]))]
+    if any(a == b for a, b in pairs):
+        again = bytes(map(bytes.__eq__, words, words[1:]))
+        found += [crc(b"%d" % n, 4) for n in (1, 2, 4, 8, 16) if b"\x01" * n in again]
     return np.unique(np.array(found, np.uint32) % BUCKETS).astype(np.int32)
 
 
@@ -168,23 +164,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "good", "x"])
 
-    got = rows.select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good int, x binary").toPandas()
-    got = got.assign(crc=[zlib.crc32(x) for x in got["x"]]).sort_values(["doc_id", "crc"]).drop_duplicates("doc_id")
+    # One row a sampled doc_id, at most `sample` of them, before anything comes to the driver.
+    first = rows.select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good int, x binary").groupBy("doc_id").agg(F.min(F.struct("good", "x")).alias("first"))
+    got = first.select("doc_id", "first.good", "first.x").toPandas().sort_values("doc_id")
     return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["good"].to_numpy(np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and `score`."""
+def free_name(docs: DataFrame, name: str) -> str:
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns of docs and the score, under a name that is free in docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in slices(batches, "__gw_text"):
-            scores = [fitted.score(features(t)) for t in batch.column("__gw_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "__gw_score"])
+        for batch in slices(batches, "body"):
+            scores = [fitted.score(features(t)) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*docs_names, name])
 
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __gw_score double"
-    return docs.withColumn("__gw_text", text_of()).mapInArrow(run, kind)
+    docs_names = docs.columns
+    # Columns go by place on the way, so that their names may be any.
+    placed = docs.select("*", text_of()).toDF(*[f"c{i}" for i in range(len(docs_names))], "body")
+    return placed.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,10 +197,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", held_out().alias("held_out"), F.col("__gw_score").alias("score"), (F.col("__gw_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier, trained on the labels, does not reject."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).filter(F.col("__gw_score") >= THRESHOLD).drop("__gw_score")
+    name = free_name(docs, "score")
+    return score(docs, model, name).filter(F.col(name) >= THRESHOLD).drop(name)
