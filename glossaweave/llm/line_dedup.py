@@ -1,59 +1,99 @@
 """Line dedup by pairwise alignment.
 
-1. Lines are hashed; blank ones (white space alone) take no part. A line that occurs in df of N documents is worth
-   log2(N / df) bits: much if it is rare, next to nothing if it is boilerplate.
-2. Overlapping documents are found through shared lines: each line that several documents hold links every later holder
-   to its first one, with the line's places in both. That is one row a document and distinct line, however many
-   documents share it, so copies by the thousand need no cap on df and never unfold into pairs.
-3. Each pair of documents so linked is aligned by patience diff over these lines: the common head and tail, then the lines
-   that are unique on both sides, in their longest increasing order, then the gaps between them in the same way.
-4. Aligned lines that stand together in both documents are a common block. A block is deleted from the later document if
-   it has MIN_LINES lines or MIN_BYTES bytes of text, however many documents hold it and however large the table is; a
-   shorter one if it is worth MIN_BITS, so a stray short line of boilerplate stays.
+A document loses each line that lies in a block which it has in common with an earlier document. A block is a run of lines
+that stand together in both, blank lines (white space alone) aside; it counts if it has MIN_LINES lines or MIN_BYTES bytes
+of text, or if it is the whole later document. The rule knows neither frequencies nor the size of the table.
+
+1. Lines are hashed with 128 bits. Each line begins a unit, and each ends one: the smallest run there that counts. A block
+   that counts consists of such units, so documents overlap where they share one, and no pair of documents has to be
+   formed to find out.
+2. Each unit that several documents hold links every later holder to its first one, with the unit's places in both: one row
+   a document and unit, however many documents share it. As every unit of a block with any earlier document is one with
+   its first holder too, no block is lost by that, and groups of copies never unfold into pairs. A text of short lines that
+   is no unit is looked up as a whole among single lines and pairs of lines.
+3. A later document is aligned with its first holders, those with its rarest lines first; one whose units are all gone by
+   then is left out. The lines of the common units are aligned by patience diff: the common head and tail, then the lines
+   that are unique on both sides, in their longest increasing order, then the gaps between them in the same way. What
+   moved is aligned in further passes over the lines left, and at last unit by unit.
+4. Aligned lines that stand together in both are a common block, and deleted from the later document if it counts.
 
 Later means a larger doc_id; rows without one are later than all others, and equal doc_ids go by a hash of the text.
 
-Defined results: a null text counts as empty; an empty text is one blank line. Repeated rows (equal doc_id and text) are
-one document and lose nothing to each other. Kept lines stay in order, joined by line feeds. An empty table gives an
-empty result. Extra columns are ignored. Joins on a line or a document are split by adaptive execution where hot.
+Defined results: a null text counts as empty; an empty text is one blank line. Blank lines stay. Repeated rows (equal doc_id
+and text) are one document and lose nothing to each other. Kept lines stay in order, joined by line feeds. An empty table
+gives an empty result. Very long texts are cut few at a time, and one document's shared units are in one task. Extra columns
+are ignored. Joins on a unit or a document are split by adaptive execution where hot.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, partitions, slices, text_of, written
 
-MIN_BITS = 8.0
 MIN_LINES = 3
 MIN_BYTES = 40
 LAST = 2**63 - 1
+#: A unit that is only looked up by others, one that counts, one that counts because it is the whole document.
+INDEX, UNIT, WHOLE = 0, 1, 2
+#: Passes over moved lines before units are aligned one by one.
+PASSES = 3
 
 
-def line_places(text: str) -> dict[tuple[int, int], list[int]]:
-    """The places of each distinct line that is not blank, by its 64-bit hash (signed) and its size."""
-    from xxhash import xxh3_64_intdigest
+def lines_with_text(text: str) -> tuple[list[bytes], list[int], list[int]]:
+    """Digests, sizes (without white space around) and line numbers of the lines that are not blank."""
+    from xxhash import xxh3_128_digest
 
-    out: dict[tuple[int, int], list[int]] = {}
+    digests, sizes, numbers = [], [], []
     for i, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         if bare := line.strip():
-            h = xxh3_64_intdigest(line)
-            out.setdefault((h - (1 << 64) if h >> 63 else h, len(bare)), []).append(i)
-    return out
-
-
-def size_of(line: str | tuple[int, int]) -> int:
-    """Bytes of a line without the white space round it; a line is its text, or its hash and size."""
-    return len(line.encode("utf-8", "surrogatepass").strip()) if isinstance(line, str) else line[1]
+            digests.append(xxh3_128_digest(line))
+            sizes.append(len(bare))
+            numbers.append(i)
+    return digests, sizes, numbers
+
+
+def counts(lines: int, size: int) -> bool:
+    return lines >= MIN_LINES or size >= MIN_BYTES
+
+
+def units(digests: list[bytes], sizes: list[int]) -> dict[bytes, tuple[int, int, list[int]]]:
+    """{joined digests: (kind, lines, places)} of a document's units. Places count the lines that are not blank."""
+    n, out = len(digests), {}
+
+    def add(start: int, end: int, kind: int) -> None:
+        key = b"".join(digests[start:end])
+        old = out.get(key)
+        if old is None:
+            out[key] = (kind, end - start, [start])
+        else:
+            if old[2][-1] != start:
+                old[2].append(start)
+            if kind > old[0]:
+                out[key] = (kind, *old[1:])
+
+    for i in range(n):
+        size = 0
+        for j in range(i, min(n, i + MIN_LINES)):
+            size += sizes[j]
+            if counts(j + 1 - i, size):
+                add(i, j + 1, UNIT)
+                break
+            add(i, j + 1, WHOLE if j + 1 - i == n else INDEX)
+    for j in range(n):
+        size = 0
+        for i in range(j, max(-1, j - MIN_LINES), -1):
+            size += sizes[i]
+            if counts(j + 1 - i, size):
+                add(i, j + 1, UNIT)
+                break
+    return {k: (kind, lines, sorted(set(places))) for k, (kind, lines, places) in out.items()}
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -94,99 +134,139 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: dict, earlier: dict, bits: dict, least: float = MIN_BITS) -> list[int]:
-    """The places of the later document that go. later, earlier: line by place; bits: what a line is worth."""
-    x, y = sorted(later), sorted(earlier)
-    gone, block, worth, last = [], [], 0.0, None
-    for i, j in [*patience([later[p] for p in x], [earlier[p] for p in y]), (None, None)]:
-        here = None if i is None else (x[i], y[j])
-        if block and (here is None or here != (last[0] + 1, last[1] + 1)):
-            if worth >= least or len(block) >= MIN_LINES or sum(size_of(later[p]) for p in block) >= MIN_BYTES:
-                gone += block
-            block, worth = [], 0.0
-        if here:
-            block.append(here[0])
-            worth += bits[later[here[0]]]
-            last = here
+def blocks(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Aligned places, cut where they do not stand together in both documents."""
+    block = []
+    for i, j in pairs:
+        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+            yield block
+            block = []
+        block.append((i, j))
+    if block:
+        yield block
+
+
+def common_places(shared: list[tuple[int, list[bytes], list[int], list[int], list[int]]], whole: int | None = None) -> set[int]:
+    """The places of the later document that go. shared: the units that it has in common with one earlier document, as (kind, digests and
+    sizes of their lines, places in the later, places in the earlier)."""
+    later, earlier, size, wanted, gone = {}, {}, {}, [], set()
+    for kind, digests, sizes, here, there in shared:
+        for k, (d, n) in enumerate(zip(digests, sizes)):
+            later.update([(p + k, d) for p in here])
+            earlier.update([(p + k, d) for p in there])
+            size[d] = n
+        wanted += [range(p, p + len(digests)) for p in here]
+    y = sorted(earlier)
+    left = sorted(later)
+    for _ in range(PASSES):
+        if not left or all(p in gone for r in wanted for p in r):
+            break
+        aligned = [(left[i], y[j]) for i, j in patience([later[p] for p in left], [earlier[p] for p in y])]
+        for block in blocks(aligned):
+            if counts(len(block), sum(size[later[i]] for i, _ in block)) or len(block) == whole:
+                gone.update(i for i, _ in block)
+        done = {i for i, _ in aligned}
+        left = [p for p in left if p not in done]
+    for r in wanted:
+        gone.update(r)  # a unit left over is aligned with its like by itself, and counts
     return gone
 
 
-def _identity(table: DataFrame | None = None) -> list[Column]:
+def _identity() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.xxhash64(text_of()).alias("tie")]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """key, tie, line, size, places: one row a document and distinct line."""
+_COLUMNS = "key long, tie long, h1 long, h2 long, kind int, digests binary, sizes array<int>, places array<int>, numbers array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [line_places(t) for t in batch.column("text").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            lines, sizes, places = [h for f in found for h, _ in f], [n for f in found for _, n in f], [p for f in found for p in f.values()]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("tie").take(at), pa.array(lines, pa.int64()), pa.array(sizes, pa.int32()), pa.array(places, pa.list_(pa.int32()))], ["key", "tie", "line", "size", "places"])
 
-    return docs.select(*_identity(), text_of().alias("text")).mapInArrow(run, "key long, tie long, line long, size int, places array<int>")
+def units_of(docs: DataFrame) -> DataFrame:
+    """One row a document and unit: its hash (h1, h2), kind, its lines' digests and sizes, its places, and the line numbers there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
 
-def removed_lines(docs: DataFrame, least: float = MIN_BITS) -> DataFrame:
-    """key, tie, gone (places of deleted lines) of the documents that lose lines."""
-    lines = written(lines_of(docs), "lines").dropDuplicates(["key", "tie", "line"])
-    total = docs.count()
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        names, seen = [c.split()[0] for c in _COLUMNS.split(", ")], set()
+        for batch in slices(batches, "text"):
+            rows = []
+            for key, tie, text in zip(*(batch.column(c).to_pylist() for c in ("key", "tie", "text"))):
+                if (key, tie) in seen:
+                    continue
+                seen.add((key, tie))
+                digests, sizes, numbers = lines_with_text(text)
+                for joined, (kind, lines, places) in units(digests, sizes).items():
+                    h = joined if lines == 1 else xxh3_128_digest(joined)
+                    at = [numbers[p + k] for p in places for k in range(lines)] if kind else []
+                    first = places[0]
+                    rows.append((key, tie, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), kind, joined if kind else b"", sizes[first : first + lines] if kind else [], places, at))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return docs.select(*_identity(), text_of().alias("text")).mapInArrow(run, _COLUMNS)
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """key, tie, n_removed, gone (by line number up to the last one: whether it goes) of the documents that lose lines."""
+    rows = written(units_of(docs), "units")
     first = F.min(F.struct("key", "tie", "places")).alias("first")
-    shared = lines.groupBy("line").agg(first, F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = written(shared, "shared-lines")  # so that the join reads two plain shuffles, which adaptive execution splits
-    bits = (F.log2(F.lit(float(max(1, total))) / F.col("df"))).alias("bits")
-    links = lines.join(shared, "line").filter("struct(key, tie) > struct(first.key, first.tie)")
-    links = links.select("key", "tie", F.col("first.key").alias("key1"), F.col("first.tie").alias("tie1"), "line", "size", bits, "places", F.col("first.places").alias("places1"))
-    dealt = links.repartition(partitions(docs.sparkSession), "key", "tie").sortWithinPartitions("key", "tie", "key1", "tie1")
+    shared = rows.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("df"), F.max("kind").alias("most")).filter("df > 1 AND most > 0").drop("most")
+    shared = written(shared, "shared-units")  # so that the join reads two plain shuffles, which adaptive execution splits
+    links = rows.filter("kind > 0").join(shared, ["h1", "h2"]).filter("struct(key, tie) > struct(first.key, first.tie)")
+    links = links.select("key", "tie", F.col("first.key").alias("key1"), F.col("first.tie").alias("tie1"), "df", "kind", "digests", "sizes", "places", "numbers", F.col("first.places").alias("places1"))
+    dealt = links.repartition(partitions(docs.sparkSession), "key", "tie").sortWithinPartitions("key", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "tie", "key1", "tie1", "line", "size", "bits", "places", "places1")
-        pair, later, earlier, bits, gone, out = None, {}, {}, {}, set(), []
+        names = ("key", "tie", "key1", "tie1", "df", "kind", "digests", "sizes", "places", "numbers", "places1")
+        now, held, out = None, [], []
 
         def batch_of():
-            rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["key", "tie", "gone"])
+            rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.bool_())))], ["key", "tie", "n_removed", "gone"])
             out.clear()
             return rows
 
-        def close_pair():
-            gone.update(common_blocks(later, earlier, bits, least))
-            later.clear()
-            earlier.clear()
-            bits.clear()
+        def close():
+            partners, number, rarest = {}, {}, {}
+            for key1, tie1, df, kind, digests, sizes, places, numbers, places1 in held:
+                lines = [digests[i : i + 16] for i in range(0, len(digests), 16)]
+                partners.setdefault((key1, tie1), []).append((kind, lines, sizes, places, places1))
+                rarest[key1, tie1] = min(df, rarest.get((key1, tie1), df))
+                number.update(zip([p + k for p in places for k in range(len(lines))], numbers))
+            gone: set[int] = set()
+            for partner in sorted(partners, key=lambda p: (rarest[p], p)):
+                shared = partners[partner]
+                if all(p + k in gone for _, lines, _, places, _ in shared for p in places for k in range(len(lines))):
+                    continue
+                gone |= common_places(shared, next((len(lines) for kind, lines, *_ in shared if kind == WHOLE), None))
+            mask = [False] * (max(number[p] for p in gone) + 1)
+            for p in gone:
+                mask[number[p]] = True
+            out.append((*now, len(gone), mask))
+            held.clear()
 
         for batch in batches:
-            for key, tie, key1, tie1, line, size, worth, places, places1 in zip(*(batch.column(c).to_pylist() for c in names)):
-                if pair and pair != (key, tie, key1, tie1):
-                    close_pair()
-                    if pair[:2] != (key, tie):
-                        if gone:
-                            out.append((*pair[:2], sorted(gone)))
-                        gone = set()
-                pair, line = (key, tie, key1, tie1), (line, size)
-                bits[line] = worth
-                later.update(dict.fromkeys(places, line))
-                earlier.update(dict.fromkeys(places1, line))
+            for key, tie, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held and now != (key, tie):
+                    close()
+                now = (key, tie)
+                held.append(row)
             if len(out) >= 1000:
                 yield batch_of()
-        if pair:
-            close_pair()
-            if gone:
-                out.append((*pair[:2], sorted(gone)))
+        if held:
+            close()
         if out:
             yield batch_of()
 
-    return dealt.mapInArrow(run, "key long, tie long, gone array<int>")
+    return dealt.mapInArrow(run, "key long, tie long, n_removed long, gone array<boolean>")
 
 
-def dedup(docs: DataFrame, least: float = MIN_BITS) -> DataFrame:
+def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (the kept lines)."""
-    gone = removed_lines(docs, least).withColumnsRenamed({"key": "k", "tie": "t"})
+    gone = removed_lines(docs).withColumnsRenamed({"key": "k", "tie": "t"})
     rows = docs.select("doc_id", *_identity(), text_of().alias("text"))
     joined = rows.join(gone, (rows["key"] == gone["k"]) & (rows["tie"] == gone["t"]), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i.cast("int"))), "\n"))
-    return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False))), "\n")
+    return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
