@@ -78,26 +78,30 @@ class Model:
 
 def ratios(rows: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     """log of the ratio of smoothed, normalised counts of each bucket."""
-    counts = [SMOOTH + np.bincount(np.concatenate([x for x, g in zip(rows, good) if g == side]), minlength=BUCKETS) for side in (1, 0)]
+    counts = np.full((2, BUCKETS), SMOOTH)
+    for x, g in zip(rows, good):
+        counts[0 if g == 1 else 1, x] += 1
     return np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
 
 
 def coordinate_descent(rows: list[np.ndarray], good: np.ndarray, r: np.ndarray, cost: float = COST, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """Weights on r-scaled indicators and bias of min |w|^2 / 2 + cost * sum of hinge losses, in the dual; classes weigh alike in sum."""
     y = np.where(good == 1, 1.0, -1.0)
-    values = [r[x] for x in rows]
-    norm = np.array([v @ v + 1 for v in values])
+    squares = r * r
+    norm = np.array([squares[x].sum() + 1 for x in rows])
     most = cost * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) ** 0.5
     w, b, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(SEED)
     for _ in range(passes):
         moved = 0.0
         for i in rng.permutation(len(y)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + b) - 1
+            own = rows[i]
+            values = r[own]  # made anew each time, so that the sample is held once
+            gradient = y[i] * (w[own] @ values + b) - 1
             step = min(max(alpha[i] - gradient / norm[i], 0), most[i]) - alpha[i]
             if abs(step) > 1e-10:
                 alpha[i] += step
-                w[rows[i]] += step * y[i] * values[i]  # a row's buckets differ, so each is added to once
+                w[own] += step * y[i] * values  # a row's buckets differ, so each is added to once
                 b += step * y[i]
                 moved = max(moved, abs(step))
         if moved < 1e-4:
@@ -125,7 +129,9 @@ def _logistic(margins: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 def _weights(rows: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, float]:
     r = ratios(rows, good)
     w, b = coordinate_descent(rows, good, r)
-    used = np.unique(np.concatenate(rows))
+    used = np.zeros(BUCKETS, bool)
+    for x in rows:
+        used[x] = True
     mean = np.abs(w[used]).mean()
     mixed = np.zeros(BUCKETS)
     mixed[used] = INTERPOLATE * w[used] + (1 - INTERPOLATE) * mean
@@ -166,8 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # One row a sampled doc_id, at most `sample` of them, before anything comes to the driver.
     first = rows.select("doc_id", "good", "text").mapInArrow(run, "doc_id long, good int, x binary").groupBy("doc_id").agg(F.min(F.struct("good", "x")).alias("first"))
-    got = first.select("doc_id", "first.good", "first.x").toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(x, np.int32) for x in got["x"]], got["good"].to_numpy(np.int64))
+    got = first.select("doc_id", "first.good", "first.x").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy())
+    x = [np.frombuffer(v.as_buffer(), np.int32) for v in got.column("x")]  # in the buffers that came, not copied
+    return fit([x[i] for i in order], got.column("good").to_numpy()[order].astype(np.int64))
 
 
 def free_name(docs: DataFrame, name: str) -> str:
