@@ -60,25 +60,42 @@ def tests(content: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def identify(content: Column, name: Column | None = None) -> Column:
-    """The type by the first test that holds; OLE is told apart by the name's extension, and some types are known by it alone."""
+def _choice(key: Column, table: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for value, label in table.items():
+        out = F.when(key == value, label).otherwise(out)
+    return out
+
+
+def extension(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))
+
+
+def by_signature(content: Column) -> Column:
     kind = F.lit(None).cast("string")
     for label, test in reversed(tests(content)):
         kind = F.when(test, label).otherwise(kind)
+    return kind
+
+
+def identify(content: Column, name: Column | None = None) -> Column:
+    """The type by the first test that holds; OLE is told apart by the name's extension, and some types are known by it alone."""
+    kind = by_signature(content)
     if name is None:
         return kind
-    extension = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))
-    by_extension, fallback = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for e, label in EXTENSIONS.items():
-        by_extension = F.when(extension == e, label).otherwise(by_extension)
-    for e, label in FALLBACK.items():
-        fallback = F.when(extension == e, label).otherwise(fallback)
-    return F.coalesce(F.when(kind == "MSOFFICEDOC", F.coalesce(by_extension, kind)).otherwise(kind), fallback)
-
-
-def resolve(declared: Column, detected: Column) -> Column:
-    """The declared type, unless it is an office type that the bytes contradict; no detection keeps the declared type."""
-    return F.when(declared.isNull(), detected).when(declared.isin(*MAY_LIE), F.coalesce(detected, declared)).otherwise(F.coalesce(detected, declared))
+    office = F.when(kind == "MSOFFICEDOC", F.coalesce(_choice(extension(name), EXTENSIONS), kind)).otherwise(kind)
+    return F.coalesce(office, _choice(extension(name), FALLBACK))
+
+
+def resolve(declared: Column, content: Column, name: Column) -> Column:
+    """The declared type if its own test holds, office types aside; else the detected one. Where nothing is detected, or no more than that it
+    is some office document, the caller is trusted."""
+    agrees, detected = F.lit(False), by_signature(content)
+    for label, test in tests(content):
+        agrees = agrees | ((declared == label) & test)
+    detected = F.when(detected == "MSOFFICEDOC", F.coalesce(_choice(extension(name), EXTENSIONS), detected)).otherwise(detected)
+    trusted = detected.isNull() | ((detected == "MSOFFICEDOC") & declared.isin("EXCEL", "WORD", "PPT"))
+    return F.when(declared.isNull(), identify(content, name)).when((agrees & ~declared.isin(*MAY_LIE)) | trusted, declared).otherwise(detected)
 
 
 def from_datatype(xliff: Column) -> Column:

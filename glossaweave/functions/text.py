@@ -124,6 +124,6 @@ def smart_quotes(column: Column) -> Column:
 
 
 def rewrite_meta_charset(column: Column, charset: str) -> Column:
-    """The charset that a meta element states, exchanged."""
-    swapped = F.regexp_replace(column, "(?i)(<meta\\s[^>]*charset=['\"]?)[A-Za-z0-9_:.-]+", "$1" + charset)
-    return F.when(column.rlike("(?i)charset="), swapped).otherwise(column)
+    """The charset that content-type meta elements state, exchanged; other meta elements stay."""
+    swapped = F.regexp_replace(column, "(?is)(<meta\\s+http-equiv=['\"]?content-type['\"]?[^>]*?charset=['\"]?)[A-Za-z0-9_:.-]+", "$1" + charset)
+    return F.when(column.rlike("(?i)<meta\\s+http-equiv"), swapped).otherwise(column)

@@ -1,14 +1,18 @@
-"""Documents built again from skeleton, units and codes: joins and ordered aggregation."""
+"""Documents built again from tokenised documents and texts: one join, and one Arrow pass that puts a document's parts together."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Codes whose markup refers to paragraphs whose text has codes: how often that is followed.
-DEPTH = 3
-_CODE = "<(?:bx|ex|x)\\s[^>]*>"
-_REFERENCE = "\\{\\{tu:[0-9]+\\}\\}"
+_TOKEN = re.compile(r"<(?:bx|ex|x)\s[^>]*>|\{\{tu:([0-9]+)\}\}")
+_REFERENCE = re.compile(r"\{\{tu:([0-9]+)\}\}")
+_CODE_ID = re.compile(r"\sid=['\"]([0-9]+)['\"]")
+BUILT = "doc_id string, text string, notices array<string>"
 
 
 def joined_text(rows: DataFrame, keys: list[str], order: str, column: str, name: str) -> DataFrame:
@@ -23,47 +27,69 @@ def paragraph_texts(units: DataFrame, column: str = "target") -> DataFrame:
     return joined_text(whole, ["doc_id", "part_no"], "seg_no", "_piece", "text")
 
 
-def _pieces(text: Column, pattern: str) -> Column:
-    """A text cut at the pattern's matches, with the matches, in order."""
-    between = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    both = F.arrays_zip(between.alias("b"), matches.alias("m"))
-    return F.flatten(F.transform(both, lambda z: F.array(F.struct(z["b"].alias("t"), F.lit(False).alias("hit")), F.struct(z["m"].alias("t"), F.lit(True).alias("hit")))))
-
-
-def resolve_codes(texts: DataFrame, formats: DataFrame) -> DataFrame:
-    """doc_id, part_no, text with every code replaced by its markup; a code without markup goes. An end code's markup is that of
-    its own id."""
-    plain, coded = texts.filter(~F.col("text").rlike(_CODE)), texts.filter(F.col("text").rlike(_CODE))
-    cut = coded.select("doc_id", "part_no", F.posexplode(_pieces(F.col("text"), _CODE)).alias("n", "p")).filter("p.t IS NOT NULL")
-    cut = cut.withColumn("code_id", F.when(F.col("p.hit"), F.regexp_extract("p.t", "\\sid=['\"]([0-9]+)['\"]", 1).try_cast("int")))
-    first = formats.groupBy("doc_id", "code_id").agg(F.first("body").alias("body"))
-    found = cut.join(first, ["doc_id", "code_id"], "left").withColumn("t", F.when(F.col("p.hit"), F.coalesce("body", F.lit(""))).otherwise(F.col("p.t")))
-    return plain.select("doc_id", "part_no", "text").unionByName(joined_text(found, ["doc_id", "part_no"], "n", "t", "text"))
-
-
-def resolve_references(texts: DataFrame, asides: DataFrame) -> DataFrame:
-    """References to paragraphs replaced by their texts."""
-    plain, holding = texts.filter(~F.col("text").contains("{{tu:")), texts.filter(F.col("text").contains("{{tu:"))
-    cut = holding.select("doc_id", "part_no", F.posexplode(_pieces(F.col("text"), _REFERENCE)).alias("n", "p")).filter("p.t IS NOT NULL")
-    cut = cut.withColumn("aside", F.when(F.col("p.hit"), F.regexp_extract("p.t", "([0-9]+)", 1).try_cast("int")))
-    other = asides.select("doc_id", F.col("part_no").alias("aside"), F.col("text").alias("body"))
-    found = cut.join(other, ["doc_id", "aside"], "left").withColumn("t", F.when(F.col("p.hit"), F.coalesce("body", F.lit(""))).otherwise(F.col("p.t")))
-    return plain.select("doc_id", "part_no", "text").unionByName(joined_text(found, ["doc_id", "part_no"], "n", "t", "text"))
-
-
-def documents(skeleton: DataFrame, paragraphs: DataFrame, texts: DataFrame, formats: DataFrame | None = None, finish=None, depth: int = DEPTH) -> DataFrame:
-    """doc_id and text. A paragraph without units keeps its own text; `finish` turns a paragraph's text, free of core marks, into
-    the format's writing."""
-    known = paragraphs.select("doc_id", "part_no", F.col("text").alias("_own")).join(texts, ["doc_id", "part_no"], "left")
-    filled = known.select("doc_id", "part_no", F.coalesce("text", "_own").alias("text"))
+def assemble(parts: list[dict], codes: list[dict]) -> tuple[str, list[str]]:
+    """A document's text and notices. A code stands for the first markup of its id (none: it goes); a reference in a text, a literal or a
+    markup stands for an aside, whose text may have codes again, to any depth. A reference that leads back to itself goes, with a notice."""
+    markup, asides, notices, out = {}, {}, [], []
+    for code in codes:
+        markup.setdefault(code["code_id"], code["body"] or "")
+    for part in parts:
+        if part["kind"] == "aside":
+            asides[part["part_no"]] = part["text"] or ""
+
+    def pieces(text: str, coded: bool) -> Iterator[tuple[str, object]]:
+        at = 0
+        for m in (_TOKEN if coded else _REFERENCE).finditer(text):
+            yield "text", text[at : m.start()]
+            at = m.end()
+            if m[1] is None:
+                known = _CODE_ID.search(m[0])
+                yield "markup", markup.get(int(known[1]), "") if known else ""
+            elif int(m[1]) in asides:
+                yield "aside", int(m[1])
+            else:
+                yield "text", m[0]
+        yield "text", text[at:]
+
+    for part in parts:
+        if part["kind"] == "aside":
+            continue
+        stack: list[tuple[Iterator, int | None]] = [(pieces(part["text"] or "", part["kind"] == "para"), None)]
+        while stack:
+            kind, value = next(stack[-1][0], ("end", None))
+            if kind == "end":
+                stack.pop()
+            elif kind == "text":
+                out.append(value)
+            elif kind == "markup":
+                stack.append((pieces(value, False), None))
+            elif any(number == value for _, number in stack):
+                notices.append(f"paragraph {value} refers to itself")
+            else:
+                stack.append((pieces(asides[value], True), value))
+    return "".join(out), notices
+
+
+def documents(tokenised: DataFrame, texts: DataFrame | None = None, finish: Callable[[Column], Column] | None = None, codes: bool = True) -> DataFrame:
+    """doc_id, text, notices. texts: doc_id, part_no, text of paragraphs (one without keeps its own); `finish` turns a paragraph's text, free
+    of core marks, into the format's writing; codes: whether paragraphs have any. Tokenised documents are read once; they and the
+    texts move to the document's task, where all else happens."""
+    own, kept = F.col("p.text"), ["codes"]
+    if texts is not None:
+        given = texts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("part_no", "text"))).alias("_given"))
+        tokenised, kept = tokenised.join(given, "doc_id", "left"), ["codes", "_given"]
+        own = F.coalesce(F.try_element_at("_given", F.col("part_no")), own)
+    behind = F.array(F.lit(None).cast("struct<kind:string,text:string,name:string>"))
+    rows = tokenised.select("doc_id", F.posexplode(F.concat("parts", behind)).alias("part_no", "p"), *kept)
+    last = F.col("p").isNull()  # the row behind a document's parts has its codes
+    rows = rows.select("doc_id", "part_no", F.coalesce("p.kind", F.lit("codes")).alias("kind"), F.when(F.coalesce(F.col("p.kind"), F.lit("")).isin("para", "aside"), own).alias("para"), F.col("p.text").alias("literal"), F.when(last, F.col("codes")).alias("codes"))
     if finish:
-        filled = filled.withColumn("text", finish(F.col("text")))
-    if formats is not None:
-        filled = resolve_codes(filled, formats)
-        for _ in range(depth - 1):
-            filled = resolve_references(filled, filled)
-    literal = skeleton.filter("kind = 'literal'").select("doc_id", "part_no", F.col("literal").alias("text"))
-    literal = resolve_references(literal, filled)
-    shown = skeleton.filter("kind = 'para'").select("doc_id", "part_no").join(filled, ["doc_id", "part_no"])
-    return joined_text(literal.unionByName(shown), ["doc_id"], "part_no", "text", "text")
+        rows = rows.withColumn("para", finish(F.col("para")))
+    whole = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("part_no", "kind", F.coalesce("para", "literal").alias("text")))).alias("parts"), F.first("codes", ignorenulls=True).alias("codes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [assemble([p for p in parts if p["kind"] != "codes"], list(own) if codes and own is not None else []) for parts, own in zip(pdf["parts"], pdf["codes"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [t for t, _ in made], "notices": [n for _, n in made]})
+
+    return whole.mapInPandas(run, BUILT)

@@ -1,34 +1,33 @@
-"""Translation units: paragraphs cut into segments, numbered and linked by windows over their paragraph."""
+"""Translation units: paragraphs cut into segments, numbered and linked within their paragraph."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, text
-from ..schema import stable_id
+from ..schema import kept, stable_id
 
 
 def segments(paragraphs: DataFrame, boundary: str = "SENTENCE", hidden: bool = False) -> DataFrame:
-    """doc_id, part_no, seg_no, marked: a paragraph's segments, their cores marked. Paragraphs without codes that stay whole are
+    """doc_id, part_no, seg_no, marked, seg_of: a paragraph's segments, their cores marked, and their number. Paragraphs without codes that stay whole are
     marked by column expressions; Python sees the others alone."""
     if boundary == "PARAGRAPH" and not hidden:
         plain = paragraphs.filter(~F.col("text").contains("<")).withColumn("marked", text.mark_core(F.col("text"))).filter("marked <> ''")
         tagged = paragraphs.filter(F.col("text").contains("<")).withColumn("marked", codes.column(lambda t: codes.mark_core(t, False))(F.col("text"))).filter("marked <> ''")
         both = plain.unionByName(tagged)
-        return both.select("doc_id", "part_no", F.lit(0).alias("seg_no"), "marked")
+        return both.select("doc_id", "part_no", F.lit(0).alias("seg_no"), "marked", F.lit(1).alias("seg_of"), *kept(paragraphs))
     cut = codes.column(lambda t: codes.core_segments(t, boundary, hidden), "array<string>")
-    return paragraphs.select("doc_id", "part_no", F.posexplode(cut(F.col("text"))).alias("seg_no", "marked"))
+    many = paragraphs.select("doc_id", "part_no", cut(F.col("text")).alias("marked"), *kept(paragraphs)).withColumn("seg_of", F.size("marked"))
+    return many.select("doc_id", "part_no", F.posexplode("marked").alias("seg_no", "marked"), "seg_of", *kept(paragraphs))
 
 
 def trans_units(marked: DataFrame) -> DataFrame:
-    """The table of units. A segment is mergeable if one follows it in its paragraph."""
-    para = Window.partitionBy("doc_id", "part_no").orderBy("seg_no")
-    ids = marked.withColumn("tu_id", stable_id("doc_id", "part_no", "seg_no"))
-    following = F.lead("tu_id").over(para)
-    return ids.select(
-        "doc_id", "tu_id", F.first("tu_id").over(para).alias("para_id"), "part_no", "seg_no", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "part_no")).cast("int").alias("seg_of"),
-        following.isNotNull().alias("mergeable"), following.alias("next_tu_id"), text.prefix_text(F.col("marked")).alias("prefix"), text.core_text(F.col("marked")).alias("core"), text.suffix_text(F.col("marked")).alias("suffix"),
+    """The table of units. A segment is mergeable if one follows it in its paragraph. Neighbours' ids come from their numbers: no shuffle."""
+    key = lambda n: stable_id(F.col("doc_id"), F.col("part_no"), n)
+    more = F.col("seg_no") + 1 < F.col("seg_of")
+    m = F.col("marked")
+    return marked.select(
+        "doc_id", key(F.col("seg_no")).alias("tu_id"), key(F.lit(0)).alias("para_id"), "part_no", "seg_no", "seg_of",
+        more.alias("mergeable"), F.when(more, key(F.col("seg_no") + 1)).alias("next_tu_id"), text.prefix_text(m).alias("prefix"), text.core_text(m).alias("core"), text.suffix_text(m).alias("suffix"), *kept(marked),
     )
-
-

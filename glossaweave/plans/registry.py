@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import charset, codes, detect, text
 from ..operators import merge, targets, units
-from ..schema import formats, paragraphs, skeleton, stable_id
+from ..schema import paragraphs, stable_id
 from ..sinks import export as sink
 from ..sources import html, lines, plaintext, xliff, xml
 
@@ -215,14 +215,14 @@ def select_target_by_phase(spark, d):
 
 @query(
     """
-WITH u AS (SELECT doc_id AS tu_id, row_number() OVER (ORDER BY doc_id) AS ordinal, left(text, 40) AS core FROM documents),
+WITH u AS (SELECT doc_id AS tu_id, row_number() OVER (ORDER BY doc_id) AS ordinal, text AS core FROM documents),
 t AS (SELECT doc_id AS tu_id, 'quality ' || quality AS target FROM labels)
 SELECT u.tu_id, ordinal, coalesce(target, ' [Segment ' || ordinal || ' not yet translated: ' || trim(regexp_replace(core, '\\s+', ' ', 'g')) || '] ') AS target
 FROM u LEFT JOIN t USING (tu_id)"""
 )
 def missing_target_default(spark, d):
     """L5 with labels as a stand-in for targets. The position comes from counting smaller ids: a join on ranges of ids, no global sort."""
-    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("tu_id"), F.substring("text", 1, 40).alias("core"))
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("tu_id"), F.col("text").alias("core"))
     numbered = _positions(docs, "tu_id")
     chosen = _table(spark, d, "labels").select(F.col("doc_id").alias("tu_id"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("text"))
     return targets.with_default(numbered, chosen).select("tu_id", "ordinal", "target")
@@ -328,10 +328,10 @@ def charset_by_language(spark, d):
     return _table(spark, d, "documents").select("doc_id", charset.plaintext_charset(F.col("lang")).alias("plain_charset"), charset.catalogue_charset(F.lit(""), F.col("lang")).alias("catalogue_charset"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g')) || ' end' AS plain FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' end' AS plain FROM documents")
 def source_plain_text(spark, d):
     """Codes out of a source, line breaks as spaces."""
-    made = F.concat(F.lit("<bx id='1' rid='1'/>"), F.substring("text", 1, 200), F.lit("<x id='2' ctype='lb'/>"), F.lit("<ex id='3' rid='1'/>end"))
+    made = F.concat(F.lit("<bx id='1' rid='1'/>"), F.col("text"), F.lit("<x id='2' ctype='lb'/>"), F.lit("<ex id='3' rid='1'/>end"))
     return _table(spark, d, "documents").select("doc_id", text.plain_source(made).alias("plain"))
 
 
@@ -349,8 +349,7 @@ def _pages(spark, d) -> DataFrame:
 def html_roundtrip(spark, d):
     """Every page tokenised with codes and built again; alike but for white space, which import collapses."""
     read = html.read(_pages(spark, d))
-    built = merge.documents(skeleton(read), paragraphs(read), paragraphs(read).select("doc_id", "part_no", "text"), formats(read))
-    return built.select("doc_id", F.md5(F.regexp_replace("text", "\\s+", "")).alias("squeezed"))
+    return merge.documents(read).select("doc_id", F.md5(F.regexp_replace("text", "\\s+", "")).alias("squeezed"))
 
 
 @query()

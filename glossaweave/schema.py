@@ -51,42 +51,61 @@ class Parts:
 
 def tokenise(docs: DataFrame, tokenizer: Callable[[object, Parts], None], column: str = "text") -> DataFrame:
     """The tokenizer run over every document by itself; a document that fails is a row with that status, not an error."""
+    return tokenise_kinds(docs.withColumn("format", F.lit("")), {"": tokenizer}, column).drop("format")
+
+
+def tokenise_kinds(docs: DataFrame, tokenizers: dict[str, Callable[[object, Parts], None]], column: str = "text") -> DataFrame:
+    """Documents of different formats (column format) in one pass, each by its format's tokenizer. A column `notice` is what reading their
+    bytes had to say; with it, a document without text has failed."""
+    told = F.col("notice") if "notice" in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["_body"]):
-                out, status = Parts(), OK
+            for doc, kind, text, notice in zip(pdf["doc_id"], pdf["format"], pdf["_body"], pdf["_notice"]):
+                out, status = Parts(), FAILED if notice and text is None else OK
                 try:
                     if text is not None:
-                        tokenizer(text, out)
+                        tokenizers[kind](text, out)
                 except Exception as e:  # noqa: BLE001  one bad document must not end the job
                     out, status = Parts(), FAILED
                     out.notice(2, f"{type(e).__name__}: {e}")
-                rows.append((doc, status, out.parts, out.codes, out.notices))
-            yield pd.DataFrame(rows, columns=["doc_id", "status", "parts", "codes", "notices"])
+                if notice:
+                    out.notice(2 if text is None else 1, notice)
+                rows.append((doc, status, out.parts, out.codes, out.notices, kind))
+            yield pd.DataFrame(rows, columns=["doc_id", "status", "parts", "codes", "notices", "format"])
+
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "format", F.col(column).alias("_body"), told.alias("_notice")).mapInPandas(run, TOKENISED + ", format string")
+
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(column).alias("_body")).mapInPandas(run, TOKENISED)
+def kept(df: DataFrame) -> list[str]:
+    """The document's format, in tables that have it."""
+    return ["format"] if "format" in df.columns else []
 
 
 def paragraphs(tokenised: DataFrame) -> DataFrame:
     """doc_id, part_no, name, text of every paragraph."""
-    return tokenised.select("doc_id", F.posexplode("parts").alias("part_no", "p")).filter("p.kind <> 'literal'").select("doc_id", "part_no", "p.name", "p.text")
+    own = kept(tokenised)
+    return tokenised.select("doc_id", *own, F.posexplode("parts").alias("part_no", "p")).filter("p.kind <> 'literal'").select("doc_id", "part_no", "p.name", "p.text", *own)
 
 
 def skeleton(tokenised: DataFrame) -> DataFrame:
     """doc_id, part_no, kind, literal: the document in order; kinds literal, para and aside."""
-    return tokenised.select("doc_id", F.posexplode("parts").alias("part_no", "p")).select("doc_id", "part_no", "p.kind", F.when(F.col("p.kind") == "literal", F.col("p.text")).alias("literal"))
+    own = kept(tokenised)
+    return tokenised.select("doc_id", *own, F.posexplode("parts").alias("part_no", "p")).select("doc_id", "part_no", "p.kind", F.when(F.col("p.kind") == "literal", F.col("p.text")).alias("literal"), *own)
 
 
 def formats(tokenised: DataFrame) -> DataFrame:
-    return tokenised.select("doc_id", F.explode("codes").alias("c")).select("doc_id", "c.code_id", "c.body")
+    own = kept(tokenised)
+    return tokenised.select("doc_id", *own, F.explode("codes").alias("c")).select("doc_id", "c.code_id", "c.body", *own)
 
 
-def diagnostics(tokenised: DataFrame, origin: str) -> DataFrame:
+def diagnostics(tokenised: DataFrame, origin: str | Column) -> DataFrame:
     """doc_id, notice_id, origin, severity, message."""
-    rows = tokenised.select("doc_id", F.posexplode("notices").alias("n", "x"))
-    return rows.select("doc_id", F.concat_ws("-", F.lit(origin), F.col("n").cast("string")).alias("notice_id"), F.lit(origin).alias("origin"), "x.severity", "x.message")
+    name = F.lit(origin) if isinstance(origin, str) else origin
+    own = kept(tokenised)
+    rows = tokenised.select("doc_id", *own, name.alias("origin"), F.posexplode("notices").alias("n", "x"))
+    return rows.select("doc_id", F.concat_ws("-", "origin", F.col("n").cast("string")).alias("notice_id"), "origin", "x.severity", "x.message", *own)
 
 
 def stable_id(*columns: str | Column) -> Column:

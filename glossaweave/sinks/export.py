@@ -1,8 +1,10 @@
-"""Documents in their own format again, from tokenised documents and a table of units with targets."""
+"""Documents in their own format again, from tokenised documents and a table of units with targets; files of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 from xml.parsers import expat
 
 import pandas as pd
@@ -11,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, text
 from ..operators import merge
-from ..schema import formats, paragraphs, skeleton
 from ..sources.lines import rc_encode
 from ..sources.office import mif_escape
 
@@ -49,10 +50,19 @@ def output_name(name: Column, lang: str, kind: str) -> Column:
 
 
 def export(tokenised: DataFrame, units: DataFrame, kind: str, column: str = "target") -> DataFrame:
-    """doc_id, text. units: doc_id, part_no, seg_no, prefix, suffix and the text to put in (the core where it is null)."""
-    texts = merge.paragraph_texts(units, column)
-    has_codes = kind in ("HTML", "XML", "ODT", "PO")
-    return merge.documents(skeleton(tokenised), paragraphs(tokenised), texts, formats(tokenised) if has_codes else None, FINISH[kind])
+    """doc_id, text, notices. units: doc_id, part_no, seg_no, prefix, suffix and the text to put in (the core where it is null)."""
+    return merge.documents(tokenised, merge.paragraph_texts(units, column), FINISH[kind], kind in ("HTML", "XML", "ODT", "PO"))
+
+
+def with_charset(docs: DataFrame, kind: str, charset: str) -> DataFrame:
+    """docs (text) with what the text itself says about its character set exchanged: meta elements of HTML, the catalogue's header once."""
+    if kind == "HTML":
+        return docs.withColumn("text", text.rewrite_meta_charset(F.col("text"), charset))
+    if kind == "PO":
+        stated = F.regexp_extract("text", "(?is)^(.*?Content-Type:\\s+text/plain;\\s+charset=)([-_a-zA-Z0-9]+)", 1)
+        rest = F.regexp_replace(F.substr("text", F.length(stated) + 1), "^[-_a-zA-Z0-9]+", charset)
+        return docs.withColumn("text", F.when(stated == "", F.col("text")).otherwise(F.concat(stated, rest)))
+    return docs
 
 
 def listing(units: DataFrame, kind: str = "text") -> DataFrame:
@@ -81,6 +91,24 @@ def well_formed(docs: DataFrame) -> DataFrame:
     return checked.select("doc_id", "well_formed", F.when(F.col("well_formed"), "CONVERSION_SUCCEEDED").otherwise("WARNING_INVALID_XML_EXPORTED").alias("status"))
 
 
-def write_text(docs: DataFrame, path: str) -> None:
-    """doc_id, text as a Parquet table: one row a document, written by the tasks."""
-    docs.select("doc_id", "text").write.mode("overwrite").parquet(path)
+def write_files(docs: DataFrame, folder: str) -> DataFrame:
+    """name, written: docs (name, content) as files below a folder that all executors see, each written by its task under a name of its own
+    first, so that a repeated task leaves whole files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = []
+            for name, content in zip(pdf["name"], pdf["content"]):
+                path = os.path.join(folder, name)
+                if content is None:
+                    done.append(False)
+                    continue
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                own = f"{path}.{uuid.uuid4().hex}"
+                with open(own, "wb") as f:
+                    f.write(content)
+                os.replace(own, path)
+                done.append(True)
+            yield pd.DataFrame({"name": pdf["name"], "written": done})
+
+    return docs.select("name", "content").mapInPandas(run, "name string, written boolean")

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.charset import frame_characters
 from ..functions.codes import collapse_nested
 from ..schema import Parts, tokenise
 from .xml import _events
@@ -124,8 +125,12 @@ def unzipped(docs: DataFrame, column: str = "content") -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(column).alias("content")).mapInPandas(run, "doc_id string, text string")
 
 
+def odf_tokenizer(text: str, out: Parts) -> None:
+    odf_part(text.encode("utf-8"), out)
+
+
 def read_odf(docs: DataFrame, column: str = "content") -> DataFrame:
-    return tokenise(unzipped(docs, column), lambda text, out: odf_part(text.encode("utf-8"), out))
+    return tokenise(unzipped(docs, column), odf_tokenizer)
 
 
 def rezipped(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -166,9 +171,12 @@ def converted(docs: DataFrame, convert: Callable[[bytes], bytes]) -> DataFrame:
 _MIF = re.compile(r"(?s)<(Para|ParaLine|String|Char|Font|XRef|XRefEnd)\b[ \t]*(?:`((?:[^'\\]|\\.)*)'|(\w+))?\s*(>)?|(>)|<\w+|`(?:[^'\\]|\\.)*'|#[^\n]*")
 
 
+_FRAME = frame_characters()
+
+
 def mif_unescape(text: str) -> str:
     named = {"t": "\t", ">": ">", "q": "'", "Q": "`", "\\": "\\"}
-    return re.sub(r"\\(?:x([0-9a-fA-F]{2}) ?|(.))", lambda m: bytes([int(m[1], 16)]).decode("mac_roman") if m[1] else named.get(m[2], m[0]), text)
+    return re.sub(r"\\(?:x([0-9a-fA-F]{2}) ?|(.))", lambda m: _FRAME[int(m[1], 16)] if m[1] else named.get(m[2], m[0]), text)
 
 
 def mif_escape(text: str) -> str:

@@ -38,10 +38,12 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     pieces = F.split(F.col(text), BLANK_LINES, -1)
     rows = docs.select(key, F.posexplode(pieces).alias("part_no", "piece"))
     trimmed = F.regexp_replace(F.col("piece"), "^[\\r\\n]+|[\\r\\n]+$", "")
-    return rows.select(key, "part_no", escape(join_lines(trimmed)).alias("text")).filter(F.trim("text") != "")
+    # Blank pieces go before the lines are joined, so that the joining is not done twice.
+    full = rows.filter(F.col("piece").rlike("[^\\x20\\r\\n]"))
+    return full.select(key, "part_no", escape(join_lines(trimmed)).alias("text"))
 
 
-def _tokenizer(text: str, out: Parts) -> None:
+def tokenizer(text: str, out: Parts) -> None:
     import re
 
     tight = re.compile("[" + "".join(map(chr, SPACES)) + "".join(re.escape(chr(c)) for c in DASHES) + "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK) + "]\\Z")
@@ -63,4 +65,4 @@ def _tokenizer(text: str, out: Parts) -> None:
 
 
 def read(docs: DataFrame, column: str = "text") -> DataFrame:
-    return tokenise(docs, _tokenizer, column)
+    return tokenise(docs, tokenizer, column)

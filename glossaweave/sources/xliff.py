@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import attribute
-from ..schema import Parts
+from ..functions.text import escape
+from ..schema import Parts, tokenise
 
 
 def _attr(tag: Column, name: str) -> Column:
@@ -100,13 +101,48 @@ def normalised(units: DataFrame) -> DataFrame:
     return units.withColumn("inline", run(F.col("source")))
 
 
-def write(units: DataFrame, lang: str, original: str, datatype: str) -> DataFrame:
-    """doc_id, text: an XLIFF document of the units of each document, in order of part and segment."""
+def tokenizer(text: str, out: Parts) -> None:
+    """A paragraph a source of a unit, its inline elements as codes; a sub element is an aside that the code's markup refers to."""
+    at = 0
+    for m in re.finditer(r"(?s)(<trans-unit\s[^>]*>)(.*?)</trans-unit>", text):
+        source = re.search(r"(?s)(<source[^>]*>)(.*?)</source>", m[2])
+        if not source or not re.sub(r"<[^>]*>", "", source[2]).strip():
+            continue
+        start = m.start(2) + source.start(2)
+        out.literal(text[at:start])
+        found = rewrite_inline(source[2])
+        first = len(out.codes)
+        subs = [out.para(s, name=f"{attribute(m[1], 'id')}@sub", kind="aside") for s in found["subs"]]
+        for code in found["codes"]:
+            out.code(re.sub(r"\{\{sub:([0-9]+)\}\}", lambda r: "{{tu:%d}}" % subs[int(r[1])], code["body"]))
+        out.para(re.sub(r"(<(?:bx|ex|x) id=')([0-9]+)", lambda c: c[1] + str(int(c[2]) + first), found["text"]), name=attribute(m[1], "id"))
+        at = start + len(source[2])
+    out.literal(text[at:])
+
+
+def read(docs: DataFrame, column: str = "text") -> DataFrame:
+    return tokenise(docs, tokenizer, column)
+
+
+def write(units: DataFrame, lang: str, names: DataFrame, segtype: str = "sentence", chosen: DataFrame | None = None) -> DataFrame:
+    """doc_id, text: an XLIFF document of the units of each document, in order of part and segment. names: doc_id, name, datatype. chosen: targets
+    (tu_id, lang, phase, kind, ordinal, text) to be written with their units."""
     from ..operators.merge import joined_text
 
-    attrs = F.concat(F.lit("<trans-unit id='"), "tu_id", F.lit("' lt:paraID='"), "para_id", F.lit("'"), F.when(F.col("mergeable"), " lt:mergeable='true'").otherwise(""), F.coalesce(F.concat(F.lit(" lt:next-tu-id='"), "next_tu_id", F.lit("'")), F.lit("")), F.lit(">\n"))
-    body = F.concat(attrs, F.lit(f"<source xml:lang='{lang}'>"), "prefix", F.lit("<mrk mtype='x-coretext'>"), "core", F.lit("</mrk>"), "suffix", F.lit("</source>\n</trans-unit>\n"))
-    rows = units.select("doc_id", F.struct("part_no", "seg_no").alias("place"), body.alias("xml"))
-    whole = joined_text(rows, ["doc_id"], "place", "xml", "units")
-    head = f"<?xml version='1.0' encoding='UTF-8'?>\n<xliff version='1.1' xmlns='urn:oasis:names:tc:xliff:document:1.1' xmlns:lt='urn:glossaweave:units'>\n<file original='{original}' source-language='{lang}' datatype='{datatype}'>\n<header lt:segtype='sentence'></header>\n<body>\n"
-    return whole.select("doc_id", F.concat(F.lit(head), "units", F.lit("</body>\n</file>\n</xliff>\n")).alias("text"))
+    quoted = lambda c: F.concat(F.lit("'"), escape(F.coalesce(c, F.lit(""))), F.lit("'"))
+    rows = units
+    if chosen is not None:
+        phase = F.when(F.col("phase").isNull(), "").otherwise(F.concat(F.lit(" phase-name="), quoted(F.col("phase"))))
+        target = F.concat(F.lit("<target xml:lang="), quoted(F.col("lang")), phase, F.lit(">"), F.col("text"), F.lit("</target>\n"))
+        target = F.when(F.col("kind") == "target", target).otherwise(F.concat(F.lit("<alt-trans>"), target, F.lit("</alt-trans>\n")))
+        lines = joined_text(chosen.select("tu_id", F.struct((F.col("kind") != "target").alias("alt"), "ordinal").alias("place"), target.alias("xml")), ["tu_id"], "place", "xml", "targets")
+        rows = units.join(lines, "tu_id", "left")
+    else:
+        rows = units.withColumn("targets", F.lit(""))
+    optional = lambda name, c: F.coalesce(F.concat(F.lit(f" {name}="), quoted(F.nullif(c, F.lit("")))), F.lit(""))
+    attrs = F.concat(F.lit("<trans-unit id="), quoted(F.col("tu_id")), F.lit(" lt:paraID="), quoted(F.col("para_id")), F.when(F.col("mergeable"), " lt:mergeable='true'").otherwise(""), F.when(F.col("next_tu_id").isNull(), "").otherwise(optional("lt:next-tu-id", F.col("next_tu_id"))), F.lit(">\n"))
+    body = F.concat(attrs, F.lit("<source xml:lang="), quoted(F.lit(lang)), F.lit(">"), "prefix", F.lit("<mrk mtype='x-coretext'>"), "core", F.lit("</mrk>"), "suffix", F.lit("</source>\n"), F.coalesce("targets", F.lit("")), F.lit("</trans-unit>\n"))
+    whole = joined_text(rows.select("doc_id", F.struct("part_no", "seg_no").alias("place"), body.alias("xml")), ["doc_id"], "place", "xml", "units")
+    named = names.select(F.col("doc_id").cast("string").alias("doc_id"), "name", "datatype").join(whole, "doc_id", "left")
+    head = F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<xliff version='1.1' xmlns='urn:oasis:names:tc:xliff:document:1.1' xmlns:lt='urn:glossaweave:units'>\n<file original="), quoted(F.col("name")), F.lit(" source-language="), quoted(F.lit(lang)), F.lit(" datatype="), quoted(F.col("datatype")), F.lit(f">\n<header lt:segtype='{segtype}'></header>\n<body>\n"))
+    return named.select("doc_id", F.concat(head, F.coalesce("units", F.lit("")), F.lit("</body>\n</file>\n</xliff>\n")).alias("text"))

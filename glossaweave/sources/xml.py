@@ -10,6 +10,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 from xml.parsers import expat
 
 import pandas as pd
@@ -17,11 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import collapse_nested
+from ..functions.text import WIDE_SPACE
 from ..schema import Parts, tokenise
 
 # Names and values of attributes that hold no text.
-IGNORED_NAME = re.compile(r"xml:(?:space|lang|id)|xmlns(?::.+)?")
-IGNORED_VALUE = re.compile(r"yes|no|true|false|https?://.*|\.\..*|#.*|[a-fA-F0-9]{6}|(?:[0-9\s]|[!-/:-@\[-`{-~])*", re.S)
+IGNORED_NAME = re.compile(r"xml:space|xml:lang|xml:id|xmlns(?::.+)?")
+IGNORED_VALUE = re.compile(r"yes|no|true|false|https?://.*||\.\..*|#.*|[a-fA-F0-9]{6}")
+_WIDE = frozenset(map(chr, WIDE_SPACE))
+
+
+def holds_text(value: str) -> bool:
+    """Whether an attribute's value may be text: none of the ignored ones, nor digits, punctuation and wide white space alone."""
+    return not IGNORED_VALUE.fullmatch(value) and not all(c in "0123456789" or c in _WIDE or category(c)[0] == "P" for c in value)
+
 
 CANDIDATES = "doc_id string, xpath string, line int, col int, attribute string"
 
@@ -65,7 +74,7 @@ def candidates_of(text: str) -> list[tuple[str, int, int, str | None]]:
         if kind == "start":
             stack.append(i)
             for name, v in zip(value[1][::2], value[1][1::2]):
-                if not IGNORED_NAME.fullmatch(name) and not IGNORED_VALUE.fullmatch(v):
+                if not IGNORED_NAME.fullmatch(name) and holds_text(v):
                     out.append((f"{paths[i]}/@{name}", line, col, name))
         elif kind == "end":
             stack.pop()
@@ -99,15 +108,20 @@ def without(found: DataFrame, skip: DataFrame) -> DataFrame:
     return found.join(s, same, "left_anti")
 
 
-def _tokenizer(body: str, out: Parts) -> None:
+def _with_places(body: str, out: Parts) -> None:
     given = json.loads(body)
-    raw = given["text"].encode("utf-8")
+    tokenizer(given["text"], out, [(p["line"], p["col"], p.get("attribute")) for p in given.get("places") or []])
+
+
+def tokenizer(text: str, out: Parts, places: list[tuple] | None = None) -> None:
+    """places: line, column and attribute (or none) of what is taken; all candidates where they are not given."""
+    raw = text.encode("utf-8")
     elements, attributes = set(), {}
-    for p in given.get("places") or []:
-        if p.get("attribute") is None:
-            elements.add((p["line"], p["col"]))
+    for line, col, attribute in [c[1:] for c in candidates_of(text)] if places is None else places:
+        if attribute is None:
+            elements.add((line, col))
         else:
-            attributes.setdefault((p["line"], p["col"]), set()).add(p["attribute"])
+            attributes.setdefault((line, col), set()).add(attribute)
     events = _events(raw)
     at, depth, text, stack, rid = 0, 0, "", [], 0
 
@@ -170,8 +184,9 @@ def _tokenizer(body: str, out: Parts) -> None:
 
 
 def read(docs: DataFrame, chosen: DataFrame | None = None, column: str = "text") -> DataFrame:
-    """chosen: the candidates to extract, all where it is not given."""
-    chosen = candidates(docs, column) if chosen is None else chosen
+    """chosen: the candidates to extract; all, in the pass that finds them and without a shuffle, where it is not given."""
+    if chosen is None:
+        return tokenise(docs, tokenizer, column)
     places = chosen.groupBy("doc_id").agg(F.collect_set(F.struct("line", "col", "attribute")).alias("places"))
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(column).alias("_text")).join(places, "doc_id", "left")
-    return tokenise(rows.select("doc_id", F.to_json(F.struct(F.col("_text").alias("text"), "places")).alias("_json")), _tokenizer, "_json")
+    return tokenise(rows.select("doc_id", F.to_json(F.struct(F.col("_text").alias("text"), "places")).alias("_json")), _with_places, "_json")

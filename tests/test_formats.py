@@ -110,7 +110,12 @@ def test_xliff(spark):
     assert got["subs"] == ["inner"] and "<bx id='1' ctype='x-xliff-bpt' rid='1'/>b<ex id='2' rid='1'/>" in got["text"] and got["codes"][2]["body"] == "p{{sub:0}}"
     assert [r.datatype for r in xliff.files(one(spark, body)).collect()] == ["html"]
     made = units.trans_units(units.segments(schema.paragraphs(plaintext.read(one(spark, "One. Two.")))))
-    back = xliff.raw_units(xliff.write(made, "en", "f.txt", "plaintext")).orderBy("ordinal").collect()
+    names = spark.createDataFrame([("d", "f'<.txt", "plaintext")], "doc_id string, name string, datatype string")
+    chosen = made.select("tu_id", F.lit("fr").alias("lang"), F.lit("2").alias("phase"), F.lit("target").alias("kind"), F.lit(0).alias("ordinal"), F.lit("&amp;").alias("text"))
+    written = xliff.write(made, "en", names, chosen=chosen)
+    assert export.well_formed(written).first().well_formed and xliff.files(written).first().original == "f&apos;&lt;.txt"
+    assert [(r.lang, r.phase, r.text) for r in xliff.targets(xliff.raw_units(written)).collect()] == [("fr", "2", "&amp;")] * 2
+    back = xliff.raw_units(written).orderBy("ordinal").collect()
     assert [r.mergeable for r in back] == [True, False] and back[0].next_tu_id == back[1].tu_id
 
 
@@ -173,7 +178,11 @@ def test_detection(spark):
         assert r.got == r.want
     f = lambda c: spark.range(1).select(c).first()[0]
     assert f(detect.from_datatype(F.lit("<file original='x' datatype='winres'>"))) == "WINRC"
-    assert f(detect.resolve(F.lit("WORD"), F.lit("RTF"))) == "RTF" and f(detect.resolve(F.lit("HTML"), F.lit(None).cast("string"))) == "HTML"
+    resolved = lambda declared, content, name: f(detect.resolve(F.lit(declared), F.lit(content), F.lit(name)))
+    ole, rtf, tree = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"{\\rtf1\\ansi x", b"<?xml version='1.0'?><xliff>"
+    assert resolved("WORD", rtf, "a") == "RTF" and resolved("HTML", b"?", "a") == "HTML"
+    assert resolved("WORD", ole, "a") == "WORD" and resolved("WORD", ole, "a.xls") == "EXCEL" and resolved("HTML", ole, "a") == "MSOFFICEDOC"
+    assert resolved("XML", tree, "a") == "XML" and resolved("HTML", tree, "a") == "XLIFF"
 
 
 def test_charsets(spark):
@@ -184,7 +193,12 @@ def test_charsets(spark):
     assert f(charset.catalogue_charset(F.lit(""), F.lit("ru_RU"))) == "KOI8-R" and f(charset.plaintext_charset(F.lit("ja"))) == "UTF-8"
     assert f(charset.mif_charset(F.lit(b"<MIFEncoding `\xc6\xfc\xcb\xdc\xb8\xec'>"))) == "EUC-JP" and f(charset.mif_charset(F.lit(b"<FEncoding `BIG5'>"))) == "Big5"
     assert f(charset.xml_charset(F.lit("<?xml version='1.0' encoding='ISO-8859-2'?>"))) == "ISO-8859-2"
-    assert f(charset.decoded(F.lit("é".encode("latin-1")), F.lit("iso-8859-1"))) == "é"
+    assert tuple(f(charset.decoded(F.lit("é".encode("latin-1")), F.lit("iso-8859-1")))) == ("é", None)
+    for name in {*charset.CATALOGUE.values(), "windows-1252", "Shift_JIS", "UTF-16"}:
+        text = {"EUC-JP": "日本", "Shift_JIS": "日本", "Big5": "中文", "GB2312": "中文", "EUC-KR": "한국", "TIS-620": "ไทย", "ISO-8859-7": "αβ", "ISO-8859-8": "אב", "ISO-8859-6": "اب", "KOI8-R": "мир", "KOI8-U": "мир", "KOI8-T": "мир", "windows-1251": "мир", "ISO-8859-5": "мир"}.get(name, "abc")
+        assert charset.decode_bytes(text.encode(name), name) == (text, None)
+    assert charset.decode_bytes(b"a\xffb", "UTF-8") == ("a\ufffdb", "bytes that are not UTF-8 were replaced") and charset.decode_bytes(b"x", "EUC-TW")[0] is None
+    assert charset.decode_bytes(bytes([0x80, 0xAD, 0x10, 0xF5, 0x41]), charset.FRAME_ROMAN)[0] == "\u00c4\u00a6\u2007\u20acA" and charset.encode_text("\u20acA", charset.FRAME_ROMAN) == b"\xf5A"
 
 
 def test_stream_of_documents(spark, tmp_path):
@@ -194,11 +208,24 @@ def test_stream_of_documents(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
-def test_codes_within_codes(spark):
-    t = spark.createDataFrame([("d", 0, "a <x id='1'/>"), ("d", 1, "tip")], "doc_id string, part_no int, text string")
-    f = spark.createDataFrame([("d", 1, "<i t='{{tu:1}}'>")], "doc_id string, code_id int, body string")
-    got = merge.resolve_references(merge.resolve_codes(t, f), merge.resolve_codes(t, f))
-    assert [r.text for r in got.filter("part_no = 0").collect()] == ["a <i t='tip'>"]
+def test_codes_within_codes():
+    part = lambda n, kind, text: {"part_no": n, "kind": kind, "text": text}
+    code = lambda n, body: {"code_id": n, "body": body}
+    got = merge.assemble([part(0, "para", "a <x id='1'/><x id='9'/>"), part(1, "aside", "tip")], [code(1, "<i t='{{tu:1}}'>"), code(1, "later")])
+    assert got == ("a <i t='tip'>", [])
+    # Any depth, and a reference that leads back to itself.
+    deep = [part(0, "literal", "[{{tu:1}}]<x id='1'/>{{tu:9999}}")] + [part(i, "aside", f"({i}<x id='{i}'/>)") for i in range(1, 2001)]
+    text, notices = merge.assemble(deep, [code(i, "{{tu:%d}}" % (i + 1)) for i in range(1, 2000)])
+    assert text.startswith("[(1(2(3(4(5(6(7") and text.endswith("))]<x id='1'/>{{tu:9999}}") and "(2000)" in text and notices == []
+    text, notices = merge.assemble([part(0, "para", "{{tu:1}}"), part(1, "aside", "b<x id='1'/>")], [code(1, "{{tu:1}}")])
+    assert text == "b" and notices == ["paragraph 1 refers to itself"]
+
+
+def test_export_plan_reads_and_tokenises_once(spark):
+    from glossaweave.plans import registry
+
+    plan = registry.QUERIES["html_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") <= 3 and plan.count("MapInPandas") == 2
 
 
 def test_bookmarks_move_to_the_front(spark):
@@ -214,19 +241,29 @@ def test_collection_import_and_export(spark, tmp_path):
 
     source, tables = tmp_path / "in", str(tmp_path / "tables")
     source.mkdir()
-    for name, body in {"a.html": b"<html><p>One. Two.</p></html>", "b.properties": b"k=v\n", "c.txt": b"Plain text.\n", "d.bin": b"\x00\x01", "e.po": b'msgid "x"\nmsgstr ""\n'}.items():
+    for name, body in {"a.html": b"<html><p>One. Two.</p></html>", "b.properties": b"k=v\n", "c.txt": b"Plain text.\n", "d.bin": b"\x00\x01", "e.po": b'msgid "x"\nmsgstr ""\n', "f.rc": b'IDD DIALOG\nCAPTION "a\xe9"\n', "g.po": b'msgid ""\nmsgstr "Content-Type: text/plain; charset=ISO-8859-2\\n"\n\nmsgid "\xb1"\nmsgstr ""\n', "h.html": b"<html>" + b"<!-- x -->\n" * 700 + b"<meta http-equiv=content-type content='text/html; charset=windows-1252'><p>\x80\x81 z</p></html>", "i.xlf": b"<?xml version='1.0'?><xliff><trans-unit id='u'><source>Hi <g id='1'>x</g></source></trans-unit></xliff>"}.items():
         (source / name).write_bytes(body)
     docs = convert.documents(spark, str(source))
     assert {r.name: (r.kind, r.status) for r in docs.collect()} == {
         "a.html": ("HTML", convert.SUCCEEDED), "b.properties": ("JAVA_PROPERTIES", convert.SUCCEEDED), "c.txt": ("PLAINTEXT", convert.SUCCEEDED), "d.bin": (None, convert.NOT_IMPLEMENTED), "e.po": ("PO", convert.SUCCEEDED),
+        "f.rc": ("WINRC", convert.SUCCEEDED), "g.po": ("PO", convert.SUCCEEDED), "h.html": ("HTML", convert.SUCCEEDED), "i.xlf": ("XLIFF", convert.SUCCEEDED),
     }
     convert.write_tables(docs, tables)
     made = spark.read.parquet(f"{tables}/trans_units")
-    assert made.count() == 5
+    cores = {(r.doc_id.rsplit("/", 1)[1], r.core) for r in made.collect()}
+    assert cores == {("a.html", "One."), ("a.html", "Two."), ("b.properties", "v"), ("c.txt", "Plain text."), ("e.po", "x"), ("f.rc", "a\u00e9"), ("g.po", "\u0105"), ("h.html", "\u20ac\ufffd z"), ("i.xlf", "Hi <bx id='1' ctype='x-xliff-g' rid='1'/>x<ex id='2' rid='1'/>")}
+    assert [(r.severity, r.message) for r in spark.read.parquet(f"{tables}/diagnostics").collect()] == [(1, "bytes that are not windows-1252 were replaced")]
     done = made.filter("core <> 'Two.'").select("tu_id", F.lit("fr").alias("lang"), F.lit("1").alias("phase"), F.lit("target").alias("kind"), F.lit(0).alias("ordinal"), F.upper("core").alias("text"))
     done.write.parquet(f"{tables}/targets")
     got = {r.name: r.text for r in convert.export_documents(spark, tables, "fr").collect()}
     assert got["a.fr.html"].startswith("<html><p>ONE.") and "not yet translated: Two." in got["a.fr.html"]
+    assert "charset=UTF-8'>" in got["h.fr.html"] and "charset=UTF-8" in got["g.fr.po"] and "i.fr.xlf" not in got and 'L"A\\x00c9"' in got["f.fr.rc"]
+    assert "[Segment 2 not yet" in got["a.fr.html"]
+    folder = str(tmp_path / "out")
+    convert.main(["export", tables, folder, "fr"])
+    assert (tmp_path / "out" / "b_fr.properties").read_bytes() == b"k=V\n" and not list((tmp_path / "out").glob("*.xlf"))
+    whole = convert.xliff_documents(spark, tables, "en")
+    assert export.well_formed(whole).filter("NOT well_formed").count() == 0 and whole.count() == 9
     assert got["b_fr.properties"] == "k=V\n" and got["c.fr.txt"] == "PLAIN TEXT.\n" and 'msgstr "X"' in got["e.fr.po"]
 
 
@@ -238,7 +275,7 @@ def test_archives_are_exported_from_a_folder(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(bytes(odf()[1]))
     tables = str(tmp_path / "tables")
     convert.write_tables(convert.documents(spark, str(tmp_path / "in")), tables)
-    made = spark.read.parquet(f"{tables}/trans_units/kind=ODT")
+    made = spark.read.parquet(f"{tables}/trans_units/format=ODT")
     made.select("tu_id", F.lit("fr").alias("lang"), F.lit("1").alias("phase"), F.lit("target").alias("kind"), F.lit(1).alias("ordinal"), F.lit("Traduit").alias("text")).write.parquet(f"{tables}/targets")
     got = {r.name: bytes(r.content) for r in convert.export_documents(spark, tables, "fr").collect()}
     assert sorted(got) == ["a.fr.odt", "b.fr.odt"]
