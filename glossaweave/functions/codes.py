@@ -204,7 +204,7 @@ def repair_strict(text: str | None) -> str:
 
 def collapse_nested(text: str | None, codes: list[dict] | None = None) -> str:
     """Pairs of codes right inside each other become one, until none is left; an empty pair becomes a standalone code. Of the
-    two types a link is preferred, then a common one, then the inner; the outer id stays and takes on the inner's markup."""
+    two types a link is preferred, then a common one over an x- one, then the inner; the outer id stays and takes on the inner's markup."""
     text = text or ""
     if "<bx" not in text:
         return text
@@ -218,7 +218,7 @@ def collapse_nested(text: str | None, codes: list[dict] | None = None) -> str:
             if a.end() != b.start() or not p or not q or q.end() != p.start():
                 continue
             kinds = [a[3] or "", b[3] or ""]
-            kind = "link" if "link" in kinds else next((k for k in kinds if k and not k.startswith("x-")), kinds[1])
+            kind = "link" if "link" in kinds else kinds[0] if kinds[1].startswith("x-") and not kinds[0].startswith("x-") else kinds[1]
             joined = f"<bx id='{a[2]}' ctype='{kind}' rid='{a[4]}'/>"
             if codes:
                 codes[int(a[2]) - 1]["body"] += codes[int(b[2]) - 1]["body"]

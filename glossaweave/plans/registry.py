@@ -319,7 +319,7 @@ def properties_translated(spark, d):
     docs = _as_lines(spark, d, lambda t: F.concat(F.lit("turn."), t["turn"].cast("string"), F.lit(" = "), F.trim(t["text"]), F.lit("\n")))
     read = lines.read(docs, "JAVA_PROPERTIES")
     made = paragraphs(read).select("doc_id", "part_no", F.lit(0).alias("seg_no"), F.lit("").alias("prefix"), F.lit("").alias("suffix"), F.col("text").alias("core"), text.escape(F.translate(text.unescape(F.col("text")), "aeiou", "AEIOU")).alias("target"))
-    return sink.export(read, made, "JAVA_PROPERTIES")
+    return sink.export(read, made, "JAVA_PROPERTIES").select("doc_id", "text")
 
 
 @query("SELECT doc_id, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN 'ISO-8859-1' ELSE 'UTF-8' END AS plain_charset, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN 'ISO-8859-1' ELSE 'UTF-8' END AS catalogue_charset FROM documents")
@@ -394,3 +394,25 @@ def xliff_targets(spark, d):
     found = xliff.targets(read).withColumn("tu_id", F.concat_ws("/", F.col("doc_id").cast("string"), "tu_id"))
     chosen = targets.choose(found, "FR", "2", 3).withColumnsRenamed({"tu_id": "k", "text": "chosen"})
     return read.join(chosen, F.concat_ws("/", F.col("doc_id").cast("string"), "tu_id") == F.col("k")).select("doc_id", "ordinal", "tu_id", F.col("chosen").alias("text"))
+
+
+def _of_cases(name: str) -> None:
+    from . import cases
+
+    rule, table, made = cases.CASES[name]
+    query(cases.wanted(table))(_named(name, rule, lambda spark, d: made(spark, d, table)))
+
+
+def _named(name: str, rule: str, function):
+    function.__name__, function.__doc__ = name, f"{rule}, on cases filled from every turn."
+    return function
+
+
+def _register_cases() -> None:
+    from . import cases
+
+    for name in cases.CASES:
+        _of_cases(name)
+
+
+_register_cases()
