@@ -12,7 +12,7 @@ slot's group, nonmembers are grouped among themselves.
 Defined results: a null text counts as empty, so all null, empty and blank texts are one group. Of equal texts the row
 with the most code points in its original text stays, then the one with the smallest doc_id; a null doc_id loses ties.
 Rows that agree in digest, length and doc_id are repeats; exactly one of them is kept. An empty table gives an empty
-result. Extra columns are ignored.
+result. Very long texts are normalised and hashed row by row in the JVM. Extra columns are ignored (the stage keeps them).
 """
 
 from __future__ import annotations
@@ -195,7 +195,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
 n AS (SELECT doc_id, length(txt) AS n_chars, sha256(regexp_replace(txt, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM t),
-g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS keep_id,
-             count(*) OVER (PARTITION BY text_sha256) AS group_size FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept, count(*) OVER (PARTITION BY text_sha256) AS group_size
+      FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """

@@ -10,7 +10,8 @@ headers have no checksum and are kept with the next footer, however far, unless
 
 Defined results: a null text counts as empty; an empty text has no spans. Spans of a kind do not overlap, spans of
 different kinds may. Every row is scanned by itself, so repeated rows give repeated results and no shuffle is needed.
-Offsets are code points, ends exclusive. Extra columns are ignored.
+Offsets are code points, ends exclusive. An empty table gives an empty result. Very long texts are scanned whole, few at a
+time. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every span, overlapping ones as one, replaced by the mask."""
 
     def masked(batches):
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for text in batch.column("text").to_pylist():
                 parts, done = [], 0

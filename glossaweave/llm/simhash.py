@@ -17,7 +17,8 @@ joined from these by stars (components.py).
 
 Defined results: a null text counts as empty; without words the fingerprint is zero, linked like any other; fewer words
 than a shingle are one shingle. The component's id is its smallest doc_id (null if none has one). Repeated rows share
-their component. An empty table gives an empty result. Extra columns are ignored.
+their component. An empty table gives an empty result. Very long texts are read whole, few at a time, their shingles hashed in
+runs. Extra columns are ignored (the stage keeps them).
 """
 
 from __future__ import annotations
