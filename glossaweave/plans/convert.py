@@ -54,6 +54,30 @@ for _kind, _tokenizer in lines.TOKENIZERS.items():
     register(_kind, _tokenizer, export.FINISH[_kind])
 
 
+#: All types; those that need an office suite or a PDF library have no tokenizer here.
+KINDS = ("HTML", "PLAINTEXT", "XML", "XLIFF", "MIF", "ODT", "ODS", "ODP", "JAVA_PROPERTIES", "XULDTD", "PO", "WINRC", "WORD", "RTF", "EXCEL", "PPT", "PDF")
+
+
+def status(source: str, target: str) -> str:
+    """Whether documents of one type convert into another: into XLIFF by import, from XLIFF by export (PDF is written as a list in HTML)."""
+    if target == "XLIFF":
+        return SUCCEEDED if source in FORMATS else NOT_IMPLEMENTED
+    if source != "XLIFF":
+        return NOT_IMPLEMENTED
+    return SUCCEEDED if target == "PDF" or (target in FORMATS and FORMATS[target].finish) else NOT_IMPLEMENTED
+
+
+def matrix(spark: SparkSession) -> DataFrame:
+    """source, target, status of every two types."""
+    return spark.createDataFrame([(a, b, status(a, b)) for a in KINDS for b in KINDS], "source string, target string, status string")
+
+
+#: The same, written out: what is imported and what is exported; nothing else is.
+_IMPORTED = ("HTML", "PLAINTEXT", "XML", "XLIFF", "MIF", "ODT", "ODS", "ODP", "JAVA_PROPERTIES", "XULDTD", "PO", "WINRC")
+_EXPORTED = ("HTML", "PLAINTEXT", "XML", "MIF", "ODT", "ODS", "ODP", "JAVA_PROPERTIES", "XULDTD", "PO", "WINRC", "PDF")
+WANTED = [(a, b, SUCCEEDED if (b == "XLIFF" and a in _IMPORTED) or (a == "XLIFF" and b in _EXPORTED) else NOT_IMPLEMENTED) for a in KINDS for b in KINDS]
+
+
 def documents(spark: SparkSession, folder: str, declared: str | None = None, lang: str = "en") -> DataFrame:
     """doc_id, name, path (below the folder), content, kind, encoding, lang, status of the files below a folder. Types are detected; plain text is
     what is left with a .txt name or declared so."""

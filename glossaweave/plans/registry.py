@@ -14,6 +14,7 @@ from ..operators import merge, targets, units
 from ..schema import paragraphs, stable_id
 from ..sinks import export as sink
 from ..sources import html, lines, plaintext, xliff, xml
+from . import convert
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -341,8 +342,14 @@ def format_first_match(spark, d):
     return _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_returnflag")).alias("body"))
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """The table in as many tasks as there are cores, where its files have fewer splits: for Python stages over small files alone."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def _pages(spark, d) -> DataFrame:
-    return _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return _spread(_table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
 @query(r"SELECT page_id::VARCHAR AS doc_id, md5(regexp_replace(html, '\s+', '', 'g')) AS squeezed FROM pages")
@@ -362,7 +369,7 @@ def html_trans_units(spark, d):
 @query()
 def sentence_segments(spark, d):
     """Sentences of every document."""
-    return units.segments(plaintext.paragraphs(_table(spark, d, "documents"))).select("doc_id", "part_no", "seg_no", "marked")
+    return units.segments(plaintext.paragraphs(_spread(_table(spark, d, "documents")))).select("doc_id", "part_no", "seg_no", "marked")
 
 
 @query("SELECT doc_id, len(string_split(text, ' ')) AS words FROM documents")
@@ -370,7 +377,7 @@ def sentences_lose_nothing(spark, d):
     """The pieces of a text, joined, are the text: words are counted on the joined pieces."""
     cut = codes.column(codes.sentences, "array<string>")
     joined = F.array_join(cut(F.col("text")), "")
-    return _table(spark, d, "documents").select("doc_id", F.size(F.split(joined, " ", -1)).cast("long").alias("words"))
+    return _spread(_table(spark, d, "documents")).select("doc_id", F.size(F.split(joined, " ", -1)).cast("long").alias("words"))
 
 
 @query("SELECT conv_id::VARCHAR AS doc_id, '/talk[1]/turn[' || (turn + 1) || ']' AS xpath FROM conversations WHERE role = 'user' AND trim(text) <> ''")
@@ -396,6 +403,12 @@ def xliff_targets(spark, d):
     return read.join(chosen, F.concat_ws("/", F.col("doc_id").cast("string"), "tu_id") == F.col("k")).select("doc_id", "ordinal", "tu_id", F.col("chosen").alias("text"))
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in convert.WANTED) + ") t(source, target, status)")
+def conversion_matrix(spark, d):
+    """What converts into what."""
+    return convert.matrix(spark)
+
+
 def _of_cases(name: str) -> None:
     from . import cases
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import escape
+from ..functions.text import escape, guarded
 from ..schema import Parts, tokenise
 
 # Spaces and dashes after which no space is put between lines; ranges of ideographs.
@@ -26,10 +26,10 @@ BLANK_LINES = "(?:\\r\\n|\\r|\\n)(?:[\\x{0001}-\\x{0009}\\x{000b}\\x{000c}\\x{00
 def join_lines(column: Column) -> Column:
     """The lines of a paragraph as one: soft hyphens at an end and todo hyphens at a start go, dashes, spaces and ideographs join
     without a space."""
-    joined = F.regexp_replace(column, "\\r\\n|\\r", "\n")
-    joined = F.regexp_replace(joined, f"\n\\x{{{TODO_HYPHEN:04x}}}", "\n")
-    joined = F.regexp_replace(joined, f"\\x{{{SOFT_HYPHEN:04x}}}\n", "")
-    joined = F.regexp_replace(joined, f"({TIGHT})\n", "$1")
+    joined = guarded(column, "\r", F.regexp_replace(column, "\\r\\n|\\r", "\n"))
+    joined = F.replace(joined, F.lit("\n" + chr(TODO_HYPHEN)), F.lit("\n"))
+    joined = F.replace(joined, F.lit(chr(SOFT_HYPHEN) + "\n"), F.lit(""))
+    joined = F.regexp_replace(joined, f"\n(?<={TIGHT}\n)", "")  # looks back from line ends alone
     return F.replace(joined, F.lit("\n"), F.lit(" "))
 
 
