@@ -151,6 +151,10 @@ CASES: dict[str, tuple[str, list[tuple[str, str, str]], Callable]] = {
     "html_text_attributes": ("N18", [("alt", "<img alt='{t} cat'>", "{t} cat"), ("button", "<p>x<input type=\"button\" value=\"{t}\"></p>", "x | {t}"), ("hidden", "<input type='hidden' value='{t}'>", ""), ("title", "<p>See <a href='{t}' title='tip {t}'>it</a></p>", "tip {t} | See <bx id='1' ctype='link' rid='1'/>it<ex id='2' rid='1'/>"), ("table", "<table summary='{t}'></table>", "{t}")], of_documents(lambda d: _paragraphs(html.read(d)))),
     "collapse_nested_codes": ("N20", [("nested", "<p><b><i>{t}</i></b> z</p>", "<bx id='1' ctype='italic' rid='1'/>{t}<ex id='4' rid='1'/> z"), ("link", "<p>a <span><a href='x'>{t}</a></span></p>", "a <bx id='1' ctype='link' rid='1'/>{t}<ex id='4' rid='1'/>"), ("empty", "<p>{t} <b></b> z</p>", "{t} <x id='1' ctype='bold'/> z")], of_documents(lambda d: _paragraphs(html.read(d)))),
     "html_bookmarks_first": ("N19", [("bookmark", "<p>One <a name=\"{t}\"></a>two</p>", "<x id='1' ctype='link'/>One two"), ("link", "<p>One <a href=\"{t}\">two</a></p>", "One <bx id='1' ctype='link' rid='1'/>two<ex id='2' rid='1'/>")], of_documents(lambda d: _paragraphs(html.read(d, move_bookmarks=True)))),
+    "pdf_tagged_text": ("N16, N17", [("codes", "<p>{t} <sub>2</sub> <spacecount n='3'/>z</p><li>b</li>", "{t} <bx id='1' ctype='x-pdf-sub' rid='1'/>2<ex id='2' rid='1'/> <x id='3' ctype='x-pdf-spacecount'/>z | b"), ("bold", "<div>a <b>{t}</b></div>", "a <bx id='1' ctype='bold' rid='1'/>{t}<ex id='2' rid='1'/>")], of_documents(lambda d: _paragraphs(html.read_pdf(d)))),
+    "html_ctypes": ("N17", [(t, f"<p>a <{t}>{{t}}</{t}> z</p>", f"a <bx id='1' ctype='{c}' rid='1'/>{{t}}<ex id='2' rid='1'/> z") for t, c in html.INLINE_TAGS.items() if t not in html.EMPTY_INLINE] + [("image", "<p>a <img src='{t}'> z</p>", "a <x id='1' ctype='image'/> z")], of_documents(lambda d: _paragraphs(html.read(d)))),
+    "output_names": ("K1, K7", [("html", "{t}.html", "{t}.fr.html"), ("none", "{t}", "{t}.fr"), ("folders", "a.b/{t}.tar.html", "a.b/{t}.tar.fr.html")], of_column(lambda c: export.output_name(c, "fr", "HTML"))),
+    "output_names_properties": ("K7", [("properties", "{t}.properties", "{t}_fr.properties")], of_column(lambda c: export.output_name(c, "fr", "JAVA_PROPERTIES"))),
     "odf_inline_codes": ("S5, N22", [("span", _odf("<text:p>a <text:span text:style-name='B'>{t}</text:span></text:p>"), "a <bx id='1' ctype='bold-italic' rid='1'/>{t}<ex id='2' rid='1'/>"), ("sub", _odf("<text:p>a <text:span text:style-name='U'>{t}</text:span></text:p>"), "a <bx id='1' ctype='x-odf-sub-underline' rid='1'/>{t}<ex id='2' rid='1'/>"), ("tab", _odf("<text:h>a<text:tab/>{t}<text:line-break/>b</text:h>"), "a<x id='1' ctype='x-odf-tab'/>{t}<x id='2' ctype='lb'/>b"), ("link", _odf("<text:p>a <text:a href='{t}'>b</text:a></text:p>"), "a <bx id='1' ctype='link' rid='1'/>b<ex id='2' rid='1'/>")], of_documents(lambda d: _paragraphs(_read_odf(d)))),
     "odf_notes_are_asides": ("N23", [("note", _odf("<text:p>a<text:note><text:note-body><text:p>{t} note</text:p></text:note-body></text:note> b</text:p>"), "{t} note")], of_documents(lambda d: _paragraphs(_read_odf(d)).withColumn("text", F.substring_index("text", " | ", 1)))),
     "mif_paragraphs": ("S8, N26, N29", [("joined", "<MIFFile 7.00>\n<Para <ParaLine <String `{t} \\>a'>\n<Char EmDash>\n<String `end'>>>\n", "{t} &gt;a\u2014end"), ("break", "<MIFFile 7.00>\n<Para <ParaLine <String `{t}'><Char HardReturn>>\n<ParaLine <String `b\\x80 '>>>\n", "{t}<x id='1' ctype='lb'/>bÄ"), ("quotes", "<MIFFile 7.00>\n<Para <ParaLine <String `\\Q{t}\\q\\t\\\\'>>>", "`{t}'\t\\")], of_documents(lambda d: _paragraphs(office.read_mif(d)))),

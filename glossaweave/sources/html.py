@@ -28,6 +28,12 @@ INLINE_TAGS = {
         "s", "samp", "small", "span", "strike", "sub", "sup", "tt", "var",
     )},
 }
+PDF_BREAK_TAGS = (
+    "br", "center", "div", "dfn", "dd", "dt", "dl", "form", "h1", "h2", "h3", "h4", "h5", "h6", "html", "input", "li", "menu", "noscript", "ol",
+    "option", "p", "pre", "q", "script", "select", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "ul",
+)
+PDF_INLINE_TAGS = {"spacecount": "x-html-spacecount"}  # besides those of pages
+PDF_PREFIX = "x-pdf-"
 EMPTY_INLINE = ("img", "param")
 HIDDEN = ("style", "script", "comment")
 TEXT_ATTRIBUTES = ("alt", "title", "summary")
@@ -60,6 +66,7 @@ _STRAY = re.compile(r"[<>]")
 class _Tokenizer:
     def __init__(self, out: Parts, breaks: frozenset[str], prefix: str, move: bool):
         self.out, self.breaks, self.prefix, self.move = out, breaks, prefix, move
+        self.types = INLINE_TAGS | PDF_INLINE_TAGS if prefix == PDF_PREFIX else INLINE_TAGS
         self.text, self.raw, self.open, self.rid = "", "", [], 0
         self.pre = 0
 
@@ -92,7 +99,7 @@ class _Tokenizer:
         return tag[: tag.index(markup)] + _ATTRIBUTE.sub(swap, markup) + ">" if markup.strip() else tag
 
     def inline(self, tag: str, close: bool, name: str, markup: str) -> None:
-        kind = INLINE_TAGS[name].replace("x-html-", self.prefix)
+        kind = self.types[name].replace("x-html-", self.prefix)
         body = tag if close else self.attributes(tag, name, markup)
         code = self.out.code(body)
         if close:
@@ -116,7 +123,7 @@ class _Tokenizer:
         for m in _TOKEN.finditer(html):
             self.plain(html[at : m.start()])
             at, name = m.end(), (m[3] or "").lower()
-            if name in INLINE_TAGS and name not in self.breaks:
+            if name in self.types and name not in self.breaks:
                 self.inline(m[0], bool(m[2]), name, m[4])
             else:
                 self.flush()
@@ -140,3 +147,8 @@ def read(docs: DataFrame, column: str = "text", tags: tuple[str, ...] = BREAK_TA
     """tags: those that break units, to be added to or taken from; move_bookmarks puts anchors without a target first, so that export
     puts them there as well."""
     return tokenise(docs, tokenizer(tags, move_bookmarks=move_bookmarks), column)
+
+
+def read_pdf(docs: DataFrame, column: str = "text") -> DataFrame:
+    """Tagged text that a library has taken from PDF pages: fewer tags break units, and codes have types of their own."""
+    return tokenise(docs, tokenizer(PDF_BREAK_TAGS, PDF_PREFIX), column)
