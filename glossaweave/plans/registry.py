@@ -78,7 +78,7 @@ def html_inline_code_census(spark, d):
     """Inline tags joined with their types (a fixed dimension table)."""
     pages = _table(spark, d, "pages")
     tags = pages.select("page_id", F.explode(F.regexp_extract_all(html.visible(F.col("html")), F.lit("<([A-Za-z][A-Za-z0-9]*)"), 1)).alias("t")).select("page_id", F.lower("t").alias("tag"))
-    dim = spark.createDataFrame(list(html.INLINE_TAGS.items()), "tag string, ctype string")
+    dim = spark.range(1).select(F.explode(F.create_map(*[F.lit(x) for pair in html.INLINE_TAGS.items() for x in pair])).alias("tag", "ctype"))
     return tags.join(F.broadcast(dim), "tag").groupBy("tag", "ctype").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("page_id").alias("pages"))
 
 
