@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, line_dedup, mixing, packing, quality, secret_scan, simhash, substring_dedup, token_store
+from . import exact_dedup, fingerprint, line_dedup, mixing, packing, quality, secret_scan, simhash, spelling, substring_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_simhash": simhash.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op13_spelling": spelling.query,
 }
 ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
