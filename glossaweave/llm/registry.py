@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, grouped_packing, line_dedup, mixing, packing, quality, secret_scan, simhash, spelling, substring_dedup, token_store
+from . import conversation_repair, exact_dedup, fingerprint, grouped_packing, line_dedup, mixing, packing, quality, secret_scan, simhash, spelling, substring_dedup, token_store
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan.query,
     "op9_simhash": simhash.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_conversation_repair": conversation_repair.query,
     "op12_grouped_packing": grouped_packing.query,
     "op13_spelling": spelling.query,
 }
