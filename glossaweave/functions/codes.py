@@ -1,4 +1,4 @@
-"""Inline codes of translation units: cores round tags, repair of tags, nested codes, sentences.
+"""Inline codes of translation units: cores round tags, repair of tags, nested codes, segments of sentences.
 
 Each function takes and gives one text; `column` wraps one as a pandas UDF, for texts with codes. Texts without codes go
 through the column expressions of functions.text.
@@ -7,7 +7,7 @@ through the column expressions of functions.text.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -131,33 +131,11 @@ def mark_core(text: str | None, sentences: bool = True, hidden: bool = False) ->
     return "" if found is None else found[0] + CORE_START + found[1] + CORE_END + found[2]
 
 
-# Ends of sentences: sure ones; a full stop, with white space after it and no small letter next; what may close or open.
-_SURE, _STOP = "!?。！？", ".．"
-_CLOSE = "\"')]}»”’›"
-_BREAK = re.compile(rf"(?:[{_STOP}{re.escape(_CLOSE)}]*[{_SURE}][{_SURE}{_STOP}{re.escape(_CLOSE)}]*\s*|[{_STOP}][{_STOP}{re.escape(_CLOSE)}]*\s+(?=[\"'(\[{{«“‘‹]*(?:[^\Wa-z_]|[^\w\s]|\d))|\u2029)")
-
-
-def sentences(text: str) -> list[str]:
-    """The text cut into sentences; joined they are the text."""
-    out, start = [], 0
-    for m in _BREAK.finditer(text):
-        following = text[m.end() :].lstrip("\"'([{«“‘‹")[:1]
-        if m[0][-1] != "\u2029" and m[0].strip()[-1:] in _STOP + _CLOSE and not set(m[0]) & set(_SURE) and following.islower():
-            continue
-        if m.end() < len(text):
-            out.append(text[start : m.end()])
-            start = m.end()
-    return [*out, text[start:]] if text[start:] else out
-
-
-def core_segments(text: str | None, boundary: str = "SENTENCE", hidden: bool = False) -> list[str]:
-    """The paragraph's segments with marked cores. A sentence with nothing to translate is put after the core of the one
+def core_segments(sentences: Sequence[str], hidden: bool = False) -> list[str]:
+    """The segments of a paragraph's sentences with marked cores. A sentence with nothing to translate is put after the core of the one
     before it; one that leads is dropped."""
-    if boundary == "PARAGRAPH":
-        marked = mark_core(text, False, hidden)
-        return [marked] if marked else []
     out: list[str] = []
-    for piece in sentences(text or ""):
+    for piece in sentences:
         marked = mark_core(piece, True, hidden)
         if marked:
             out.append(marked)

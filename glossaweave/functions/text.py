@@ -51,7 +51,7 @@ def collapse_space(column: Column) -> Column:
 
 def trim_controls(column: Column) -> Column:
     """Without leading and trailing characters up to U+0020."""
-    return F.regexp_replace(column, "^[\\x{0000}-\\x{0020}]+|[\\x{0000}-\\x{0020}]+$", "")
+    return F.regexp_replace(column, "^[\\x{0000}-\\x{0020}]+|(?<![\\x{0000}-\\x{0020}])[\\x{0000}-\\x{0020}]++\\z", "")
 
 
 def core_text(column: Column) -> Column:
@@ -92,15 +92,16 @@ def is_standalone(column: Column) -> Column:
 
 def is_translatable(column: Column) -> Column:
     """Something other than wide white space, hyphens and codes."""
-    return ~column.rlike("(?s)^(?:" + SPACE_CLASS + "|-|" + ANY_CODE + ")*$")
+    return F.regexp_replace(column, ANY_CODE, "").rlike("[^-" + SPACE_CLASS[1:])
 
 
 def mark_core(column: Column) -> Column:
     """The core of a text without codes, marked; '' where nothing is to be translated."""
-    lead = F.regexp_extract(column, "^" + SPACE_CLASS + "+", 0)
-    rest = F.substr(column, F.length(lead) + 1)
-    body = F.regexp_replace(rest, "(?:" + SPACE_CLASS + "|[\\x{0000}-\\x{0020}])+$", "")
-    tail = F.substr(rest, F.length(body) + 1)
+    wide = "".join(map(chr, WIDE_SPACE))
+    rest = F.ltrim(column, F.lit(wide))
+    lead = F.left(column, F.length(column) - F.length(rest))
+    body = F.rtrim(rest, F.lit(wide + "".join(map(chr, range(0x21)))))
+    tail = F.right(rest, F.length(rest) - F.length(body))
     return (
         F.when(F.coalesce(column, F.lit("")) == "", "")
         .when(column.contains(LEGACY_START), F.replace(F.replace(column, F.lit(LEGACY_START), F.lit(CORE_START)), F.lit(LEGACY_END), F.lit(CORE_END)))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import charset, codes, detect, text
+from ..functions import charset, codes, detect, sentences, text
 from ..operators import merge, targets, units
 from ..schema import TOKENISED, diagnostics, paragraphs, tokenise
 from ..sinks import export
@@ -142,7 +142,7 @@ CASES: dict[str, tuple[str, list[tuple[str, str, str]], Callable]] = {
         ("half", "<bx id='1' rid='1'/>{t} <ex id='2' rid='1'/> b", "<mrk mtype='x-coretext'><bx id='1' rid='1'/>{t} <ex id='2' rid='1'/> b</mrk>"), ("single", " <x id='1'/> {t}\u2022 ", " <x id='1'/> <mrk mtype='x-coretext'>{t}</mrk>\u2022 "),
         ("marked", "<mrk mtype='x-coretext'>{t}</mrk>", "<mrk mtype='x-coretext'>{t}</mrk>"), ("legacy", "<lt:core>{t}</lt:core>", "<mrk mtype='x-coretext'>{t}</mrk>"), ("nothing", "<x id='1'/> - \u2022", ""),
     ], of_column(lambda c: codes.column(codes.mark_core)(c))),
-    "core_segments_glued": ("N1", [("two", "{t} One! ___", "<mrk mtype='x-coretext'>{t} One!</mrk> ___"), ("three", "{t} a. B b! C c?", "<mrk mtype='x-coretext'>{t} a.</mrk> || <mrk mtype='x-coretext'>B b!</mrk> || <mrk mtype='x-coretext'>C c?</mrk>")], of_column(lambda c: F.array_join(F.transform(codes.column(codes.core_segments, "array<string>")(c), lambda s: F.rtrim(s)), " || "))),
+    "core_segments_glued": ("N1", [("two", "{t} One! ___", "<mrk mtype='x-coretext'>{t} One!</mrk> ___"), ("three", "{t} a. B b! C c?", "<mrk mtype='x-coretext'>{t} a.</mrk> || <mrk mtype='x-coretext'>B b!</mrk> || <mrk mtype='x-coretext'>C c?</mrk>")], of_column(lambda c: F.array_join(F.transform(sentences.core_segments(c), lambda s: F.rtrim(s)), " || "))),
     "remove_merger_marks": ("N6", [("mark", "a<mrk mtype='x-mergeboundary' id='{t}'>b", "ab"), ("other", "a<mrk mtype='x'>{t}", "a<mrk mtype='x'>{t}")], of_column(text.remove_merger_marks)),
     "replace_core": ("N7", [("marked", "p<mrk mtype='x-coretext'>{t}</mrk>s", "p<mrk mtype='x-coretext'>new</mrk>s"), ("empty", "", "<mrk mtype='x-coretext'>new</mrk>")], of_column(lambda c: text.replace_core(c, F.lit("new")))),
     "standalone_codes": ("N8", [("x", "{t}<x id='1' ctype='lb'/>", "true"), ("bx", "{t}<bx id='1' rid='1'/>", "false"), ("none", "{t}", "false")], of_column(lambda c: text.is_standalone(c).cast("string"))),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import charset, codes, detect, text
+from ..functions import charset, codes, detect, sentences, text
 from ..operators import merge, targets, units
 from ..schema import paragraphs, stable_id
 from ..sinks import export as sink
@@ -366,17 +366,43 @@ def html_trans_units(spark, d):
     return units.trans_units(units.segments(paragraphs(read)))
 
 
-@query()
+# The break iterator's rules in SQL: what ends a sentence always; after a full stop, a capital after space, or signs right before a letter. Signs
+# alone after the last full stop leave the full stop by itself.
+_CLOSERS = r"[.!?\"''\p{Pe}\p{Pf}]*"
+_SIGNS = r"[^\p{L}\p{N}\p{Pe}\p{Pf}\s,.!?]+"
+
+
+@query(
+    rf"""
+WITH d AS (SELECT doc_id, replace(regexp_replace(regexp_replace(text, '^[\r\n]+|[\r\n]+$', '', 'g'), '({plaintext.TIGHT})\n', '\1', 'g'), chr(10), ' ') AS t FROM documents),
+e AS (SELECT doc_id, {_ESCAPED.format('t')} AS t FROM d WHERE trim(t) <> ''),
+p AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS p FROM
+      (SELECT doc_id, list_filter(regexp_extract_all(t, '[^.!?]*(?:[.!?]{_CLOSERS}\s*|$)'), lambda x: x <> '') AS a FROM e)),
+q AS (SELECT *, lag(p) OVER w AS before, lead(p) OVER w AS after, lead(p, 2) OVER w IS NULL AS near_end FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, before IS NULL OR regexp_matches(before, '[!?]{_CLOSERS}\s*$') OR regexp_matches(p, '^{_SIGNS}\p{{L}}')
+             OR (regexp_matches(before, '\s$') AND regexp_matches(p, '^[\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Lm}}]')) OR (after IS NULL AND regexp_matches(before, '\.{_CLOSERS}\s*$') AND regexp_matches(p, '^{_SIGNS}$')) AS begins,
+             after IS NOT NULL AND near_end AND regexp_matches(p, '[^.!?]\.{_CLOSERS}\s*$') AND NOT regexp_matches(p, '[!?]') AND regexp_matches(after, '^{_SIGNS}$') AS odd FROM q),
+s AS (SELECT doc_id, 2 * i AS i, begins, CASE WHEN odd THEN regexp_extract(p, '^[^.]*') ELSE p END AS p FROM r
+      UNION ALL SELECT doc_id, 2 * i + 1, true, regexp_extract(p, '\..*$') FROM r WHERE odd),
+n AS (SELECT *, count(*) FILTER (WHERE begins) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+j AS (SELECT doc_id, k, string_agg(p, '' ORDER BY i) AS s FROM n GROUP BY ALL),
+l AS (SELECT *, regexp_extract(s, '^{_W}+') AS lead, regexp_replace(substr(s, len(regexp_extract(s, '^{_W}+')) + 1), '[{_W[1:-1]}\x01-\x20]+$', '') AS body FROM j),
+m AS (SELECT *, regexp_matches(body, '[^-{_W[1:-1]}]') AS core FROM l),
+g AS (SELECT *, count(*) FILTER (WHERE core) OVER (PARTITION BY doc_id ORDER BY k) AS seg FROM m)
+SELECT doc_id, 0::INTEGER AS part_no, (seg - 1)::INTEGER AS seg_no,
+       string_agg(CASE WHEN core THEN lead || '<mrk mtype=''x-coretext''>' || body || '</mrk>' || substr(s, len(lead) + len(body) + 1) ELSE s END, '' ORDER BY k) AS marked
+FROM g WHERE seg > 0 GROUP BY doc_id, seg"""
+)
 def sentence_segments(spark, d):
-    """Sentences of every document."""
-    return units.segments(plaintext.paragraphs(_spread(_table(spark, d, "documents")))).select("doc_id", "part_no", "seg_no", "marked")
+    """Sentences of every document, in its language, with marked cores: no Python in the plan."""
+    docs = _spread(_table(spark, d, "documents"))
+    return units.segments(plaintext.paragraphs(docs, "doc_id", "text", "lang"), language=F.col("lang"), coded=False).select("doc_id", "part_no", "seg_no", "marked")
 
 
 @query("SELECT doc_id, len(string_split(text, ' ')) AS words FROM documents")
 def sentences_lose_nothing(spark, d):
     """The pieces of a text, joined, are the text: words are counted on the joined pieces."""
-    cut = codes.column(codes.sentences, "array<string>")
-    joined = F.array_join(cut(F.col("text")), "")
+    joined = F.array_join(sentences.cut(F.col("text"), F.col("lang")), "")
     return _spread(_table(spark, d, "documents")).select("doc_id", F.size(F.split(joined, " ", -1)).cast("long").alias("words"))
 
 

@@ -33,14 +33,14 @@ def join_lines(column: Column) -> Column:
     return F.replace(joined, F.lit("\n"), F.lit(" "))
 
 
-def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, part_no, text: a row a paragraph that is not blank, XML-escaped."""
+def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """key, part_no, text and more columns of the document: a row a paragraph that is not blank, XML-escaped."""
     pieces = F.split(F.col(text), BLANK_LINES, -1)
-    rows = docs.select(key, F.posexplode(pieces).alias("part_no", "piece"))
+    rows = docs.select(key, *more, F.posexplode(pieces).alias("part_no", "piece"))
     trimmed = F.regexp_replace(F.col("piece"), "^[\\r\\n]+|[\\r\\n]+$", "")
     # Blank pieces go before the lines are joined, so that the joining is not done twice.
     full = rows.filter(F.col("piece").rlike("[^\\x20\\r\\n]"))
-    return full.select(key, "part_no", escape(join_lines(trimmed)).alias("text"))
+    return full.select(key, "part_no", escape(join_lines(trimmed)).alias("text"), *more)
 
 
 def tokenizer(text: str, out: Parts) -> None:
