@@ -180,38 +180,54 @@ def repair_strict(text: str | None) -> str:
     return re.sub(r"<[^>]*>", "", fixed) if re.search(r"</?[^x/]|</x", fixed) else fixed
 
 
+_PAIRED = re.compile(r"<([be])x\s+id=(?:'|\")(\d+)['\"](?:\s+ctype=['\"]([^'\"]*)['\"])?(?:\s+rid=['\"](\d+)['\"])?\s*/>")
+
+
+def _preferred(outer: str, inner: str) -> str:
+    if "link" in (outer, inner):
+        return "link"
+    return outer if inner.startswith("x-") and not outer.startswith("x-") else inner
+
+
 def collapse_nested(text: str | None, codes: list[dict] | None = None) -> str:
     """Pairs of codes right inside each other become one, until none is left; an empty pair becomes a standalone code. Of the
-    two types a link is preferred, then a common one over an x- one, then the inner; the outer id stays and takes on the inner's markup."""
+    two types a link is preferred, then a common one over an x- one, then the inner; the outer id stays and takes on the inner's markup.
+    One pass: an outer pair takes in what lies right inside its two ends, from both sides at once."""
     text = text or ""
     if "<bx" not in text:
         return text
-    tag = r"<%s\s+id=(['\"])(\d+)['\"](?:\s+ctype=['\"]([^'\"]*)['\"])?(?:\s+rid=['\"](\d+)['\"])?\s*/>"
-    bx, ex = re.compile(tag % "bx"), re.compile(tag % "ex")
-    while True:
-        opens, closes = list(bx.finditer(text)), list(ex.finditer(text))
-        close_of = {m[4]: m for m in closes}
-        for a, b in zip(opens, opens[1:]):
-            p, q = close_of.get(a[4]), close_of.get(b[4])
-            if a.end() != b.start() or not p or not q or q.end() != p.start():
-                continue
-            kinds = [a[3] or "", b[3] or ""]
-            kind = "link" if "link" in kinds else kinds[0] if kinds[1].startswith("x-") and not kinds[0].startswith("x-") else kinds[1]
-            joined = f"<bx id='{a[2]}' ctype='{kind}' rid='{a[4]}'/>"
+    pieces: list[re.Match | str | None] = []
+    at = 0
+    for m in _PAIRED.finditer(text):
+        pieces += [text[at : m.start()], m] if m.start() > at else [m]
+        at = m.end()
+    pieces.append(text[at:])
+    end_of = {m[4]: i for i, m in enumerate(pieces) if isinstance(m, re.Match) and m[1] == "e"}
+    begins = lambda i: isinstance(pieces[i], re.Match) and pieces[i][1] == "b"
+    body = lambda m: codes[int(m[2]) - 1]
+    for i in range(len(pieces)):
+        if not begins(i):
+            continue
+        outer, last = pieces[i], end_of.get(pieces[i][4])
+        kind, a = outer[3] or "", i + 1
+        if last is None or last < i:
+            continue
+        z = last - 1
+        while a < z and begins(a) and end_of.get(pieces[a][4]) == z:
+            inner, close = pieces[a], pieces[z]
+            kind = _preferred(kind, inner[3] or "")
             if codes:
-                codes[int(a[2]) - 1]["body"] += codes[int(b[2]) - 1]["body"]
-                codes[int(p[2]) - 1]["body"] = codes[int(q[2]) - 1]["body"] + codes[int(p[2]) - 1]["body"]
-            text = text[: a.start()] + joined + text[b.end() : q.start()] + p[0] + text[p.end() :]
-            break
-        else:
-            break
-    for m in reversed(list(bx.finditer(text))):
-        n = ex.match(text, m.end())
-        if n and n[4] == m[4]:
+                body(outer)["body"] += body(inner)["body"]
+                body(pieces[last])["body"] = body(close)["body"] + body(pieces[last])["body"]
+            pieces[a] = pieces[z] = None
+            a, z = a + 1, z - 1
+        if a > z:
             if codes:
-                codes[int(m[2]) - 1]["body"] += codes[int(n[2]) - 1]["body"]
-            text = text[: m.start()] + f"<x id='{m[2]}' ctype='{m[3] or ''}'/>" + text[n.end() :]
-    return text
+                body(outer)["body"] += body(pieces[last])["body"]
+            pieces[i], pieces[last] = f"<x id='{outer[2]}' ctype='{kind}'/>", None
+        elif a > i + 1:
+            pieces[i] = f"<bx id='{outer[2]}' ctype='{kind}' rid='{outer[4]}'/>"
+    return "".join(x if isinstance(x, str) else x[0] for x in pieces if x is not None)
 
 
 def bookmarks_first(text: str, codes: list[dict]) -> str:

@@ -359,6 +359,25 @@ def html_roundtrip(spark, d):
     return merge.documents(read).select("doc_id", F.md5(F.regexp_replace("text", "\\s+", "")).alias("squeezed"))
 
 
+_PAIRED = ("p", "b", "i", "a", "em", "li", "ul", "td", "tr", "table", "div")
+
+
+@query(
+    f"""
+WITH v AS (SELECT page_id::VARCHAR AS doc_id, {_VISIBLE} AS html FROM pages), t(tag) AS (VALUES {", ".join(f"('{t}')" for t in _PAIRED)})
+SELECT doc_id, tag, len(regexp_extract_all(html, '(?i)<' || tag || '[\\s>/]'))::INTEGER AS opened, opened AS closed FROM v, t WHERE regexp_matches(html, '(?i)<' || tag || '[\\s>/]')"""
+)
+def html_balanced(spark, d):
+    """Pages built again with the end tags that their elements lack: as many ends as starts of every element."""
+    built = merge.documents(html.read(_pages(spark, d), balance=True))
+    count = lambda h, pattern: F.size(F.regexp_extract_all(h, F.lit(pattern), F.lit(0)))
+    row = lambda h, t: F.struct(F.lit(t).alias("tag"), count(h, f"(?i)<{t}[\\s>/]").alias("opened"), count(h, f"(?i)</{t}\\s*>").alias("closed"))
+    # One array holds the visible part, so that it is computed once.
+    counts = F.flatten(F.transform(F.array(html.visible(F.col("text"))), lambda h: F.array(*[row(h, t) for t in _PAIRED])))
+    each = built.select("doc_id", F.explode(counts).alias("x"))
+    return each.select("doc_id", "x.*").filter("opened + closed > 0")
+
+
 @query()
 def html_trans_units(spark, d):
     """Units of every page with inline codes, by sentence."""

@@ -32,7 +32,9 @@ class Parts:
         if not text:
             return
         if self.parts and self.parts[-1]["kind"] == "literal":
-            self.parts[-1]["text"] += text
+            joined = self.parts[-1].pop("text")  # held once alone, it grows in place
+            joined += text
+            self.parts[-1]["text"] = joined
         else:
             self.parts.append({"kind": "literal", "text": text, "name": None})
 

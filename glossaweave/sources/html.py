@@ -7,6 +7,8 @@ rest paragraphs. So a document is built again from its parts, without a second p
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,30 +60,169 @@ def text_units(pages: DataFrame, key: str = "page_id", html: str = "html", tags:
     return rows.filter(is_translatable(F.col("text")))
 
 
-_TOKEN = re.compile(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(style|script|comment)\b.*?</\1\s*>|<(/?)([a-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)(\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_NAME = re.compile(r"(?i)(/?)([a-z][\w:-]*)")
+_END_OF = {name: re.compile(rf"(?i)</{name}\s*>") for name in HIDDEN}
+_ATTRIBUTE = re.compile(r"""(?<![\w:.-])([A-Za-z_:][\w:.-]*)(\s*=\s*)("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _STRAY = re.compile(r"[<>]")
 
 
+def _tag_ends(html: str) -> tuple[list[int], list[int | None]]:
+    """The places of > and quotes, and for each where a tag ends that reaches it outside of quotes (None: nowhere)."""
+    at = [m.start() for m in re.finditer("[>\"']", html)]
+    ends: list[int | None] = [None] * (len(at) + 1)
+    later = {}  # the next quote of its kind, by its number
+    for k in range(len(at) - 1, -1, -1):
+        sign = html[at[k]]
+        if sign == ">":
+            ends[k] = at[k]
+        else:
+            ends[k] = ends[later[sign] + 1] if sign in later else None
+            later[sign] = k
+    return at, ends
+
+
+def tokens(html: str):
+    """(start, end, /, name, markup) of tags; comments, the doctype and hidden elements whole, without a name. Each place is looked at a bounded
+    number of times: a search that finds nothing is not done again, as nothing lies further on either."""
+    at, ends = _tag_ends(html)
+    missing, start = set(), html.find("<")
+
+    def ahead(key, found: int) -> int:
+        if found < 0:
+            missing.add(key)
+        return found
+
+    while start >= 0:
+        end = -1
+        if html.startswith("<!--", start):
+            if "--" not in missing and (found := ahead("--", html.find("-->", start + 4))) >= 0:
+                end, token = found + 3, ("", "", "")
+        elif html[start : start + 9].lower() == "<!doctype":
+            if ">" not in missing and (found := ahead(">", html.find(">", start))) >= 0:
+                end, token = found + 1, ("", "", "")
+        elif m := _NAME.match(html, start + 1):
+            name = m[2].lower()
+            # As a word, whatever follows: script-x begins a script too.
+            hidden = next((h for h in HIDDEN if name == h or (name.startswith(h) and name[len(h)] in ":-")), None)
+            if hidden and not m[1] and hidden not in missing:
+                found = _END_OF[hidden].search(html, m.end())
+                if found:
+                    end, token = found.end(), ("", "", "")
+                else:
+                    missing.add(hidden)
+            if end < 0 and (close := ends[bisect_left(at, m.end())]) is not None:
+                end, token = close + 1, (m[1], m[2], html[m.end() : close])
+        if end >= 0:
+            yield start, end, *token
+        start = html.find("<", end if end >= 0 else start + 1)
+
+
+# Elements without an end; what the start of an element ends; what bounds that.
+VOID = ("area", "base", "basefont", "br", "col", "embed", "frame", "hr", "img", "input", "isindex", "link", "meta", "param", "wbr")
+ENDS_P = ("address", "blockquote", "center", "dd", "div", "dl", "dt", "fieldset", "form", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "menu", "ol", "p", "pre", "table", "ul")
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+LISTS, CELLS, GROUPS = ("dl", "menu", "ol", "select", "ul"), ("caption", "td", "th"), ("tbody", "tfoot", "thead")
+
+
+class Balance:
+    """The elements that are open, and what a start or an end tag closes besides. Every element is put on and taken off once; whether a name is
+    open at all within the bounds that hold for it is counted, not searched.
+
+    A table and its cells bound all searches, a list those for its items. Inline elements end with the block that they began in, and an end
+    tag of theirs does not reach across a block's start."""
+
+    def __init__(self, inline):
+        self.inline, self.stack = inline, []
+        #: (number of elements below, counts of names) of the bounds that hold: cells and tables; these and lists; these and blocks.
+        self.levels, self.scopes, self.runs = [(0, Counter())], [(0, Counter())], [(0, Counter())]
+
+    def _kinds(self, name: str):
+        block = name not in self.inline
+        return (self.levels, name == "table" or name in CELLS), (self.scopes, name == "table" or name in CELLS or name in LISTS), (self.runs, block)
+
+    def push(self, name: str) -> None:
+        self.stack.append(name)
+        for bounds, opens in self._kinds(name):
+            bounds[-1][1][name] += 1
+            if opens:
+                bounds.append((len(self.stack), Counter()))
+
+    def pop(self) -> str:
+        name = self.stack.pop()
+        for bounds, opens in self._kinds(name):
+            if opens:
+                bounds.pop()
+            bounds[-1][1][name] -= 1
+        return name
+
+    def _until(self, *names: str) -> list[str]:
+        out = [self.pop()]
+        while out[-1] not in names:
+            out.append(self.pop())
+        return out
+
+    def _holder(self) -> str | None:
+        """The element whose content this level is."""
+        below = self.levels[-1][0]
+        return self.stack[below - 1] if below else None
+
+    def start(self, name: str) -> list[str]:
+        """What the start of an element ends, innermost first."""
+        out = []
+        if name in ("tr", *CELLS, *GROUPS):
+            if self._holder() in CELLS:
+                out += self._until(*CELLS)
+            if name not in ("td", "th"):
+                for group in (("tr",), *([GROUPS] if name != "tr" else [])):
+                    if any(self.scopes[-1][1][g] for g in group):
+                        out += self._until(*group)
+            return out
+        if name in ENDS_P and self.scopes[-1][1]["p"]:
+            out += self._until("p")
+        same = SIBLINGS.get(name, ())
+        if any(self.scopes[-1][1][s] for s in same):
+            out += self._until(*same)
+        return out
+
+    def end(self, name: str) -> list[str] | None:
+        """What an end tag ends, itself last; None if nothing that it names is open."""
+        if name in self.inline:
+            return self._until(name) if self.runs[-1][1][name] else None
+        if self.levels[-1][1][name]:
+            return self._until(name)
+        if name in CELLS and self._holder() == name:
+            return self._until(name)
+        if name in ("table", "tr", *GROUPS) and len(self.levels) > 1:
+            cell = self._holder() in CELLS
+            table = self.levels[-2] if cell else self.levels[-1]
+            if name == "table":
+                return self._until(name) if table[0] and self.stack[table[0] - 1] == "table" else None
+            if table[1][name]:
+                return self._until(name)
+        return None
+
+
 class _Tokenizer:
-    def __init__(self, out: Parts, breaks: frozenset[str], prefix: str, move: bool):
+    def __init__(self, out: Parts, breaks: frozenset[str], prefix: str, move: bool, balance: bool = False):
         self.out, self.breaks, self.prefix, self.move = out, breaks, prefix, move
         self.types = INLINE_TAGS | PDF_INLINE_TAGS if prefix == PDF_PREFIX else INLINE_TAGS
-        self.text, self.raw, self.open, self.rid = "", "", [], 0
+        self.texts, self.raws, self.open, self.rid = [], [], {}, 0
         self.pre = 0
+        self.balance = Balance({t for t in self.types if t not in breaks}) if balance else None
 
     def flush(self) -> None:
         """What has been gathered becomes a paragraph if it has text, else a literal as it stood."""
-        bare = re.sub(r"<[be]?x\s[^>]*>", "", self.text)
+        text = "".join(self.texts)
+        bare = re.sub(r"<[be]?x\s[^>]*>", "", text)
         if bare.strip():
             # Codes left open end here; their ends elsewhere are standalone.
-            text = self.text if self.pre else re.sub(r"\s+", " ", self.text)
+            text = text if self.pre else re.sub(r"\s+", " ", text)
             if self.move:
                 text = bookmarks_first(text, self.out.codes)
             self.out.para(collapse_nested(text, self.out.codes))
         else:
-            self.out.literal(self.raw)
-        self.text, self.raw = "", ""
+            self.out.literal("".join(self.raws))
+        self.texts, self.raws = [], []
         self.open.clear()
 
     def attributes(self, tag: str, name: str, markup: str) -> str:
@@ -103,50 +244,70 @@ class _Tokenizer:
         body = tag if close else self.attributes(tag, name, markup)
         code = self.out.code(body)
         if close:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == name:
-                    rid = self.open.pop(i)[1]
-                    self.text += f"<ex id='{code}' rid='{rid}'/>"
-                    break
+            if self.open.get(name):
+                self.texts.append(f"<ex id='{code}' rid='{self.open[name].pop()}'/>")
             else:
-                self.text += f"<x id='{code}' ctype='{kind}'/>"
+                self.texts.append(f"<x id='{code}' ctype='{kind}'/>")
         elif name in EMPTY_INLINE or markup.rstrip().endswith("/"):
-            self.text += f"<x id='{code}' ctype='{kind}'/>"
+            self.texts.append(f"<x id='{code}' ctype='{kind}'/>")
         else:
             self.rid += 1
-            self.open.append((name, self.rid))
-            self.text += f"<bx id='{code}' ctype='{kind}' rid='{self.rid}'/>"
-        self.raw += body
+            self.open.setdefault(name, []).append(self.rid)
+            self.texts.append(f"<bx id='{code}' ctype='{kind}' rid='{self.rid}'/>")
+        self.raws.append(body)
+
+    def tag(self, whole: str, close: bool, name: str, markup: str) -> None:
+        if name in self.types and name not in self.breaks:
+            self.inline(whole, close, name, markup)
+            return
+        self.flush()
+        self.out.literal(whole if close or not name else self.attributes(whole, name, markup))
+        if name == "pre":
+            self.pre += -1 if close and self.pre else 0 if close else 1
+
+    def implied(self, names: list[str]) -> None:
+        for name in names:
+            self.tag(f"</{name}>", True, name, "")
 
     def run(self, html: str) -> None:
-        at = 0
-        for m in _TOKEN.finditer(html):
-            self.plain(html[at : m.start()])
-            at, name = m.end(), (m[3] or "").lower()
-            if name in self.types and name not in self.breaks:
-                self.inline(m[0], bool(m[2]), name, m[4])
-            else:
-                self.flush()
-                self.out.literal(m[0] if m[2] or not name else self.attributes(m[0], name, m[4]))
-                if name == "pre":
-                    self.pre += -1 if m[2] and self.pre else 0 if m[2] else 1
+        at, strays = 0, 0
+        for start, end, slash, name, markup in tokens(html):
+            self.plain(html[at:start])
+            at, name = end, name.lower()
+            if self.balance and name:
+                if slash:
+                    ended = self.balance.end(name)
+                    if ended is None:
+                        strays += 1
+                        continue
+                    self.implied(ended[:-1])
+                else:
+                    self.implied(self.balance.start(name))
+                    if name not in VOID and not markup.rstrip().endswith("/"):
+                        self.balance.push(name)
+            self.tag(html[start:end], bool(slash), name, markup)
         self.plain(html[at:])
+        if self.balance:
+            self.implied([self.balance.pop() for _ in range(len(self.balance.stack))])
+            if strays:
+                self.out.notice(1, f"{strays} end tags without an element were dropped")
         self.flush()
 
     def plain(self, text: str) -> None:
-        self.text += _STRAY.sub(lambda m: "&lt;" if m[0] == "<" else "&gt;", text)
-        self.raw += text
+        if text:
+            self.texts.append(_STRAY.sub(lambda m: "&lt;" if m[0] == "<" else "&gt;", text))
+            self.raws.append(text)
 
 
-def tokenizer(tags: tuple[str, ...] = BREAK_TAGS, ctype_prefix: str = "x-html-", move_bookmarks: bool = False):
+def tokenizer(tags: tuple[str, ...] = BREAK_TAGS, ctype_prefix: str = "x-html-", move_bookmarks: bool = False, balance: bool = False):
     breaks = frozenset(tags)
-    return lambda html, out: _Tokenizer(out, breaks, ctype_prefix, move_bookmarks).run(html)
+    return lambda html, out: _Tokenizer(out, breaks, ctype_prefix, move_bookmarks, balance).run(html)
 
 
-def read(docs: DataFrame, column: str = "text", tags: tuple[str, ...] = BREAK_TAGS, move_bookmarks: bool = False) -> DataFrame:
+def read(docs: DataFrame, column: str = "text", tags: tuple[str, ...] = BREAK_TAGS, move_bookmarks: bool = False, balance: bool = False) -> DataFrame:
     """tags: those that break units, to be added to or taken from; move_bookmarks puts anchors without a target first, so that export
-    puts them there as well."""
-    return tokenise(docs, tokenizer(tags, move_bookmarks=move_bookmarks), column)
+    puts them there as well; balance adds the end tags that are missing, to codes and skeleton, and drops those that end nothing."""
+    return tokenise(docs, tokenizer(tags, move_bookmarks=move_bookmarks, balance=balance), column)
 
 
 def read_pdf(docs: DataFrame, column: str = "text") -> DataFrame:

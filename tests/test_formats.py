@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossaweave import schema
 from glossaweave.functions import charset, detect
+from glossaweave.functions.codes import collapse_nested
 from glossaweave.operators import merge, targets, units
 from glossaweave.sinks import export
 from glossaweave.sources import html, lines, office, plaintext, xliff, xml
@@ -282,3 +284,48 @@ def test_archives_are_exported_from_a_folder(spark, tmp_path):
     for content in got.values():
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             assert "Traduit" in z.read("content.xml").decode() and "A note" not in z.read("content.xml").decode()
+
+
+BALANCED = [
+    ("<p>one<p>two", "<p>one</p><p>two</p>"),
+    ("<p>a <b>bold<p>c", "<p>a <b>bold</b></p><p>c</p>"),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>e", "<ul><li>a<ul><li>b</li><li>c</li></ul></li><li>d</li></ul>e"),
+    ("<table><tr><td>a<td>b<tr><th>c</table>", "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table>"),
+    ("<table><thead><tr><td>a<tbody><tr><td><p>b<tfoot><tr><td>c</table>d", "<table><thead><tr><td>a</td></tr></thead><tbody><tr><td><p>b</p></td></tr></tbody><tfoot><tr><td>c</td></tr></tfoot></table>d"),
+    ("<table><tr><td><table><tr><td>in</tr></table><td>out</table>", "<table><tr><td><table><tr><td>in</td></tr></table></td><td>out</td></tr></table>"),
+    ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>"),
+    ("<select><option>a<option>b</select>", "<select><option>a</option><option>b</option></select>"),
+    ("<b><i>x</b></i>y", "<b><i>x</i></b>y"),
+    ("<p><table><tr><td></p>a</table>", "<p></p><table><tr><td>a</td></tr></table>"),
+    ("a</td></tr></table></p></b>", "a"),
+    ("<div><p>a</div>b<br><img src=x><hr/>", "<div><p>a</p></div>b<br><img src=x><hr/>"),
+    ("<b><p>a</b></p>c", "<b><p>a</p>c</b>"),
+    ("<td>a<td>b</td>", "<td>a</td><td>b</td>"),
+    ("<script>if (a) '<p>';</script><p>x<!-- <p> -->", "<script>if (a) '<p>';</script><p>x<!-- <p> --></p>"),
+]
+
+
+def test_missing_end_tags_are_added(spark):
+    docs = spark.createDataFrame([(str(i), raw) for i, (raw, _) in enumerate(BALANCED)], "doc_id string, text string")
+    read = html.read(docs, balance=True)
+    got = {r.doc_id: r.text for r in merge.documents(read).collect()}
+    assert [got[str(i)] for i in range(len(BALANCED))] == [want for _, want in BALANCED]
+    texts = {(r.doc_id, r.part_no): r.text for r in schema.paragraphs(read).collect()}
+    assert any(t == "a <bx id='1' ctype='bold' rid='1'/>bold<ex id='2' rid='1'/>" for (d, _), t in texts.items() if d == "1")
+    assert {r.doc_id for r in read.filter("size(notices) > 0").collect()} >= {"8", "10"}
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<a '", '<a "', "<!--", "<", "<!doctype ", "<a b", "</x>", "<style></x>", "'><a "])
+def test_pages_of_one_bad_pattern_take_time_in_proportion(piece):
+    for balance in (False, True):
+        began = time.monotonic()
+        html.tokenizer(balance=balance)(piece * (1_000_000 // len(piece)), schema.Parts())
+        assert time.monotonic() - began < 10
+
+
+def test_nested_codes_in_one_pass():
+    n = 20_000
+    text = "".join(f"<bx id='{i + 1}' ctype='x-html-i' rid='{i}'/>" for i in range(n)) + "x" + "".join(f"<ex id='{n + i + 1}' rid='{n - 1 - i}'/>" for i in range(n))
+    began = time.monotonic()
+    assert collapse_nested(text) == f"<bx id='1' ctype='x-html-i' rid='0'/>x<ex id='{2 * n}' rid='0'/>"
+    assert time.monotonic() - began < 2
