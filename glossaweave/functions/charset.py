@@ -55,8 +55,10 @@ def plaintext_charset(lang: Column) -> Column:
 
 
 def catalogue_charset(header: Column, lang: Column) -> Column:
-    """A message catalogue's charset: its header's, else that of its language (with country for Chinese), else UTF-8."""
-    stated = F.nullif(F.regexp_extract(header, "(?i)charset=([A-Za-z0-9_:.-]+)", 1), F.lit(""))
+    """A message catalogue's charset: that of the content type in its head (the first msgstr, up to the next entry), else that of its language
+    (with country for Chinese), else UTF-8."""
+    head = F.regexp_extract(header, "(?s)\\A(?:.*?\\n)??\\s*msgstr (.*?)(?:\\n\\s*\\n|\\nmsgid|\\z)", 1)
+    stated = F.nullif(F.regexp_extract(head, "(?i)Content-Type:\\s+text/plain;\\s+charset=([-_a-zA-Z0-9]+)", 1), F.lit(""))
     stated = F.when(F.upper(stated) == "CHARSET", F.lit(None)).otherwise(stated)
     key = F.lower(F.replace(lang, F.lit("-"), F.lit("_")))
     table = F.create_map(*[F.lit(x) for pair in CATALOGUE.items() for x in pair])
@@ -66,15 +68,15 @@ def catalogue_charset(header: Column, lang: Column) -> Column:
 
 def mif_charset(content: Column) -> Column:
     """By the sample text of an encoding statement, else by the first known font encoding, else the frame's own set."""
-    head = F.hex(F.substring(content, 1, 3072))
+    head = F.decode(F.substring(content, 1, 3072), "ISO-8859-1")  # a character a byte
     by_sample = F.lit(None).cast("string")
     for name, mark in reversed(MIF_SETS.items()):
-        by_sample = F.when(head.contains(mark.hex().upper()), name).otherwise(by_sample)
+        by_sample = F.when(head.contains(mark.decode("latin-1")), name).otherwise(by_sample)
     font = F.upper(F.regexp_extract(F.decode(content, "ISO-8859-1"), "(?i)FEncoding\\s+`?(" + "|".join(MIF_NAMES).replace(".", "\\.") + ")", 1))
     by_font = F.lit(None).cast("string")
     for label, name in MIF_NAMES.items():
         by_font = F.when(font == label.upper(), name).otherwise(by_font)
-    stated = F.decode(F.substring(content, 1, 3072), "ISO-8859-1").contains("<MIFEncoding")
+    stated = head.contains("<MIFEncoding")
     return F.coalesce(F.when(stated, by_sample), by_font, F.lit("x-frame-roman"))
 
 

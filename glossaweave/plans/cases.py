@@ -100,6 +100,9 @@ DECLARED = [
     ("xml-is-xliff", "XML|a|" + _b64(b"<?xml version='1.0'?><xliff>"), "XML"), ("html-is-xliff", "HTML|a|" + _b64(b"<?xml version='1.0'?><xliff>"), "XLIFF"), ("html-unknown", "HTML|{t}|" + _b64(b"plain"), "HTML"),
     ("none-po", "|{t}.po|" + _b64(b"plain"), "PO"), ("none-rc", "|{t}.RC|" + _b64(b"plain"), "WINRC"), ("none-pot", "|a.pot|" + _b64(b""), "PO"), ("none-dtd", "|a.dtd|" + _b64(b"x"), "XULDTD"), ("none-doc", "|{t}.doc|" + _b64(OLE), "WORD"), ("none-ppt", "|{t}.ppt|" + _b64(OLE), "PPT"), ("none", "|a.bin|" + _b64(b"x"), ""),
 ]
+#: The head of a catalogue, and the bytes of an encoding statement's sample text.
+PO_HEAD = "\nmsgid \"\"\nmsgstr \"\"\n\"Language: x\\n\"\n\"Content-Type: text/plain; charset={}\\n\"\n"
+MIF_SAMPLES = {"Shift_JIS": "93fa967b8cea", "EUC-JP": "c6fccbdcb8ec", "Big5": "a4a4a4e5", "EUC-TW": "c4e3c5c6", "GB2312": "d6d0cec4", "EUC-KR": "c7d1b1b9beee"}
 SAMPLES = {"ISO-8859-1": "é ß", "ISO-8859-2": "ąčř", "ISO-8859-3": "ħ", "ISO-8859-5": "мир", "ISO-8859-6": "اب", "ISO-8859-7": "αβ", "ISO-8859-8": "אב", "ISO-8859-9": "ğış", "ISO-8859-13": "ąčė", "windows-1251": "мир", "windows-1252": "€ œ", "KOI8-R": "мир", "KOI8-T": "мир", "KOI8-U": "їє", "EUC-JP": "日本", "EUC-KR": "한국", "Shift_JIS": "日本", "TIS-620": "ไทย", "Big5": "中文", "GB2312": "中文", "UTF-8": "é日", "UTF-16": "é日"}
 
 
@@ -134,8 +137,8 @@ CASES: dict[str, tuple[str, list[tuple[str, str, str]], Callable]] = {
         ("equiv", "<html><META HTTP-EQUIV=\"Content-Type\" content=\"text/html; charset=Shift_JIS\"><p>{t}", "Shift_JIS"), ("short", "<meta charset='utf-8'>{t}", "none"), ("comment", "<!-- <meta http-equiv='content-type' content='x; charset=a'> -->{t}", "none"),
         ("deep", "<!-- x -->\n" * 1000 + "<meta http-equiv='content-type' content='text/html; charset=koi8-r'>", "koi8-r"), ("too-deep", "\n" * 1100 + "<meta http-equiv='content-type' content='text/html; charset=koi8-r'>", "none"),
     ], of_column(lambda c: F.coalesce(charset.html_charset(c), F.lit("none")))),
-    "catalogue_charsets": ("E3", [(k, f"|{k}", v) for k, v in charset.CATALOGUE.items()] + [("pl_PL", "|pl_PL", "ISO-8859-2"), ("zh", "|zh", "UTF-8"), ("zh-TW", "|zh-TW", "Big5"), ("xx", "|xx", "UTF-8"), ("header", "text/plain; charset=koi8-r|de", "koi8-r"), ("placeholder", "text/plain; charset=CHARSET|de", "ISO-8859-1")], of_column(lambda c: charset.catalogue_charset(F.substring_index(c, "|", 1), F.substring_index(c, "|", -1)))),
-    "mif_charsets": ("E4", [(n, _b64(b"<MIFFile 7.00>\n<MIFEncoding `" + raw + b"'>"), n) for n, raw in charset.MIF_SETS.items()] + [("font", _b64(b"<MIFFile 7.00>\n<FEncoding `BIG5'>"), "Big5"), ("own", _b64(b"<MIFFile 7.00>"), "x-frame-roman")], of_column(lambda c: charset.mif_charset(_bytes(c)))),
+    "catalogue_charsets": ("E3", [(k, f"|{k}", v) for k, v in charset.CATALOGUE.items()] + [("pl_PL", "|pl_PL", "ISO-8859-2"), ("zh", "|zh", "UTF-8"), ("zh-TW", "|zh-TW", "Big5"), ("xx", "|xx", "UTF-8"), ("header", "# {t}" + PO_HEAD.format("koi8-r") + "|de", "koi8-r"), ("placeholder", PO_HEAD.format("CHARSET") + "|de", "ISO-8859-1"), ("in-a-text", "msgid \"use charset=koi8-r here\"\nmsgstr \"{t}\"|de", "ISO-8859-1"), ("in-a-later-entry", PO_HEAD.format("big5") + "\nmsgid \"a\"\nmsgstr \"Content-Type: text/plain; charset=koi8-r\"|de", "big5"), ("no-type", "msgid \"\"\nmsgstr \"\"\n\"charset=koi8-r\\\\n\"\n|xx", "UTF-8")], of_column(lambda c: charset.catalogue_charset(F.substring_index(c, "|", 1), F.substring_index(c, "|", -1)))),
+    "mif_charsets": ("E4", [(n, _b64(b"<MIFFile 7.00>\n<MIFEncoding `" + bytes.fromhex(raw) + b"'>"), n) for n, raw in MIF_SAMPLES.items()] + [("half-bytes", _b64(b"<MIFFile 7.00>\n<MIFEncoding `ZJJNP'>"), "x-frame-roman"), ("sample-alone", _b64(b"<MIFFile 7.00> \xa4\xa4\xa4\xe5"), "x-frame-roman"), ("font", _b64(b"<MIFFile 7.00>\n<FEncoding `BIG5'>"), "Big5"), ("own", _b64(b"<MIFFile 7.00>"), "x-frame-roman")], of_column(lambda c: charset.mif_charset(_bytes(c)))),
     "xml_charsets": ("E6", [("stated", "<?xml version='1.0' encoding='ISO-8859-2'?><{t}/>", "ISO-8859-2"), ("none", "<?xml version='1.0'?><{t}/>", "UTF-8"), ("late", "{t}<?xml version='1.0' encoding='x'?>", "UTF-8")], of_column(charset.xml_charset)),
     "mark_core_tagged": ("N2, N2a, N2c, N2e", [
         ("pair", "<bx id='1' rid='1'/>{t}<ex id='2' rid='1'/>", "<bx id='1' rid='1'/><mrk mtype='x-coretext'>{t}</mrk><ex id='2' rid='1'/>"), ("inner", "a <bx id='1' rid='1'/>{t}<ex id='2' rid='1'/>", "<mrk mtype='x-coretext'>a <bx id='1' rid='1'/>{t}<ex id='2' rid='1'/></mrk>"),

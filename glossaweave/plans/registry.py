@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import charset, codes, detect, sentences, text
-from ..operators import merge, targets, units
+from ..operators import chains, merge, targets, units
 from ..schema import paragraphs, stable_id
 from ..sinks import export as sink
 from ..sources import html, lines, plaintext, xliff, xml
@@ -359,6 +359,18 @@ def html_roundtrip(spark, d):
     return merge.documents(read).select("doc_id", F.md5(F.regexp_replace("text", "\\s+", "")).alias("squeezed"))
 
 
+@query("SELECT conv_id::VARCHAR AS doc_id, 'u' || min(turn) AS tu_id, count(*)::INTEGER AS units, string_agg(" + _ESCAPED.format(r"regexp_replace(text, '\s+', ' ', 'g')") + ", '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def next_tu_chains(spark, d):
+    """Conversations written as XLIFF whose units stand in another order than they are to be read, each with the id of the next; joined by
+    following the ids."""
+    turns = _table(spark, d, "conversations")
+    unit = lambda t: F.concat(F.lit("<trans-unit id='u"), t["turn"].cast("string"), F.lit("' lt:mergeable='true' lt:next-tu-id='u"), (t["turn"] + 1).cast("string"), F.lit("'><source>"), text.escape(t["text"]), F.lit("</source></trans-unit>"))
+    mixed = F.array_sort(F.collect_list(F.struct(F.md5(F.concat("role", "text")).alias("o"), "turn", F.regexp_replace("text", "\\s+", " ").alias("text"))))
+    docs = turns.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(F.array_join(F.transform(mixed, unit), "").alias("text"))
+    units_read = xliff.raw_units(docs).withColumn("text", F.col("source"))
+    return chains.follow(units_read)[0]
+
+
 _PAIRED = ("p", "b", "i", "a", "em", "li", "ul", "td", "tr", "table", "div")
 
 

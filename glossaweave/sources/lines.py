@@ -85,7 +85,7 @@ def po_tokenizer(text: str, out: Parts) -> None:
                 done.append(_escape(piece.replace('\\"', '"').replace("\\\\", "\\")))
                 if k < len(pieces) - 1:
                     done.append(f"<x id='{out.code(chr(92) + 'n')}' ctype='lb'/>")
-            out.para(lb(done), name=value[:200])
+            out.para(lb(done), name=value)
             out.literal('"\n' if tail else '"')
         else:
             out.literal("".join(x for _, x in entry))

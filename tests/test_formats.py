@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossaweave import schema
 from glossaweave.functions import charset, detect
 from glossaweave.functions.codes import collapse_nested
-from glossaweave.operators import merge, targets, units
+from glossaweave.operators import chains, merge, targets, units
 from glossaweave.sinks import export
 from glossaweave.sources import html, lines, office, plaintext, xliff, xml
 from glossaweave.streaming import arrivals
@@ -329,3 +329,31 @@ def test_nested_codes_in_one_pass():
     began = time.monotonic()
     assert collapse_nested(text) == f"<bx id='1' ctype='x-html-i' rid='0'/>x<ex id='{2 * n}' rid='0'/>"
     assert time.monotonic() - began < 2
+
+
+def chain_rows(spark, rows):
+    made, told = chains.follow(spark.createDataFrame(rows, "doc_id string, tu_id string, next_tu_id string, ordinal int, text string"))
+    return {(r.doc_id, r.tu_id): (r.units, r.text) for r in made.collect()}, {(r.doc_id, r.tu_id): r.message for r in told.collect()}
+
+
+def test_chains_of_units(spark):
+    rows = [
+        ("a", "2", "3", 1, "two "), ("a", "1", "2", 2, "one "), ("a", "3", "gone", 3, "three"), ("a", "alone", None, 4, "x"),
+        ("b", "1", "2", 1, "other document"), ("b", "2", None, 2, None), ("c", "1", "2", 1, "a"), ("c", "2", "3", 2, "b"), ("c", "3", "1", 3, "c"), ("c", "4", "4", 4, "self"), ("c", "5", "1", 5, "into"),
+        ("d", "1", "3", 1, "first "), ("d", "2", "3", 2, "second"), ("d", "3", None, 3, "shared"), ("e", "1", None, 1, "old"), ("e", "1", None, 2, "new"), ("e", None, "1", 3, "no id"),
+    ]
+    made, told = chain_rows(spark, rows)
+    assert made == {
+        ("a", "1"): (3, "one two three"), ("a", "alone"): (1, "x"), ("b", "1"): (2, "other document"), ("c", "1"): (1, "a"), ("c", "2"): (1, "b"), ("c", "3"): (1, "c"), ("c", "4"): (1, "self"), ("c", "5"): (1, "into"),
+        ("d", "1"): (2, "first shared"), ("d", "2"): (1, "second"), ("e", "1"): (1, "new"),
+    }
+    assert set(told) == {("c", "1"), ("c", "2"), ("c", "3"), ("c", "4"), ("c", "5"), ("d", "2")}
+    assert chain_rows(spark, []) == ({}, {})
+
+
+@pytest.mark.parametrize("length", [1, 2, 1000, 10_000])
+def test_long_chains_out_of_order(spark, length):
+    order = sorted(range(length), key=lambda i: i * 7919 % 10_007)
+    rows = [("d", f"u{i}", f"u{i + 1}" if i + 1 < length else None, n, f"{i} ") for n, i in enumerate(order)]
+    made, told = chain_rows(spark, rows)
+    assert made == {("d", "u0"): (length, "".join(f"{i} " for i in range(length)))} and told == {}
