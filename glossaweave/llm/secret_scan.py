@@ -49,6 +49,8 @@ PATTERNS = {
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 }
+#: A token whose first run is not followed by a second fails at every place of that run.
+_TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]*")
 FOOTER = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
 HEX_RUN = 32
 _DIGITS = b"0123456789abcdef"
@@ -115,7 +117,12 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     for last, (kind, length) in _automaton().iter(raw.lower().decode("utf-8", "surrogatepass")):
         start = last - length + 1
         # A match, kept or dropped, uses up its characters for its kind.
-        if start >= ends[kind] and (m := PATTERNS[kind].match(text, start)):
+        if start < ends[kind]:
+            continue
+        if not (m := PATTERNS[kind].match(text, start)):
+            if kind == "jwt" and text.startswith("eyJ", start):
+                ends[kind] = _TOKEN_RUN.match(text, start).end()
+        else:
             ends[kind] = pem_end(text, m.end()) if kind == "pem" else m.end()
             if _valid(kind, m):
                 spans.append((kind, start, ends[kind]))

@@ -1,9 +1,13 @@
+import base64
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from glossaweave.llm import secret_scan
 from glossaweave.llm import secret_scan as s
 
 from . import helpers as h
@@ -64,3 +68,17 @@ def test_long_private_keys_are_kept_whole():
     assert pem("x " + key + " y") == [(2, 2 + len(key))]
     assert pem(head + " z " + key) == [(0, len(head)), (len(head) + 3, len(head) + 3 + len(key))]
     assert pem(foot + head * 2) == [(len(foot), len(foot) + len(head)), (len(foot) + len(head), len(foot) + 2 * len(head))]
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJa.", "eyJa.eyJ", "AKIA", "token", "secret = '", "-----BEGIN PRIVATE KEY-----", "-----begin ", "0123abcd", "ghp_", "npm_", "eyj"])
+def test_one_bad_pattern_takes_time_in_proportion(piece):
+    began = time.monotonic()
+    secret_scan.scan(piece * (1_000_000 // len(piece)))
+    assert time.monotonic() - began < 10
+
+
+def test_a_token_after_a_failed_run_is_found():
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').rstrip(b"=").decode()
+    token = f"{head}.eyJhIjoxfQ.c2ln"
+    text = f"eyJeyJeyJ {token} eyJx {token} eyJeyJ.{head}"
+    assert [text[a:b] for k, a, b in secret_scan.scan(text) if k == "jwt"] == [token, token]
