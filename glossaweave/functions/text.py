@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space in the wide sense (code points), the secondary class, and the marks of a core.
-WIDE_SPACE = (
+_SPACES = (
     0x0009, 0x000A, 0x000B, 0x000C, 0x000D, 0x0020, 0x005F, 0x0085, 0x00A0, 0x00B7, 0x0332, 0x0333, 0x2002, 0x2003, 0x2017,
     0x2022, 0x2023, 0x2043, 0x204C, 0x204D, 0x2219, 0x2381, 0x2382, 0x25C9, 0x25D8, 0x25E6, 0x2751, 0x2752, 0xFEFF,
 )
+# With the characters that are canonically equivalent to them: matching is on the normal form, place by place, and the text stays as it is.
+WIDE_SPACE = _SPACES + tuple(c for c in range(0xD800) if c not in _SPACES and all(ord(x) in _SPACES for x in normalize("NFD", chr(c))))
 CORE_START, CORE_END = "<mrk mtype='x-coretext'>", "</mrk>"
 LEGACY_START, LEGACY_END = "<lt:core>", "</lt:core>"
 ENTITIES = (("&", "&amp;"), ("'", "&apos;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"))

@@ -460,10 +460,19 @@ def xliff_targets(spark, d):
     return read.join(chosen, F.concat_ws("/", F.col("doc_id").cast("string"), "tu_id") == F.col("k")).select("doc_id", "ordinal", "tu_id", F.col("chosen").alias("text"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in convert.WANTED) + ") t(source, target, status)")
+@query(
+    "WITH m(source, target, status) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in convert.WANTED) + """),
+f AS (SELECT 'HTML' AS source, count(*) AS found FROM pages UNION ALL SELECT 'XLIFF', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'PLAINTEXT', count(*) FROM documents)
+SELECT m.*, found FROM m JOIN f USING (source)"""
+)
 def conversion_matrix(spark, d):
-    """What converts into what."""
-    return convert.matrix(spark)
+    """What the documents of the tables convert into: the types of pages and of conversations written as XLIFF are detected, texts are declared."""
+    talk = _as_lines(spark, d, lambda t: F.concat(F.lit("<trans-unit id='u"), t["turn"].cast("string"), F.lit("'/>")))
+    talk = talk.select(F.concat(F.lit("<?xml version='1.0'?><xliff version='1.1'>"), "text", F.lit("</xliff>")).alias("body"))
+    raw = _table(spark, d, "pages").select(F.col("html").alias("body")).union(talk)
+    kinds = raw.select(detect.by_signature(F.encode("body", "UTF-8")).alias("source")).union(_table(spark, d, "documents").select(F.lit("PLAINTEXT")))
+    found = kinds.groupBy("source").agg(F.count(F.lit(1)).alias("found"))
+    return convert.matrix(spark).join(found, "source")
 
 
 def _of_cases(name: str) -> None:

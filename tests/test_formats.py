@@ -357,3 +357,9 @@ def test_long_chains_out_of_order(spark, length):
     rows = [("d", f"u{i}", f"u{i + 1}" if i + 1 < length else None, n, f"{i} ") for n, i in enumerate(order)]
     made, told = chain_rows(spark, rows)
     assert made == {("d", "u0"): (length, "".join(f"{i} " for i in range(length)))} and told == {}
+
+
+def test_every_conversion(spark):
+    from glossaweave.plans import convert
+
+    assert sorted(map(tuple, convert.matrix(spark).collect())) == sorted(convert.WANTED)

@@ -150,3 +150,12 @@ def test_segments(spark):
     made = units.segments(spark.createDataFrame(rows, "doc_id string, part_no int, text string")).select("doc_id", "marked").collect()
     core = "<mrk mtype='x-coretext'>{}</mrk>".format
     assert sorted(map(tuple, made)) == [("1", core("One!") + " ___"), ("2", core("One!") + " "), ("2", "___ " + core("Two")), ("3", "<x id='1'/> " + core("One!") + " <x id='2'/>")]
+
+
+def test_spaces_that_are_canonically_equivalent(spark):
+    """En quad and em quad are en space and em space, the Greek ano teleia is a middle dot."""
+    assert set(text.WIDE_SPACE) - set(text._SPACES) == {0x0387, 0x2000, 0x2001}
+    raw = ["\u2000word\u2001", "\u2002word\u2003", "\u0387 \u00b7", "cafe\u0301\u2000", "caf\u00e9\u2000"]
+    want = ["\u2000<mrk mtype='x-coretext'>word</mrk>\u2001", "\u2002<mrk mtype='x-coretext'>word</mrk>\u2003", "", "<mrk mtype='x-coretext'>cafe\u0301</mrk>\u2000", "<mrk mtype='x-coretext'>caf\u00e9</mrk>\u2000"]
+    rows = spark.createDataFrame(list(enumerate(raw)), "i int, t string").select("i", text.mark_core(F.col("t")).alias("m")).collect()
+    assert [r.m for r in sorted(rows)] == want == [codes.mark_core(t) for t in raw]
