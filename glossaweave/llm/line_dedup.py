@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-A document loses each line that lies in a block which it has in common with an earlier document. A block is a run of lines
+A document is aligned with earlier ones by patience diff, and loses the aligned blocks that count. A block is a run of lines
 that stand together in both, blank lines (white space alone) aside; it counts if it has MIN_LINES lines or MIN_BYTES bytes
 of text, or if it is the whole later document. The rule knows neither frequencies nor the size of the table.
 
@@ -8,15 +8,17 @@ of text, or if it is the whole later document. The rule knows neither frequencie
    that counts consists of such units, so documents overlap where they share one, and no pair of documents has to be
    formed to find out.
 2. Each unit that several documents hold links every later holder to its first one, with the unit's places in both: one row
-   a document and unit, however many documents share it. As every unit of a block with any earlier document is one with
-   its first holder too, no block is lost by that, and groups of copies never unfold into pairs. A text of short lines that
-   is no unit is looked up as a whole among single lines and pairs of lines.
+   a document and unit, however many documents share it. So groups of copies never unfold into pairs. A text of short lines
+   that is no unit is looked up as a whole among single lines and pairs of lines.
 3. A later document is aligned with its first holders, those with its rarest lines first; one whose units are all gone by
    then is left out. The lines of the common units are aligned by patience diff: the common head and tail, then the lines
-   that are unique on both sides, in their longest increasing order, then the gaps between them in the same way. What
-   moved is aligned in further passes over the lines left, and at last unit by unit.
+   that are unique on both sides, in their longest increasing order, then the gaps between them in the same way. What was
+   moved across other common lines is not aligned, and stays.
 4. Aligned lines that stand together in both are a common block, and deleted from the later document if it counts.
 
+A pair that shares units with other first holders alone is not aligned, and lines that are in no common unit do not steer an
+alignment: against an alignment of all pairs, whole texts, a test demands that at least 95 % of the lines are judged alike.
+
 Later means a larger doc_id; rows without one are later than all others, and equal doc_ids go by a hash of the text.
 
 Defined results: a null text counts as empty; an empty text is one blank line. Blank lines stay. Repeated rows (equal doc_id
@@ -42,8 +44,6 @@ MIN_BYTES = 40
 LAST = 2**63 - 1
 #: A unit that is only looked up by others, one that counts, one that counts because it is the whole document.
 INDEX, UNIT, WHOLE = 0, 1, 2
-#: Passes over moved lines before units are aligned one by one.
-PASSES = 3
 
 
 def lines_with_text(text: str) -> tuple[list[bytes], list[int], list[int]]:
@@ -147,28 +147,18 @@ def blocks(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
 
 
 def common_places(shared: list[tuple[int, list[bytes], list[int], list[int], list[int]]], whole: int | None = None) -> set[int]:
-    """The places of the later document that go. shared: the units that it has in common with one earlier document, as (kind, digests and
-    sizes of their lines, places in the later, places in the earlier)."""
-    later, earlier, size, wanted, gone = {}, {}, {}, [], set()
-    for kind, digests, sizes, here, there in shared:
+    """The places of the later document that go: those in aligned blocks that count. shared: the units that it has in common with one earlier
+    document, as (kind, digests and sizes of their lines, places in the later, places in the earlier)."""
+    later, earlier, size, gone = {}, {}, {}, set()
+    for _, digests, sizes, here, there in shared:
         for k, (d, n) in enumerate(zip(digests, sizes)):
             later.update([(p + k, d) for p in here])
             earlier.update([(p + k, d) for p in there])
             size[d] = n
-        wanted += [range(p, p + len(digests)) for p in here]
-    y = sorted(earlier)
-    left = sorted(later)
-    for _ in range(PASSES):
-        if not left or all(p in gone for r in wanted for p in r):
-            break
-        aligned = [(left[i], y[j]) for i, j in patience([later[p] for p in left], [earlier[p] for p in y])]
-        for block in blocks(aligned):
-            if counts(len(block), sum(size[later[i]] for i, _ in block)) or len(block) == whole:
-                gone.update(i for i, _ in block)
-        done = {i for i, _ in aligned}
-        left = [p for p in left if p not in done]
-    for r in wanted:
-        gone.update(r)  # a unit left over is aligned with its like by itself, and counts
+    x, y = sorted(later), sorted(earlier)
+    for block in blocks([(x[i], y[j]) for i, j in patience([later[p] for p in x], [earlier[p] for p in y])]):
+        if counts(len(block), sum(size[later[i]] for i, _ in block)) or len(block) == whole:
+            gone.update(i for i, _ in block)
     return gone
 
 
