@@ -22,6 +22,8 @@ def test_extra_columns_change_nothing(spark, tmp_path, name):
         data = [r + tuple(f"{n}{i}" for n in extra) for i, r in enumerate(rows())]
         h.table(spark, tmp_path / folder, data, h.SCHEMA + "".join(f", `{n}` string" for n in extra), parts=1)
         h.table(spark, tmp_path / folder, [(i, i % 2, 0) for i in range(7)], "doc_id long, quality int, toxic int", "labels")
+        talk = [(k, i % 4 or None, "user" if i % 2 else None, t, *(f"{n}{i}" for n in extra if n not in ("text",))) for i, (k, t, *_) in enumerate(rows())]
+        h.table(spark, tmp_path / folder, talk, "conv_id long, turn long, role string, text string" + "".join(f", `{n}` string" for n in extra), "conversations")
         found.append(registry.QUERIES[name](spark, str(tmp_path / folder)))
     assert found[0].columns == found[1].columns
     plain, extra = ([r.asDict() for r in df.collect()] for df in found)
@@ -30,4 +32,5 @@ def test_extra_columns_change_nothing(spark, tmp_path, name):
         assert per(plain) == per(extra) and sum(r["length"] for r in plain) == sum(r["length"] for r in extra)
     else:
         assert sorted(map(str, plain)) == sorted(map(str, extra))
-        assert len(plain) == len(rows())
+        if name not in ("op11_conversation_repair", "op13_spelling"):  # a row a conversation, a row a word
+            assert len(plain) == len(rows())
