@@ -191,7 +191,9 @@ def test_charsets(spark):
     f = lambda c: spark.range(1).select(c).first()[0]
     assert f(charset.html_charset(F.lit("<!-- <meta http-equiv='content-type' content='x; charset=a'> --><META HTTP-EQUIV=Content-Type content='text/html; charset=Shift_JIS'>"))) == "Shift_JIS"
     assert f(charset.html_charset(F.lit("<meta charset='utf-8'>"))) is None
-    assert f(charset.catalogue_charset(F.lit("charset=koi8-r"), F.lit("de"))) == "koi8-r" and f(charset.catalogue_charset(F.lit(""), F.lit("zh_TW"))) == "Big5"
+    head = 'msgid ""\nmsgstr ""\n"Content-Type: text/plain; charset={}\\n"\n\nmsgid "use charset=koi8-r here"\nmsgstr ""'
+    assert f(charset.catalogue_charset(F.lit(head.format("koi8-u")), F.lit("de"))) == "koi8-u" and f(charset.catalogue_charset(F.lit(head.format("CHARSET")), F.lit("de"))) == "ISO-8859-1"
+    assert f(charset.catalogue_charset(F.lit("charset=koi8-r"), F.lit("ru"))) == "KOI8-R" and f(charset.catalogue_charset(F.lit(""), F.lit("zh_TW"))) == "Big5"
     assert f(charset.catalogue_charset(F.lit(""), F.lit("ru_RU"))) == "KOI8-R" and f(charset.plaintext_charset(F.lit("ja"))) == "UTF-8"
     assert f(charset.mif_charset(F.lit(b"<MIFEncoding `\xc6\xfc\xcb\xdc\xb8\xec'>"))) == "EUC-JP" and f(charset.mif_charset(F.lit(b"<FEncoding `BIG5'>"))) == "Big5"
     assert f(charset.xml_charset(F.lit("<?xml version='1.0' encoding='ISO-8859-2'?>"))) == "ISO-8859-2"
