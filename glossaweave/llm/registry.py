@@ -19,4 +19,4 @@ QUERIES = {
     "op12_grouped_packing": grouped_packing.query,
     "op13_spelling": spelling.query,
 }
-ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLE = {"op10_exact_dedup": exact_dedup.SQL, "op13_spelling": spelling.SQL}

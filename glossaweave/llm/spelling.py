@@ -146,3 +146,21 @@ def variants(vocabulary: DataFrame, times: int = TIMES, whole: int = WHOLE) -> D
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op13: words of all documents with their spelling forms."""
     return variants(written(words(documents(spark, sf_dir)), "spelling-words"))
+
+
+#: The same in SQL: CRC-32 by its table of 256 steps over the UTF-8 bytes of code points below U+0100.
+SQL = f"""
+WITH RECURSIVE steps AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS d, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{RUN}')) AS run FROM documents),
+counted AS (SELECT d, run, count(*) AS n FROM runs GROUP BY ALL),
+coded AS (SELECT run, n, flatten(list_transform(list_transform(string_split(d || run, ''), lambda x: unicode(x)), lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END)) AS bytes FROM counted),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h FROM coded, steps),
+damaged AS (SELECT n, CASE WHEN h % {EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= {LEAST} GROUP BY word HAVING sum(n) >= {OFTEN}),
+k AS (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS wild, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.wild = b.wild AND a.word <> b.word
+         UNION SELECT k.word, v.word, v.n FROM k JOIN v ON k.less = v.word UNION SELECT v.word, k.word, k.n FROM k JOIN v ON k.less = v.word),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * v.n THEN other END AS form, CASE WHEN m >= {TIMES} * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, place) AS (SELECT word, word FROM forms UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON walk.place = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.place AS root, f.n, f.n_near, f.form_n FROM forms f JOIN walk ON walk.word = f.word JOIN forms l ON l.word = walk.place AND l.form IS NULL"""

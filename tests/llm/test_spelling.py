@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 
 from glossaweave.llm import spelling
@@ -86,3 +87,12 @@ def test_very_long_words_take_linear_keys(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert found(spark, h.table(spark, tmp_path, [])) == {}
+
+
+def test_sql_gives_the_same_rows(spark):
+    con = duckdb.connect()
+    for folder in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+        want = con.execute(f"SELECT word, form, root, n, n_near, form_n FROM ({spelling.SQL})").fetchall()
+        got = spelling.query(spark, folder).select("word", "form", "root", "n", "n_near", "form_n").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
