@@ -348,8 +348,15 @@ def _mapped(df: DataFrame, step, schema: str) -> DataFrame:
     return df.mapInArrow(lambda batches: _grouped_out(step(_records(batches)), arrow), schema)
 
 
-def _by_segment(df: DataFrame) -> DataFrame:
-    return df.repartition("c", "part", "segment").sortWithinPartitions("c", "part", "segment", "place")
+def _by_segment(df: DataFrame, step, schema: str) -> DataFrame:
+    """step over each segment's rows by place. Grouped, not only dealt: Spark leaves out a repartition by what a join has dealt by, and reads the
+    join's shuffle by map task, or a part at a time, where that suits the join."""
+    arrow = _arrow(schema)
+
+    def run(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist(list(step(iter(sorted(rows.to_pylist(), key=lambda r: r["place"])))), schema=arrow)
+
+    return df.groupBy("c", "part", "segment").applyInArrow(run, schema)
 
 
 def _joined(rest: DataFrame) -> DataFrame:
@@ -361,13 +368,13 @@ def _joined(rest: DataFrame) -> DataFrame:
     on = [keyed["c"] == least["c_"], keyed["role"] == least["role_"], keyed["text_hash"] == least["hash_"]]
     marked = keyed.join(least, on, "left").select(*rest.columns, F.coalesce(place > F.col("least"), F.lit(False)).alias("seen"))
     rows = written(marked.select("c", "conv_id", "part", "segment", "place", "turn", "role", "text", "gone", "seen"), "repair-rows")
-    segments = written(_mapped(_by_segment(rows), _segments, SEGMENTS), "repair-segments")
+    segments = written(_by_segment(rows, _segments, SEGMENTS), "repair-segments")
     ways = written(_mapped(segments.drop("labels").repartition("c").sortWithinPartitions("c", "part", "segment"), _ways, WAYS), "repair-ways")
     at = ["c", "part", "segment"]
     label = F.coalesce(F.col("labels")[F.col("start") * len(GRAMMAR) + F.col("stop")], F.lit(""))
     parts = segments.select(*at, "labels").join(ways.select(*at, "start", "stop", "tail"), at).select("c", F.struct("part", "segment", F.concat(label, "tail").alias("l")).alias("x"))
     audits = parts.groupBy("c").agg(F.array_join(F.sort_array(F.collect_list("x"))["l"], "").alias("audit"))
-    texts = _mapped(_by_segment(rows.join(ways.select(*at, "start", "stop", "tail"), at)), _texts, "c string, part int, segment int, text string")
+    texts = _by_segment(rows.join(ways.select(*at, "start", "stop", "tail"), at), _texts, "c string, part int, segment int, text string")
     digests = _mapped(texts.repartition("c").sortWithinPartitions(*at), _digests, "c string, repaired_sha256 string")
     found = ways.filter("whole").select("c", "conv_id", *COUNTS).join(audits, "c", "left").join(digests, "c", "left")
     return found.select("conv_id", *COUNTS, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(NOTHING["repaired_sha256"])).alias("repaired_sha256"))

@@ -141,6 +141,22 @@ def test_awkward_rows(spark, tmp_path, segment, size):
     assert h.collected(cr.repaired(rows, segment, size), "conv_id") == brute(data)
 
 
+def test_segments_stay_whole_where_a_join_turns_to_a_broadcast(spark, tmp_path):
+    """Rows that were shuffled by segment for the join are then read by map task, and those of one segment come from several."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "16384", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    data = awkward()
+    folder = conversations(spark, tmp_path, data)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = cr.damaged(spark.read.parquet(f"{folder}/conversations.parquet"))
+        assert h.collected(cr.repaired(rows, 50, 2000), "conv_id") == brute(data)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_a_conversation_of_dropped_rows_stays(spark, tmp_path):
     conv = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     got = cr.query(spark, conversations(spark, tmp_path, [(conv, 0, "user", "Gone.")])).collect()
