@@ -1,9 +1,13 @@
-"""Token ids of whole texts with the tokenizers library, by way of a cache of words.
+"""Token ids of whole texts with the tokenizers library, by way of a cache of pieces.
 
-Both kinds of vocabulary used here split a text into words before they merge, and no merge crosses a space. So a text is
-cut where a single space stands, each distinct piece is encoded once a worker, in one call for all new pieces of a
-batch, and a text's ids are the joined ids of its pieces. Where a cut would not be neutral (white space on both sides of
-a space), the library gets the whole text.
+Both kinds of vocabulary used here split a text into words before they merge, and no merge crosses a space or a single
+line break. So a text is cut before these, each distinct piece is encoded once a worker, in one call for all new pieces
+of a batch, and a text's ids are the joined ids of its pieces. A comma or full stop after a letter is a word of its own,
+so a piece is looked up without it. Where a cut would not be neutral (white space on both sides of it), the library gets
+the whole text.
+
+Pieces and their ids are Arrow arrays: a batch's pieces are numbered, looked up and put together by Arrow, and only those
+that a worker has not seen become Python objects.
 """
 
 from __future__ import annotations
@@ -11,18 +15,20 @@ from __future__ import annotations
 import gc
 import os
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of pieces and their ids that a worker keeps, about; beyond that it starts anew. What one piece costs besides, and the longest kept.
-CACHE, ENTRY, LONG = 64 << 20, 200, 64
+#: Bytes of pieces and their ids that a worker keeps, about; beyond that, what was met again stays. What one piece costs besides, and the longest kept.
+CACHE, ENTRY, LONG = 16 << 20, 20, 64
 #: Bytes of text to encode at once.
 SLICE = 4_000_000
 #: New pieces encoded as one text.
 GROUP = 128
+#: A comma or full stop that is a word of its own.
+TAILED = "[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F][.,]$"
+TEXT, IDS = pa.large_string(), pa.large_binary()
 
 
 def vocabulary(name: str) -> str:
@@ -44,9 +50,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.size = 0
-        self.tails = {"": b"", ",": self.whole(","), ".": self.whole("."), "\n": self.whole("\n")}
+        self.words, self.ids, self.met = pa.array([], TEXT), pa.array([], IDS), np.zeros(0, bool)
+        self.tails = [pa.scalar(self.whole(x), IDS) for x in ("", ",", ".")]
         probe = self.tokenizer.encode("A é", add_special_tokens=False).tokens
         self.lower = probe[0].startswith("a")  # lower case, white space dropped
         ids = self.tokenizer.get_vocab()
@@ -54,7 +59,7 @@ class Encoder:
         if self.lower:
             self.separator, self.ends = marked(lambda t: t == "0</w>"), marked(lambda t: t.endswith("</w>"))
         else:
-            self.begins = marked(lambda t: t.startswith("Ġ"))
+            self.begins, self.breaks = marked(lambda t: t.startswith("Ġ")), marked(lambda t: t == "Ċ")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -71,128 +76,118 @@ class Encoder:
             gc.enable()
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
-        if self.size > CACHE:
-            self.known.clear()
-            self.size = 0
-        # Words as numbers of a batch's different words: Arrow splits and numbers them, only different ones become objects.
         if self.lower:
-            split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(TEXT))  # ascii_lower() spoils the slice of a large_string
         else:
-            split = pc.split_pattern(texts, " ")
+            split = pc.split_pattern(pc.replace_substring(texts.cast(TEXT), "\n", " \n"), " ")
         numbered = split.flatten().dictionary_encode()
-        code, words = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+        code, pieces = numbered.indices.to_numpy(), numbered.dictionary
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        used, heads = np.ones(len(pieces), bool), []
         if not self.lower:
-            # A text's first word has no space before it: a piece of its own kind.
-            first = bounds[:-1]
-            heads = {c: len(words) + i for i, c in enumerate(dict.fromkeys(code[first].tolist()))}
-            code = code.copy()
-            later = np.ones(len(code), bool)
+            # A text's first piece has no space before it: a piece of its own kind.
+            first, later = bounds[:-1], np.ones(len(code), bool)
             later[first] = False
-            used = np.zeros(len(words), bool)
+            used[:] = False
             used[code[later]] = True
-            code[first] = [heads[c] for c in code[first].tolist()]
-            head_words = [words[c] for c in heads]
-            words = [w if u else None for w, u in zip(words, used.tolist())]
-        get = self.known.get
-        found = [get(w) for w in words]
-        new = {w for w, f in zip(words, found) if f is None and w is not None}
-        fresh = self._learn(new) if new else {}
-        # What is neither known nor fresh stands for a first word that is no later one: not used.
-        found = [f if f is not None else get(w, fresh.get(w, b"")) for w, f in zip(words, found)]
-        if not self.lower:
-            found += [self.whole(w) if w else b"" for w in head_words]
-        odd = np.array([f is False for f in found])
-        found = [f or b"" for f in found]
-        length = np.array([len(f) for f in found], np.int64) // self.dtype.itemsize
-        flat, begin = np.frombuffer(b"".join(found), self.dtype), np.cumsum(length) - length
-        n = length[code]
-        end = np.cumsum(n)
-        ids = flat[np.repeat(begin[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
-        cuts = np.append(0, end)[bounds]
+            own, place = np.unique(code[first], return_inverse=True)
+            heads = self._library(pieces.take(pa.array(own)).to_pylist())
+            code = code.copy()
+            code[first] = len(pieces) + place
+        known, odd = self._lookup(pieces, used)
+        found = pa.concat_arrays([known, pa.array(heads, IDS)]).take(pa.array(code))
+        _, ends, raw = found.buffers()
+        cuts = np.frombuffer(ends, np.int64)[found.offset :][bounds] // self.dtype.itemsize
+        ids = np.frombuffer(raw, self.dtype, int(cuts[-1])) if raw and cuts[-1] else np.zeros(0, self.dtype)
         out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         if odd.any():
             # A piece that starts with white space: its cut is not neutral.
-            for i in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[code]), side="right") - 1).tolist():
-                out[i] = np.frombuffer(self.whole(texts[i].as_py()), self.dtype)
+            wrong = np.append(odd, np.zeros(len(heads), bool))[code]
+            which = np.unique(np.searchsorted(bounds, np.flatnonzero(wrong), side="right") - 1).tolist()
+            for i, whole in zip(which, self._library([texts[i].as_py() for i in which])):
+                out[i] = np.frombuffer(whole, self.dtype)
         return out
 
-    def _learn(self, new: set) -> dict:
-        """Learns new pieces; gives those that are not kept: with line breaks, very long, or not to stand alone (False).
-
-        A comma or full stop after a letter, and a line break between words, are words of their own.
-        """
-        known, fresh, lines, before = self.known, {}, [], len(self.known)
-        if not self.lower:
-            fresh = {w: False for w in new if not w or w[0].isspace()}
-            for w in [w for w in new if "\n" in w and w not in fresh]:
-                parts = w.split("\n")
-                if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
-                    lines.append((w, [self._stem(x) for x in parts]))
-            new = new.difference(fresh, [w for w, _ in lines])
-        elif "" in new:
-            new, fresh = new - {""}, {"": b""}
-        ended = [(w, self._stem(w)) for w in new if w[-1] in ".,"]
-        plain = new.difference([w for w, (_, tail) in ended if tail])
-        wanted = {stem for _, (stem, tail) in ended if tail}
-        for _, (first, *rest) in lines:
-            wanted.add(first[0])
-            wanted.update([" " + stem for stem, _ in rest])
-        self._encode_new([*plain, *[x for x in wanted if x not in known and x not in plain]])
-        known.update([(w, known[stem] + self.tails[tail]) for w, (stem, tail) in ended if tail])
-        for w, ((stem, tail), *rest) in lines:
-            raw = known[stem] + self.tails[tail]
-            for stem, tail in rest:
-                raw += self.tails["\n"] + known[" " + stem] + self.tails[tail]
-            fresh[w] = raw
-        for w in list(islice(known, before, None)):
-            if len(w) > LONG:
-                fresh[w] = known.pop(w)
-            else:
-                self.size += len(w) + len(known[w]) + ENTRY
-        return fresh
-
-    @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
-        return (word[:-1], word[-1]) if word[-1] in ".," and len(word) > 1 and word[-2].isalpha() and word[-2] < "ɐ" else (word, "")
-
-    def _encode_new(self, words: list[str]) -> None:
-        """Pieces encoded thousands to a call, and told apart in its ids. A stem after a line break is marked by a space, which no piece has."""
-        known = self.known
+    def _lookup(self, pieces: pa.Array, used: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """By piece: ids, and whether it is not to stand alone. What is not used gets none. New pieces are learned."""
+        tailed = pc.match_substring_regex(pieces, TAILED)
+        stems = pc.replace_with_mask(pieces, tailed, pc.binary_slice(pieces.filter(tailed).cast(IDS), 0, -1).cast(TEXT)).dictionary_encode()
+        code, stems = stems.indices.to_numpy(), stems.dictionary
+        at = pc.fill_null(pc.index_in(stems, value_set=self.words), -1).to_numpy().astype(np.int64)
+        self.met[at[at >= 0]] = True
+        wanted = np.zeros(len(stems), bool)
+        wanted[code[used]] = True
+        missing = np.flatnonzero((at < 0) & wanted)
+        new = stems.take(pa.array(missing))
+        raw, alone = self._learn(new.to_pylist())
+        raw = pa.array(raw, IDS)
+        n = len(self.ids)
+        at[at < 0] = n + len(raw)
+        at[missing] = n + np.arange(len(raw))
+        table = pa.concat_arrays([self.ids, raw, pa.array([b""], IDS)])
+        tail = pc.if_else(tailed, pc.if_else(pc.ends_with(pieces, ","), self.tails[1], self.tails[2]), self.tails[0])
+        found = pc.binary_join_element_wise(table.take(pa.array(at[code])), tail, pa.scalar(b"", IDS))
+        odd = np.zeros(len(table), bool)
+        odd[n : n + len(raw)] = ~alone
+        self._keep(new, raw, alone & (pc.binary_length(new).to_numpy() <= LONG))
+        return found, odd[at[code]]
+
+    def _keep(self, words: pa.Array, ids: pa.Array, which: np.ndarray) -> None:
+        which = pa.array(which)
+        self.words, self.ids = pa.concat_arrays([self.words, words.filter(which)]), pa.concat_arrays([self.ids, ids.filter(which)])
+        self.met = np.append(self.met, np.zeros(len(self.words) - len(self.met), bool))
+        if self._size() > CACHE:
+            met = pa.array(self.met)
+            self.words, self.ids = self.words.filter(met), self.ids.filter(met)
+            if self._size() > CACHE // 2:
+                self.words, self.ids = self.words[:0], self.ids[:0]
+            self.met = np.zeros(len(self.words), bool)
+
+    def _size(self) -> int:
+        return sum(pc.sum(pc.binary_length(x)).as_py() or 0 for x in (self.words, self.ids)) + ENTRY * len(self.words)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text by itself."""
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of new pieces, and whether each may stand alone. They are encoded many to a text, and told apart in its ids."""
         if self.lower:
-            plain = [w for w in words if w.isalpha()]
-            self._together(plain, " ", self.ends)  # a word of letters has one last token
-            other = [w for w in words if not w.isalpha()]
-            self._together([w for w in other if "0" not in w], " 0 ", self.separator)
-            apart = [w for w in other if "0" in w]
-        else:
-            after = [w for w in words if w[0] == " "]
-            for w, e in zip(after, self.tokenizer.encode_batch_fast([w[1:] for w in after], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-            self._together([w for w in words if w[0] != " "], " ", self.begins)
-            apart = []
-        for w in apart:
-            known[w] = self.whole(w)
-
-    def _together(self, words: list[str], mark: str, edge: np.ndarray) -> None:
-        """edge: by id, whether the token begins a word (or, in lower case, ends one or stands between two)."""
-        width, between = self.dtype.itemsize, mark != " "
+            plain = [w for w in new if w.isalpha()]
+            other = [w for w in new if w and not w.isalpha()]
+            between, apart = [w for w in other if "0" not in w], [w for w in other if "0" in w]
+            got = dict(zip(plain, self._together(plain, " ", self.ends)))  # a word of letters has one last token
+            got.update(zip(between, self._together(between, " 0 ", self.separator)))
+            got.update(zip(apart, self._library(apart)))
+            return [got.get(w, b"") for w in new], np.ones(len(new), bool)
+        alone = [bool(w) and not (w[1:2] or " " if w[0] == "\n" else w[0]).isspace() for w in new]
+        spaced = [w for w, a in zip(new, alone) if a and w[0] != "\n"]
+        broken = [w for w, a in zip(new, alone) if a and w[0] == "\n"]
+        got = dict(zip(spaced, self._together(spaced, " ", self.begins)))
+        got.update(zip(broken, self._together([w[1:] for w in broken], "\n", self.breaks)))
+        return [got.get(w, b"") for w in new], np.array(alone, bool)
+
+    def _together(self, words: list[str], mark: str, edge: np.ndarray) -> list[bytes]:
+        """Ids of the words, each with the mark before it (in lower case: without it). edge: by id, whether the token begins a word (in lower
+        case: ends one, or stands between two)."""
+        width, between, out = self.dtype.itemsize, mark != " ", []
         groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
         for start in range(0, len(groups), 64):
             some = groups[start : start + 64]
-            texts = [mark.join(g) + mark if self.lower else " " + mark.join(g) for g in some]
+            texts = [mark.join(g) + mark if self.lower else mark + mark.join(g) for g in some]
             for group, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(e.ids, self.dtype)
                 at = np.flatnonzero(edge[ids])
                 if len(at) != len(group):
-                    self.known.update([(w, self.whole(w if self.lower else " " + w)) for w in group])
+                    out += self._library([w if self.lower else mark + w for w in group])
                     continue
                 if self.lower:
                     begins, ends = np.append(0, at[:-1] + 1), at + (0 if between else 1)
                 else:
                     begins, ends = at, np.append(at[1:], len(ids))
                 raw = ids.tobytes()
-                self.known.update(zip(group, [raw[a:b] for a, b in zip((begins * width).tolist(), (ends * width).tolist())]))
+                out += [raw[a:b] for a, b in zip((begins * width).tolist(), (ends * width).tolist())]
+        return out
 
 
 @cache

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glossaweave.llm import packing, token_store
+from glossaweave.llm import packing, token_store, tokens
 from glossaweave.llm.tokens import Encoder, encoder
 
 from . import helpers as h
@@ -35,6 +35,34 @@ def test_cached_ids_equal_whole_encoding(name):
         assert [i.tolist() for i in fresh.encode(texts)] == [fresh.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+class Counted:
+    """A tokenizer that keeps what it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_full_cache_keeps_what_is_met_again(name, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 8000)
+    e = Encoder(name)
+    plain, e.tokenizer = e.tokenizer, Counted(e.tokenizer)
+    letters = [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)]
+    for batch in range(40):
+        rare = [f"{letters[batch]}{letters[i]}rare" for i in range(60)]
+        text = "start " + " ".join(f"{r} often{'' if i % 3 else ','}" for i, r in enumerate(rare)) + "\noften."
+        assert e.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    given = " ".join(e.tokenizer.given)
+    assert given.count("rare") == 40 * 60 and given.count("often") <= 4
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=300))
 def test_elias_fano(steps):
